@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, pii, secret_scan, sharding
+from . import bpe, licenses, pii, pivots, secret_scan, sharding, simhash
 from .common import table
 
 
+def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(bpe.encode_decode(table(spark, sf_dir, "documents")))
 
@@ -23,6 +27,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS)
 
@@ -42,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_bpe, op3_licenses, op5_pii, op9_secrets, op10_sharding]
+    found = [op1_pivots, op2_bpe, op3_licenses, op5_pii, op6_simhash, op9_secrets, op10_sharding]
     return {f.__name__: f for f in found}
 
 
