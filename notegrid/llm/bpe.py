@@ -235,10 +235,11 @@ def encode_decode(docs: DataFrame, vocabulary_path: str | None = None, id_col: s
     return per_text(docs, id_col, text_col, worker, schema)
 
 
-def encoding_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """n_tokens and the SHA-256 of the ids (decimal, joined by a space) and of the decoded text."""
+def encoding_digests(encoded: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """n_tokens, columns to keep, and the SHA-256 of the ids (decimal, joined by a space) and of the decoded text."""
     return encoded.select(
         id_col,
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -53,3 +55,28 @@ def per_text(
 
     out = StructType([StructField(id_col, id_type), *from_arrow_schema(schema).fields])
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder and read back."""
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{re.sub(r'[^a-z0-9]+', '-', name)}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Ids that may be sent to all executors (a few MB); more are joined by a shuffle.
+SENT_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is in the only column of ids; rows with a null id stay.
+
+    The ids are counted first. If they are few they are broadcast and the texts stay where they
+    are; if not, both sides are shuffled.
+    """
+    shared_checkpoints(docs.sparkSession)
+    gone = ids.toDF("__gone").distinct().checkpoint()
+    side = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
+    return docs.join(side, docs[id_col] == F.col("__gone"), "left_anti")

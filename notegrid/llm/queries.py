@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, pii, pivots, secret_scan, sharding, simhash
+from . import bpe, decontam, licenses, pii, pivots, secret_scan, sharding, simhash, toxicity
 from .common import table
 
 
@@ -32,6 +32,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS)
 
@@ -51,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pivots, op2_bpe, op3_licenses, op5_pii, op6_simhash, op9_secrets, op10_sharding]
+    found = [op1_pivots, op2_bpe, op3_licenses, op5_pii, op6_simhash, op7_toxicity, op8_decontam, op9_secrets, op10_sharding]
     return {f.__name__: f for f in found}
 
 

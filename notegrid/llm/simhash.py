@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import Forest, compared
-from .common import per_text, shared_checkpoints
+from .common import per_text, shared_checkpoints, without
 from .components import components
 
 BITS = 64
@@ -137,5 +137,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, that of the smallest id; all columns stay.
+
+    Rows that repeat an id are one document. Rows with a null id stay.
+    """
+    found = near_duplicates(docs, radius, id_col, text_col)
+    return without(docs, found.filter("doc_id <> component_id").select("doc_id"), id_col)
+
+
 def as_hex(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
