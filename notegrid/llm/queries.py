@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, pii, pivots, secret_scan, sharding, simhash, toxicity
+from . import bpe, decontam, licenses, pii, pivots, rlz, secret_scan, sharding, simhash, toxicity
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rlz.drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE)
 
@@ -61,7 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pivots, op2_bpe, op3_licenses, op5_pii, op6_simhash, op7_toxicity, op8_decontam, op9_secrets, op10_sharding]
+    found = [op1_pivots, op2_bpe, op3_licenses, op4_rlz, op5_pii, op6_simhash, op7_toxicity, op8_decontam, op9_secrets, op10_sharding]
     return {f.__name__: f for f in found}
 
 
