@@ -1,0 +1,18 @@
+"""A folder that driver and executors share, for tables that a query writes on its way."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir; below a folder of our own only where that is unset (tests)."""
+    sc = spark.sparkContext
+    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="notegrid-"))
+        root = sc.getCheckpointDir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
