@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import fold_latin, lexical_terms
 from ..params import DEFAULTS, RELATIONAL_PATTERNS, STRUCTURAL_NOUNS, Params
+from ..shared import kept
 from . import graph as g
 from . import retrieval as r
 
@@ -183,18 +184,20 @@ def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, links: Data
     cur = r.relative_cutoff(r.semantic_topk(queries, pool, limit, p.min_similarity), p.min_relative_score)
     asked = queries.filter(F.col("context_embedding").isNotNull()).select("query_id", F.col("context_embedding").alias("embedding"))
     ctx = r.relative_cutoff(r.semantic_topk(asked, pool, limit, p.min_similarity), p.min_relative_score)
-    semantic = r.merge_branches(cur, ctx, p.branch_margin, p.weak_branch_weight).filter(F.col("rank") <= limit)
     where = pool.select("chunk_id", "doc_id")
-    sem_docs = semantic.join(where, "chunk_id")
+    merged = r.merge_branches(cur, ctx, p.branch_margin, p.weak_branch_weight).filter(F.col("rank") <= limit)
+    # tables of at most `limit` rows a question, from which several branches start: written once
+    sem_docs = kept(merged.join(where, "chunk_id"), "semantic")
+    semantic = sem_docs.drop("doc_id")
     alive = semantic.select("query_id").distinct()
     edges = links.filter(F.col("target_id").isNotNull()).select("source", F.col("target_id").alias("target"))
-    routes = route(queries.join(alive, "query_id", "left_semi"), sem_docs, g.alias_index(docs), edges, p)
+    routes = kept(route(queries.join(alive, "query_id", "left_semi"), sem_docs, g.alias_index(docs), edges, p), "routes")
 
     terms = queries.join(alive, "query_id", "left_semi").select("query_id", lexical_terms(F.col("question")).alias("terms"))
     exploded = terms.select("query_id", F.explode("terms").alias("term"))
     bm = r.bm25_topk(exploded, pool, 2 * limit, p.bm25_k1, p.bm25_b)
     texts = pool.select("chunk_id", F.concat_ws(" ", "title", "heading", "content", "path").alias("text"))
-    lexical = r.coverage_gate(bm, texts, terms).filter(F.col("rank") <= limit)
+    lexical = kept(r.coverage_gate(bm, texts, terms).filter(F.col("rank") <= limit), "lexical")
 
     one_hop = edges
     reached = g.propagate(g.seeds_of(sem_docs, p.graph_seeds), one_hop, 1, p.graph_decay, p.graph_backlink)
@@ -205,7 +208,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, links: Data
         .select("query_id", "doc_id", "chunk_id", r.cosine(F.col("q"), F.col("v")).alias("score"))
     )
     on = routes.filter("graph_weight > 0").select("query_id", "graph_weight")
-    graph = g.graph_candidates(sem_docs, one_hop, sims, p.graph_max_candidates, hops=1, decay=p.graph_decay, backlink=p.graph_backlink).join(on, "query_id", "left_semi")
+    reach = g.graph_candidates(sem_docs, one_hop, sims, p.graph_max_candidates, hops=1, decay=p.graph_decay, backlink=p.graph_backlink)
+    graph = kept(reach.join(on, "query_id", "left_semi"), "graph")
 
     # the weight of the links depends on the route, so questions are fused by class
     classes = []
@@ -213,12 +217,13 @@ def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, links: Data
         mine = routes.filter(F.col("graph_weight") == weight).select("query_id")
         part = lambda df: df.join(mine, "query_id", "left_semi")  # noqa: B023, E731
         classes.append(r.fuse(part(semantic), part(lexical), part(graph), (p.semantic_weight, p.lexical_weight, weight), p.rrf_k))
-    fused = classes[0].unionByName(classes[1]).unionByName(classes[2])
+    fused = kept(classes[0].unionByName(classes[1]).unionByName(classes[2]), "fused")
     rows = fused.join(pool.select("chunk_id", "doc_id", "parent_index", F.col("embedding").cast("array<double>").alias("embedding")), "chunk_id")
     collapsed = r.collapse_parents(rows.select("query_id", "chunk_id", "doc_id", "parent_index", "rank", "fusion", "embedding"))
     reranked = collapsed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     picked = r.diversify(reranked, p.top_k, p.mmr_lambda, p.max_chunks_per_document)
-    selected = picked.join(fused.drop("rank"), ["query_id", "chunk_id"]).join(where, "chunk_id").withColumn("rerank", F.lit(None).cast("double"))
+    chosen = picked.join(fused.drop("rank"), ["query_id", "chunk_id"]).join(where, "chunk_id")
+    selected = kept(chosen.withColumn("rerank", F.lit(None).cast("double")), "selected")
     decided = abstention(queries, selected, p.top_k, p.posterior_threshold)
     if expand:
         base = selected.withColumn("rank", F.col("place"))

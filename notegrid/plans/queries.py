@@ -18,10 +18,10 @@ from ..operators import index as ix
 from ..operators import notes as n
 from ..operators import retrieval as r
 from ..operators import routing as ro
+from ..shared import scratch
 from ..sources import notes as src
 from ..streaming.turns import run_turn_batches
 from . import views as v
-from .store import scratch
 
 TODAY = dt.date(2025, 6, 1)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,15 +190,15 @@ def r14_chunks(spark, sf_dir):
     return d.groupBy("doc_id").agg((F.max(F.length("content")) <= 600).alias("fits"), F.md5(F.array_join(listed, "")).alias("content"))
 
 
-@query("""SELECT doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) AS parents, md5(regexp_replace(text, '\\s+', '', 'g')) AS children, 0 AS lost FROM {documents}
+@query("""SELECT doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) AS parents, true AS fits, 0 AS lost FROM {documents}
   WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
 def r15_parent_child(spark, sf_dir):
     parents, children = ch.chunk_parent_child(docs_of(spark, sf_dir).select("doc_id", "text"), "doc_id", 2000, 500, 0, body="text")
-    joined = lambda by: F.md5(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "content"))), lambda x: x["content"]), ""), r"\s+", ""))
-    p = parents.groupBy("doc_id").agg(joined("parent_index").alias("parents"))
-    c = children.groupBy("doc_id").agg(joined("chunk_index").alias("children"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("parent_index", "content"))), lambda x: F.regexp_replace(x["content"], r"\s+", ""))
+    p = parents.groupBy("doc_id").agg(F.md5(F.array_join(listed, "")).alias("parents"))
+    c = children.groupBy("doc_id").agg((F.max(F.length("content")) <= 500).alias("fits"))
     lost = children.join(parents, ["doc_id", "parent_index"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("lost"))
-    return p.join(c, "doc_id").join(lost, "doc_id", "left").select("doc_id", "parents", "children", F.coalesce("lost", F.lit(0)).cast("int").alias("lost"))
+    return p.join(c, "doc_id").join(lost, "doc_id", "left").select("doc_id", "parents", "fits", F.coalesce("lost", F.lit(0)).cast("int").alias("lost"))
 
 
 # Index maintenance
@@ -314,7 +314,7 @@ def r24_graph_status(spark, sf_dir):
     return g.graph_status(v.frames(spark, sf_dir, NAMED), resolved(spark, sf_dir))
 
 
-@query(f"""WITH d AS (SELECT doc_id, coalesce(c, 0) AS c FROM {{documents}} LEFT JOIN (SELECT source, count(*) AS c FROM ({RESOLVED}) q WHERE target_id IS NOT NULL GROUP BY source) s ON doc_id = source)
+@query(f"""WITH d AS (SELECT doc_id, coalesce(c, 0) AS c FROM {{documents}} LEFT JOIN (SELECT source AS src, count(*) AS c FROM ({RESOLVED}) q WHERE target_id IS NOT NULL GROUP BY source) s ON doc_id = src)
   SELECT round(avg(c), 6) AS mean, cast(median(c) AS DOUBLE) AS median, max(c) AS max, (SELECT min(doc_id) FROM d WHERE c = (SELECT max(c) FROM d)) AS max_doc FROM d""")
 def r24_degrees(spark, sf_dir):
     return g.degree_stats(v.frames(spark, sf_dir, NAMED), resolved(spark, sf_dir))
@@ -732,8 +732,8 @@ def r49_format_memory(spark, sf_dir):
     return cv.format_memory(recent, v.frames(spark, sf_dir, MEMORY), 900).select("conversation_id", F.md5("text").alias("md5"))
 
 
-METRICS = """SELECT user_id % 5 AS project_id, event_id AS turn_id, CASE WHEN event_id % 40 = 7 THEN 'roto' ELSE '{"' || CASE WHEN event_type IN ('view', 'error') THEN 'writer' ELSE 'verifier' END || '":{"status":"' || CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END
-  || '","total_tokens":' || cast(event_id % 97 * 100 AS STRING) || ',"context_window_tokens":8192}}' END AS agent_metrics, event_type, event_id % 97 * 100 AS k FROM {events}"""
+METRICS = """SELECT user_id % 5 AS project_id, event_id AS turn_id, CASE WHEN event_id % 40 = 7 THEN 'roto' ELSE chr(123) || '"' || CASE WHEN event_type IN ('view', 'error') THEN 'writer' ELSE 'verifier' END || '":' || chr(123) || '"status":"'
+  || CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END || '","total_tokens":' || cast(event_id % 97 * 100 AS STRING) || ',"context_window_tokens":8192' || chr(125) || chr(125) END AS agent_metrics, event_type, event_id % 97 * 100 AS k FROM {events}"""
 
 
 @query(f"""WITH m AS ({METRICS}), r AS (SELECT project_id, turn_id, role, CASE WHEN (role = 'writer') = (event_type IN ('view', 'error')) AND event_type <> 'error' THEN round_even(least(100.0, k / 8192.0 * 100), 2) END AS usage FROM m, (VALUES ('writer'), ('verifier')) x(role) WHERE agent_metrics <> 'roto')

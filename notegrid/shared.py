@@ -1,11 +1,11 @@
-"""A folder that driver and executors share, for tables that a query writes on its way."""
+"""Places that driver and executors share, and small results that several branches of a plan start from."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -16,3 +16,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="notegrid-"))
         root = sc.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder: later branches read it instead of computing it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

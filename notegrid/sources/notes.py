@@ -102,7 +102,7 @@ def load_index(spark: SparkSession, dest: str, names: list[str]) -> dict[str, Da
 
 
 def percent(c: str) -> F.Column:
-    return F.coalesce(F.format_string("%.1f %%", F.col(c) * 100), F.lit("N/A"))
+    return F.when(F.col(c).isNotNull(), F.format_string("%.1f %%", F.col(c) * 100)).otherwise("N/A")
 
 
 def report_rows(metrics: DataFrame, name: str, values: list[str]) -> DataFrame:
