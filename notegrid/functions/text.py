@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..params import STOPWORDS
 
@@ -14,7 +15,7 @@ ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūñçýÿ"
 PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuncyy"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """Casefold, decompose, drop combining marks: exact for all scripts."""
 
