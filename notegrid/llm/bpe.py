@@ -12,17 +12,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_text
 
-#: Chunks that a task remembers; beyond that it forgets them all and goes on.
-REMEMBERED = 400_000
+#: Chunks and words that a worker remembers with their encoding, twice over at most.
+REMEMBERED, REMEMBERED_WORDS = 200_000, 100_000
 #: What the file's normalizer and splitter come to on lower-case printable ASCII, and the digest of the rules for which that holds.
 ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\x20]+").findall
 ASCII_RULES = "d5be8fc62f03c6f970615877744b6fb5"
@@ -47,14 +49,18 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens of this kind are not known here")
+        self.has_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)").search
         self.texts = {i: t for t, i in (self.ids | self.special).items()}
+        self.tokens = pa.array([self.texts.get(i) for i in range(max(self.texts) + 1)], pa.string())
         self.longest = max(map(len, self.ids))
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(self.ids[a], self.ids[b]): (r, self.ids[a + b]) for r, (a, b) in reversed(list(enumerate(pairs)))}
         rules = json.dumps([spec["normalizer"], spec["pre_tokenizer"]], sort_keys=True)
         self.ascii_split = ASCII_SPLIT if hashlib.md5(rules.encode()).hexdigest() == ASCII_RULES else None
-        self.known_words: dict[str, list[int]] = {}
-        self.known_chunks: dict[str, tuple[list[int], str]] = {}
+        self.known_words: dict[str, bytes] = {}
+        self.known_chunks: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
         self._tables()
         self.own = {t: i for t, i in self.ids.items() if self._whole(i)}
 
@@ -157,12 +163,12 @@ class Vocabulary:
             guesses[i] = self.merged(self.symbols(words[i], self.suffix))
         return guesses
 
-    def encode_chunks(self, chunks: list[str]) -> list[tuple[list[int], str]]:
-        """Ids and decoded text of chunks without ASCII white space."""
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids, as int32 bytes, of chunks without ASCII white space."""
         pieces, words = [], {}
         for chunk in chunks:
             rest, row = chunk, []
-            if self.ascii_split and chunk.isascii() and chunk.isprintable() and not any(x in chunk for x in self.special):
+            if self.ascii_split and chunk.isascii() and chunk.isprintable() and not self.has_special(chunk):
                 pieces.append([words.setdefault(w, len(words)) for w in self.ascii_split(chunk.lower())])
                 continue
             while rest:
@@ -174,20 +180,37 @@ class Vocabulary:
                     row.append(-1 - self.special[name])
                 rest = rest[at + len(name) :]
             pieces.append(row)
-        if len(self.known_words) > REMEMBERED:
-            self.known_words.clear()
-        new = [w for w in words if w not in self.known_words]
-        self.known_words.update(zip(new, self.encode_words(new), strict=True))
-        known = [self.known_words[w] for w in words]
-        out = []
-        for row in pieces:
-            ids = [t for p in row for t in (known[p] if p >= 0 else [-1 - p])]
-            out.append((ids, self.decode(ids)))
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+        if len(self.known_words) > REMEMBERED_WORDS:
+            self.older_words, self.known_words = self.known_words, {}
+        found, older = self.known_words, self.older_words
+        new = []
+        for w in words:
+            if w not in found:
+                if (got := older.get(w)) is not None:
+                    found[w] = got
+                else:
+                    new.append(w)
+        for w, ids in zip(new, self.encode_words(new), strict=True):
+            found[w] = array("i", ids).tobytes()
+        known = [found[w] for w in words]
+        return [b"".join([known[p] if p >= 0 else array("i", (-1 - p,)).tobytes() for p in row]) for row in pieces]
+
+    def chunks_of(self, rows: list[list[str]]) -> dict[str, bytes]:
+        """The encodings of at least all chunks of rows."""
+        if len(self.known_chunks) > REMEMBERED:
+            self.older_chunks, self.known_chunks = self.known_chunks, {}
+        known, older = self.known_chunks, self.older_chunks
+        lacking = {c for row in rows for c in row if c not in known}
+        again = [c for c in lacking if c in older]
+        known.update(zip(again, [older[c] for c in again], strict=True))
+        new = list(lacking.difference(again))
+        known.update(zip(new, self.encode_chunks(new), strict=True))
+        return known
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
         """Without a decoder in the file, tokens are joined by spaces."""
-        return " ".join([self.texts[i] for i in ids])
+        tokens = pa.ListArray.from_arrays(ids.offsets, self.tokens.take(ids.values))
+        return pc.binary_join(tokens, " ")
 
 
 @lru_cache(maxsize=2)
@@ -211,23 +234,15 @@ def encode_decode(docs: DataFrame, vocabulary_path: str | None = None, id_col: s
 
             path = public_tokenizers.path("word_bpe_49k.json")
         vocab = vocabulary(path)
-        known = vocab.known_chunks
 
         def apply(texts):
-            if len(known) > REMEMBERED:
-                known.clear()
             split = [t.translate(SPACES).split(" ") for t in texts]
-            new = list({c for row in split for c in row if c not in known})
-            known.update(zip(new, vocab.encode_chunks(new), strict=True))
-            ids, ends, out = [], [0], []
-            for row in split:
-                got = [known[c] for c in row]
-                for g in got:
-                    ids.extend(g[0])
-                ends.append(len(ids))
-                out.append(" ".join([g[1] for g in got if g[0]]) if decoded else None)
-            values = pa.array(np.array(ids, np.int32))
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(out, pa.string())]
+            encoding = vocab.chunks_of(split).__getitem__
+            ids = [b"".join(map(encoding, row)) for row in split]
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            values = pa.array(np.frombuffer(b"".join(ids), np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+            return [lists, vocab.decode(lists) if decoded else pa.nulls(len(texts), pa.string())]
 
         return apply
 

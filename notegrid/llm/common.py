@@ -15,6 +15,24 @@ from pyspark.sql import functions as F
 OUT_ROWS = 1000
 
 
+class Remembered(dict):
+    """A dict that computes what it lacks and keeps the last `limit` to 2 * `limit` keys that were asked for."""
+
+    def __init__(self, compute: Callable, limit: int):
+        super().__init__()
+        self.compute, self.limit, self.older = compute, limit, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.compute(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,6 +67,7 @@ def per_text(
                 ids, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
                 arrays = [a.cast(f.type) if a.type != f.type else a for a, f in zip(apply(texts), fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, *arrays], names=[id_col, *(f.name for f in fields)])
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.pandas.types import from_arrow_schema
     from pyspark.sql.types import StructField, StructType
