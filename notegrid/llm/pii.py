@@ -77,7 +77,7 @@ def proposals(text: str):
     for a, b in emails(text):
         yield "email", a, b
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(y := x.lstrip("0")) <= 3 and int(y or 0) <= 255 for x in m[0].split(".")):
             yield "ip", m.start(), m.end()
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
