@@ -63,6 +63,8 @@ SPELLINGS = (
     (r"\bhttps\b", "http"),
     (r"\b(?:v|ver|version) ?([0-9])", "version $1"),
 )
+# Every known text has one of these in any spelling, so a document without them can match nothing (a test holds KNOWN to it).
+ANCHORS = ("licen", "permission", "unencumbered")
 WORDLESS = r"[^\p{L}\p{N}\n]+"
 PARAGRAPH = r"\r?\n[ \t\r]*\n\s*"
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\) ?[0-9]|©)[^\n]*$"
@@ -92,20 +94,24 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOW
     )
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: tuple[tuple[str, str], ...] = KNOWN, anchors: tuple[str, ...] = ANCHORS
+) -> DataFrame:
     """doc_id, license, unit ('document', 'paragraph' or 'line'), n: how many such units of a document match.
 
     Paragraphs of one line and documents of one paragraph count as the smaller unit only. Null,
     empty and unlicensed texts give no rows; rows that repeat an id add up; null ids are one group;
-    other columns are not looked at. The digests of the known texts are broadcast: their number is
-    that of a constant list.
+    other columns are not looked at. Each text of known must hold one of anchors in lower case and in
+    every spelling; texts without any are not canonicalised. The digests of the known texts are
+    broadcast: their number is that of a constant list.
     """
-    lines = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.transform(
-            F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), PARAGRAPH),
-            lambda p: canonical_lines(p),
-        ).alias("paragraphs"),
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    lowered = F.lower(text)
+    able = F.lit(False)
+    for a in anchors:
+        able = able | F.contains(lowered, F.lit(a))
+    lines = docs.filter(able).select(
+        F.col(id_col).alias("doc_id"), F.transform(F.split(text, PARAGRAPH), lambda p: canonical_lines(p)).alias("paragraphs")
     )
     worded = lambda p: F.filter(p, lambda x: x != "")
     paragraphs = F.filter(F.transform("paragraphs", worded), lambda p: F.size(p) > 0)
@@ -123,10 +129,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ),
         ).alias("units"),
     )
-    known = F.broadcast(known_digests(docs.sparkSession))
+    digests = F.broadcast(known_digests(docs.sparkSession, known))
     return (
         units.select("doc_id", F.inline("units"))
-        .join(known, "digest")
+        .join(digests, "digest")
         .groupBy("doc_id", "license", "unit")
         .agg(F.count("*").alias("n"))
     )

@@ -48,7 +48,7 @@ def test_pii(spark):
     rng = random.Random(6)
     texts = [
         "a@b.c@d.e x@y z.@q-.r..s a@@b.c", "1.2.3.4.5.6.7.8 999.1.1.1 0001.2.3.255 1.2.3.256", "4111 1111 1111 1111 y 4111-1111-1111-1112 7", "+1 (234) 567-8901. +12 3 +49 30 1234567 -- 5",
-        "IBAN GB82 WEST 1234 5698 7654 32 y DE89370400440532013000 no GB82WEST12345698765433", "ssn 123-45-6789 y 123-45-6789", "é@b.co ñandú+x@y.zz", None, "", "z" * 200_000, "1" * 60_000,
+        "IBAN GB82 WEST 1234 5698 7654 32 y DE89370400440532013000 no GB82WEST12345698765433", "ssn 123-45-6789 y 123-45-6789", "é@b.co ñandú+x@y.zz", None, "", "z" * 200_000, "1" * 60_000, "0" * 4000 + ".0.0.1",
     ]
     texts += ["".join(rng.choice("ab@.-+ (0123456789)") for _ in range(120)) for _ in range(300)]
     rows = [(i, t, *[None] * 8) for i, t in enumerate(texts)]
@@ -92,6 +92,8 @@ def test_licenses(spark):
     assert (0, "MIT", "line", 1) in got and (1, "MIT", "document", 1) in got and (2, "ISC", "paragraph", 1) in got and (6, "Apache-2.0", "line", 2) in got
     assert not [g for g in got if g[0] in (3, 4, 5)]
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
+    assert all(any(a in t.lower() for a in licenses.ANCHORS) for _, t in licenses.KNOWN)
+    assert sorted((r.doc_id, r.license, r.unit, r.n) for r in licenses.scan_licenses(frame(spark, rows), anchors=("",)).collect()) == got
 
 
 def test_toxicity(spark):
