@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 OUT_ROWS = 1000
 
 
+def hash_sample(df: DataFrame, seed: int, keys: list[str], n: int) -> DataFrame:
+    """n rows of df (all, if it has fewer), those of the least seeded hash of keys: the same at every run.
+
+    df is counted first and rows that cannot be among them by far are left out where they are, so
+    that the final order sees little more than n rows however many tasks there are.
+    """
+    total = df.count()
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 1)
+    share = min(1.0, (1.2 * n + 200) / max(total, 1))
+    most = min(int(share * (1 << 63)), (1 << 63) - 1)
+    return df.filter(order <= F.lit(most)).orderBy(order, *keys).limit(n)
+
+
 class Remembered(dict):
     """A dict that computes what it lacks and keeps the last `limit` to 2 * `limit` keys that were asked for."""
 

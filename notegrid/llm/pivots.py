@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from .cells import Forest, compared
-from .common import shared_checkpoints
+from .common import hash_sample, shared_checkpoints
 from .components import components
 
 #: Rows of a piece of an inverted list.
@@ -83,7 +83,7 @@ def near_vectors(
     )
     total = classes.count()
     wanted = min(max(PIVOTS[0], math.ceil(4 * math.sqrt(total))), PIVOTS[1])
-    chosen = classes.select("v", F.xxhash64(F.lit(seed + 2), "h1").alias("o"), "rep").orderBy("o", "rep").limit(wanted)
+    chosen = hash_sample(classes.select("v", "h1", "h2"), seed + 2, ["h1", "h2"], wanted)
     by_size: dict[int, list] = {}
     for r in chosen.select("v").toLocalIterator():
         by_size.setdefault(len(r.v), []).append(r.v)
