@@ -94,5 +94,23 @@ units AS (
 SELECT doc_id, license, unit, count(*) AS n FROM units JOIN known USING (body) GROUP BY ALL"""
 
 
+LINKS_SQL = """
+WITH RECURSIVE pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT e.vec_id, (SELECT count(*) FROM pairs p WHERE p.a = e.vec_id) AS n_links, min(r.b) AS component_id, min(r.b) = e.vec_id AS kept
+FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id"""
+
+REPEATS_SQL = r"""
+WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs) q),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT j) AS g FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM later) q GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
+FROM docs d LEFT JOIN gone USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": _license_sql()}
+    return {"op1_pivots": LINKS_SQL, "op3_licenses": _license_sql(), "op4_rlz": REPEATS_SQL}
