@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_checkpoints, without
+from .common import Remembered, shared_checkpoints, without
 
 WINDOW = 5
 MIN_COVERAGE = 0.8
@@ -36,39 +36,30 @@ UNITS = frozenset(
 END, NUM, UNIT, NAME, OFF = (np.uint64(x) for x in (2, 4, 6, 8, 0))
 CAPITAL = 1
 STEP = 0x9E3779B97F4A7C15
-REMEMBERED = 1_000_000
+#: Words that a task remembers with their code, twice over at most.
+REMEMBERED = 100_000
 MATCHES = pa.schema(
     [("pos", pa.int64()), ("size", pa.int64()), ("last", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))]
 )
 
 
-class Codes(dict):
-    """word -> even code of its lower case, with bit 0 for a capital; words that cannot match have code 0."""
+def word_codes(vocabulary: frozenset[int] | None) -> Remembered:
+    """token -> even code of its lower case, with bit 0 for a capital; words outside the vocabulary, if there is one, have code 0."""
 
-    def __init__(self, vocabulary: frozenset[int] | None):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, token: str) -> int:
+    def code_of(token: str) -> int:
         if token in ".!?\n":
-            code = int(END)
-        elif token[0].isdigit():
-            code = int(NUM)
-        else:
-            code = xxhash.xxh64_intdigest(token.lower().encode("utf-8", "surrogatepass"), 7) >> 4 << 4 | 16
-            if self.vocabulary is not None and code not in self.vocabulary:
-                code = 0
-            code |= CAPITAL * token[0].isupper()
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[token] = code
-        return code
-
+            return int(END)
+        if token[0].isdigit():
+            return int(NUM)
+        code = xxhash.xxh64_intdigest(token.lower().encode("utf-8", "surrogatepass"), 7) >> 4 << 4 | 16
+        if vocabulary is not None and code not in vocabulary:
+            code = 0
+        return code | CAPITAL * token[0].isupper()
 
-UNIT_CODES = np.array([xxhash.xxh64_intdigest(u.encode(), 7) >> 4 << 4 | 16 for u in sorted(UNITS)], np.uint64)
+    return Remembered(code_of, REMEMBERED)
 
 
-def template(text: str, codes: Codes) -> tuple[list[str], np.ndarray, np.ndarray]:
+def template(text: str, codes: Remembered) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Words of a text, their codes with numbers and units replaced, and those with names replaced too."""
     tokens = TOKEN(text)
     raw = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
@@ -102,7 +93,7 @@ def windows(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
-def _found(text: str, codes: Codes, sizes: list[int], wanted: np.ndarray | None):
+def _found(text: str, codes: Remembered, sizes: list[int], wanted: np.ndarray | None):
     """(start, size, number of windows less one, hash, slot values) of the windows of both forms that are wanted."""
     words, plain, named = template(text, codes)
     both = [plain] if (plain == named).all() else [plain, named]
@@ -124,12 +115,13 @@ def template_windows(texts: DataFrame, id_col: str, text_col: str, sizes: list[i
     """id, pos, last, hash, slots for the windows of every whole text. sizes None: WINDOW words, or all of a shorter text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(vocabulary.value if vocabulary is not None else None)
+        codes = word_codes(vocabulary.value if vocabulary is not None else None)
         sought = wanted.value if wanted is not None else None
         for batch in batches:
             ids = batch.column(0)
             rows, cols = [], [[] for _ in MATCHES]
-            for r, t in enumerate(batch.column(1).to_pylist()):
+            texts = (t.as_py() for t in batch.column(1))  # one at a time
+            for r, t in enumerate(texts):
                 own = sizes
                 if own is None:
                     n = len(template(t or "", codes)[1])
@@ -186,7 +178,7 @@ def contaminated(
         hashes = np.unique(np.array([r[0] for r in known.select("hash").distinct().toLocalIterator()], np.int64).view(np.uint64))
         if not len(hashes):
             hashes = np.zeros(1, np.uint64)
-        codes = Codes(None)
+        codes = word_codes(None)
         words = {c & ~1 for r in items.select("text").toLocalIterator() for t in TOKEN(r[0] or "") if (c := codes[t]) > int(NAME) + 1}
         send = spark.sparkContext.broadcast
         found = template_windows(doc, "doc_id", "text", sizes, send(hashes), send(frozenset(words)))

@@ -21,21 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OUT_ROWS, saved
+from .common import OUT_ROWS, Remembered, saved
 
 WINDOW, PHRASE = 20, 6
 STEP = 0x9E3779B97F4A7C15
-REMEMBERED = 1_000_000
+#: Words that a task remembers with their hash, twice over at most.
+REMEMBERED = 200_000
 FIRST, LATER, BOUNDARY = 0, 1, 2
 NULL_ID = -(1 << 63)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word, 9)
-        return got
+def word_hashes() -> Remembered:
+    return Remembered(lambda word: xxhash.xxh64_intdigest(word, 9), REMEMBERED)
 
 
 def _power(n: int) -> np.uint64:
@@ -74,7 +71,7 @@ def least_at(h: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def windows_of(texts: list[list[bytes]], hashes: WordHashes):
+def windows_of(texts: list[list[bytes]], hashes: Remembered):
     """Words of many texts in a row: (text of each window, start in that text, window hash, phrase place, phrase hash)."""
     flat = [w for t in texts for w in t]
     words = np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
@@ -113,7 +110,7 @@ BLOCKS = "key long, block long, d long, start int, n int, kind int"
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each block of each text; rows known to come later in the corpus are dealt by their id."""
-    hashes = WordHashes()
+    hashes = word_hashes()
     for ids, texts, _ in _batches(batches):
         parts = []
         for a in range(0, len(texts), OUT_ROWS):
@@ -198,7 +195,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _boundary_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the blocks at boundaries, in the shape of blocks of one window."""
-    hashes = WordHashes()
+    hashes = word_hashes()
     for ids, texts, (spans,) in _batches(batches):
         parts = []
         for a in range(0, len(texts), OUT_ROWS):

@@ -17,6 +17,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import Remembered, hash_sample, per_text
 
 #: Labelled rows that the model is fitted on, at most: toxic and ordinary ones.
 SAMPLE = (1500, 3500)
@@ -37,8 +38,8 @@ MIN_SHARE, MIN_RATIO = 0.02, 20.0
 SHARED_BYTES, TOXIC_BYTES = 8_000, 8_000
 REPEATS = 3
 ROUNDS = 3
-#: Words that a task remembers with their gain; beyond that it forgets them all and goes on.
-REMEMBERED = 1_000_000
+#: Words that a task remembers with their gain, twice over at most.
+REMEMBERED = 100_000
 
 words_of = re.compile(r"\w+").findall
 
@@ -65,7 +66,7 @@ class Gains:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = _compressor(ordinary).compress, _compressor(toxic).compress
-        self.known: dict[str, int] = {}
+        self.known = Remembered(self.of, REMEMBERED)
 
     def of(self, word: str) -> int:
         window = ((" " + word) * REPEATS + " ").encode("utf-8", "surrogatepass")
@@ -73,18 +74,8 @@ class Gains:
 
     def features(self, text: str) -> list[float]:
         words = words_of(text.lower())
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        top = total = 0
-        for w in words:
-            g = known.get(w)
-            if g is None:
-                g = known[w] = self.of(w)
-            if g > 0:
-                total += g
-                if g > top:
-                    top = g
+        gained = [g for g in map(self.known.__getitem__, words) if g > 0]
+        top, total = max(gained, default=0), sum(gained)
         return [1.0, top, math.log1p(total), math.log1p(1000 * total / max(1, len(words)))]
 
 
@@ -166,8 +157,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .agg(F.max("toxic").alias("toxic"))
         .filter(~held_out(id_col))
     )
-    order = F.xxhash64(F.lit(3), F.col(id_col))
-    picked = [known.filter(F.col("toxic") == k).orderBy(order).limit(n) for k, n in ((1, sample[0]), (0, sample[1]))]
+    picked = [hash_sample(known.filter(F.col("toxic") == k), 3, [id_col], n) for k, n in ((1, sample[0]), (0, sample[1]))]
     ids = picked[0].unionByName(picked[1])
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), id_col).select(id_col, "text", "toxic").toPandas()
     rows = rows.sort_values([id_col, "text"], na_position="first")
@@ -183,7 +173,8 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     """
 
     def worker():
-        gains, weights = _gains_of(model) if model else (None, None)
+        gains = Gains(model.ordinary, model.toxic) if model else None
+        weights = np.array(model.weights) if model else None
 
         def apply(texts):
             if gains is None:
@@ -205,19 +196,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         return docs
 
     @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
-        gains, weights = _gains_of(model)
-        return texts.map(lambda t: bool(float(np.dot(gains.features(t or ""), weights)) >= math.log(THRESHOLD / (1 - THRESHOLD))))
+    def toxic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        gains, weights = Gains(model.ordinary, model.toxic), np.array(model.weights)
+        least = math.log(THRESHOLD / (1 - THRESHOLD))
+        for texts in parts:
+            yield texts.map(lambda t: bool(np.dot(gains.features(t or ""), weights) >= least)).astype(bool)
 
     return docs.filter(~toxic(F.col(text_col).cast("string")))
 
-
-_LAST: dict[Model, tuple[Gains, np.ndarray]] = {}
-
-
-def _gains_of(model: Model) -> tuple[Gains, np.ndarray]:
-    """One set of compressors for each model and Python worker."""
-    if model not in _LAST:
-        _LAST.clear()
-        _LAST[model] = (Gains(model.ordinary, model.toxic), np.array(model.weights))
-    return _LAST[model]
