@@ -86,7 +86,7 @@ def r02_read_cases(spark, sf_dir):
 def r03_publish_index(spark, sf_dir):
     docs = docs_of(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", "text")
     dest = scratch(spark, "index")
-    src.publish_index(spark, {"documents": docs.limit(0)}, dest, "run-a")
+    src.publish_index(spark, {"documents": docs.withColumn("text", F.lit(""))}, dest, "run-a")
     src.publish_index(spark, {"documents": docs}, dest, "run-b")
     return src.load_index(spark, dest, ["documents"])["documents"].select("doc_id", F.md5("text").alias("md5"), F.lit("run-b").alias("run"))
 
@@ -484,10 +484,10 @@ def r35_collapse(spark, sf_dir):
 
 
 @query(f"""SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 12 THEN 0 ELSE 1 END, CASE WHEN rank <= 12 AND ok THEN round(0.7 * s + 0.3 * fusion, 9) END DESC NULLS LAST, rank) AS rank
-  FROM (SELECT *, (chunk_id * 37 % 101) / 101.0 AS s, query_id % 2 = 0 AS ok FROM ({RANKED}) r) x""")
+  FROM (SELECT *, (chunk_id * 37 % 101) / 101.0 AS s, query_id % 3 <> 0 AS ok FROM ({RANKED}) r) x""")
 def r36_rerank(spark, sf_dir):
     rows = ranked(spark, sf_dir)
-    scores = rows.filter("query_id % 2 = 0 OR chunk_id % 5 <> 0 OR rank > 1").filter("query_id % 2 = 0 OR rank > 1").select("query_id", "chunk_id", (F.col("chunk_id") * 37 % 101 / 101).alias("rerank"))
+    scores = rows.filter("query_id % 3 <> 0 OR rank > 1").select("query_id", "chunk_id", (F.col("chunk_id") * 37 % 101 / 101).alias("rerank"))
     return r.blend_rerank(rows, scores).select("query_id", "chunk_id", "rank")
 
 
@@ -548,7 +548,7 @@ def r39_neighbours(spark, sf_dir):
     return g.graph_neighbours(selected(spark, sf_dir), graph_of(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-ASKED = """SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'Qué relación hay entre la Nota 12 y la nota-31' WHEN 25 % 4 THEN 'El proceso y el riesgo' WHEN 2 THEN 'Cómo afecta la NOTA 77' ELSE 'Nada' END AS question FROM ({q}) v"""
+ASKED = """SELECT query_id, CASE floor(query_id / 20) % 4 WHEN 0 THEN 'Qué relación hay entre la Nota 12 y la nota-31' WHEN 1 THEN 'El proceso y el riesgo' WHEN 2 THEN 'Cómo afecta la NOTA 77' ELSE 'Nada' END AS question FROM ({q}) v"""
 
 
 def asked(spark, sf_dir):
@@ -559,7 +559,7 @@ def asked(spark, sf_dir):
   linked AS (SELECT DISTINCT a.query_id FROM seeds a JOIN ({LINKED}) l ON a.doc_id = l.source JOIN seeds b ON a.query_id = b.query_id AND b.doc_id = l.target_id AND b.doc_id <> a.doc_id),
   top AS (SELECT query_id, max(score) AS best FROM s GROUP BY query_id),
   m AS (SELECT q.query_id, least(3, count(DISTINCT a.doc_id)) AS mentions FROM q LEFT JOIN ({ALIASES}) a ON length(a.alias) >= 4 AND contains({FOLD.format("q.question")}, a.alias) GROUP BY q.query_id),
-  f AS (SELECT q.query_id, query_id % 4 IN (0, 2) AS relational, mentions, linked.query_id IS NOT NULL AS connected, query_id % 4 = 1 OR query_id % 4 = -1 AS structural, best
+  f AS (SELECT q.query_id, floor(query_id / 20) % 4 IN (0, 2) AS relational, mentions, linked.query_id IS NOT NULL AS connected, floor(query_id / 20) % 4 = 1 AS structural, best
     FROM q JOIN m USING (query_id) LEFT JOIN linked USING (query_id) LEFT JOIN top USING (query_id)),
   g AS (SELECT *, cast(relational AS INT) + cast(mentions >= 2 AS INT) + cast(connected AS INT) + cast(structural AS INT) AS signals FROM f)
   SELECT query_id, mentions, connected, signals, CASE WHEN signals >= 2 THEN 'relational' WHEN signals = 1 THEN 'hybrid' WHEN coalesce(best, 0) < 0.35 THEN 'unknown' ELSE 'factual' END AS route FROM g""")))
@@ -598,8 +598,8 @@ def r42_retrieve(spark, sf_dir):
 
 
 @query(f"""SELECT query_id, md5(string_agg('[' || cast(place AS STRING) || '] Documento: T' || cast(doc_id AS STRING) || chr(10) || 'Ruta: p' || chr(10) || 'Sección: Uno' || chr(10) || 'Recuperación: semantic' || chr(10) || 'Metadatos: lang=' || lang || chr(10)
-  || 'Contenido:' || chr(10) || CASE WHEN length(x) <= 300 THEN x ELSE rtrim(substr(x, 1, 299)) || '…' END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS md5
-  FROM (SELECT cast(floor(doc_id / 4) AS BIGINT) AS query_id, doc_id % 4 AS place, doc_id, lang, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS x FROM {{documents}}) q GROUP BY query_id HAVING count(*) = 4""")
+  || 'Contenido:' || chr(10) || CASE WHEN length(x) <= greatest(240, 1200 // n) THEN x ELSE rtrim(substr(x, 1, greatest(240, 1200 // n) - 1)) || '…' END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS md5
+  FROM (SELECT cast(floor(doc_id / 4) AS BIGINT) AS query_id, doc_id % 4 AS place, doc_id, lang, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS x, count(*) OVER (PARTITION BY floor(doc_id / 4)) AS n FROM {{documents}}) q GROUP BY query_id""")
 def r43_context(spark, sf_dir):
     d = docs_of(spark, sf_dir)
     text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
@@ -608,14 +608,13 @@ def r43_context(spark, sf_dir):
         F.lit("p").alias("path"), F.lit("Uno").alias("heading"), F.lit("semantic").alias("reason"), F.create_map(F.lit("lang"), "lang", F.lit("_x"), F.lit("y")).alias("metadata"),
         text.alias("content"), F.lit("").alias("matched_content"),
     )
-    full = hits.withColumn("c", F.count("*").over(Window.partitionBy("query_id"))).filter("c = 4").drop("c")
-    return ro.build_context(full, 1200).select("query_id", F.md5("context").alias("md5"))
+    return ro.build_context(hits, 1200).select("query_id", F.md5("context").alias("md5"))
 
 
 # Evaluation
 
-EVAL = f"""WITH hits AS (SELECT query_id, rank, 'd' || cast(chunk_id % 40 AS STRING) AS path, chunk_id % 40 % 10 = query_id / 25 % 10 AS good FROM ({TOP}) t WHERE query_id % 4 <> 1),
-  cases AS (SELECT query_id, query_id / 25 % 10 AS k, query_id % 3 = 0 AS expect_abstention FROM ({v.QUERIES_V}) q),
+EVAL = f"""WITH hits AS (SELECT query_id, rank, 'd' || cast(chunk_id % 40 AS STRING) AS path, chunk_id % 40 % 10 = floor(query_id / 20) % 10 AS good FROM ({TOP}) t WHERE query_id % 7 <> 1),
+  cases AS (SELECT query_id, floor(query_id / 20) % 10 AS k, query_id % 3 = 0 AS expect_abstention FROM ({v.QUERIES_V}) q),
   per AS (SELECT query_id, path, good, min(rank) AS rank, count(*) AS n FROM hits GROUP BY ALL),
   pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, path) AS place FROM per),
   a AS (SELECT query_id, count(*) FILTER (WHERE good) AS matched, min(rank) FILTER (WHERE good) AS first, coalesce(sum(n) FILTER (WHERE good), 0) AS good_rows, sum(n) AS rows, coalesce(sum(1 / log2(place + 1)) FILTER (WHERE good), 0) AS dcg, count(*) AS paths,
@@ -626,8 +625,8 @@ EVAL = f"""WITH hits AS (SELECT query_id, rank, 'd' || cast(chunk_id % 40 AS STR
 
 
 def evaluated(spark, sf_dir):
-    hits = semantic(spark, sf_dir).filter("query_id % 4 <> 1").select("query_id", "rank", F.concat(F.lit("d"), (F.col("chunk_id") % 40).cast("string")).alias("path"))
-    k = (F.col("query_id") / 25).cast("long") % 10
+    hits = semantic(spark, sf_dir).filter("query_id % 7 <> 1").select("query_id", "rank", F.concat(F.lit("d"), (F.col("chunk_id") % 40).cast("string")).alias("path"))
+    k = F.floor(F.col("query_id") / 20) % 10
     cases = v.frames(spark, sf_dir, v.QUERIES_V).select(
         "query_id", F.transform(F.array(*map(F.lit, range(4))), lambda i: F.concat(F.lit("d"), (i * 10 + k).cast("string"))).alias("expected"), F.array(F.lit("d7")).alias("forbidden"), (F.col("query_id") % 3 == 0).alias("expect_abstention")
     )
@@ -649,9 +648,9 @@ def r44_overlap(spark, sf_dir):
 
 @query(f"""SELECT strategy, query_type, cast(grouping(query_type) AS INT) AS overall, count(*) AS cases, round(avg(recall) FILTER (WHERE NOT expect_abstention), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(cast(passed AS INT)), 6) AS pass_rate,
   round(count(*) FILTER (WHERE NOT answered AND expect_abstention) / nullif(count(*) FILTER (WHERE NOT answered), 0), 6) AS abstention_precision, round(count(*) FILTER (WHERE answered) / count(*), 6) AS coverage
-  FROM (SELECT *, 's' || cast(query_id % 2 AS STRING) AS strategy, 't' || cast(query_id % 3 AS STRING) AS query_type FROM ({EVAL}) e) x GROUP BY GROUPING SETS ((strategy), (strategy, query_type))""")
+  FROM (SELECT *, 's' || cast(query_id % 7 % 2 AS STRING) AS strategy, 't' || cast(query_id % 3 AS STRING) AS query_type FROM ({EVAL}) e) x GROUP BY GROUPING SETS ((strategy), (strategy, query_type))""")
 def r45_summarize(spark, sf_dir):
-    rows = evaluated(spark, sf_dir).withColumns({"strategy": F.concat(F.lit("s"), (F.col("query_id") % 2).cast("string")), "query_type": F.concat(F.lit("t"), (F.col("query_id") % 3).cast("string")), "latency": F.lit(0.0)})
+    rows = evaluated(spark, sf_dir).withColumns({"strategy": F.concat(F.lit("s"), (F.col("query_id") % 7 % 2).cast("string")), "query_type": F.concat(F.lit("t"), (F.col("query_id") % 3).cast("string")), "latency": F.lit(0.0)})
     return ev.summarize(rows).select("strategy", "query_type", F.col("overall").cast("int").alias("overall"), "cases", r6("recall"), r6("ndcg"), r6("pass_rate"), r6("abstention_precision"), r6("coverage"))
 
 

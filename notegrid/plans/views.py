@@ -27,8 +27,8 @@ SELECT cast(vec_id AS BIGINT) AS chunk_id, cast(floor(vec_id / 5) AS BIGINT) AS
   CASE WHEN floor(vec_id / 5) % 7 = 0 THEN NULL ELSE cast(floor(vec_id / 5) * 3 + floor((vec_id % 5) / 2) AS BIGINT) END AS parent_index,
   embedding, label, CASE WHEN vec_id % 3 = 0 THEN 'vigente' ELSE 'borrador' END AS status
 FROM {embeddings}"""
-QUERIES_V = "SELECT cast(vec_id AS BIGINT) AS query_id, embedding, label FROM {embeddings} WHERE vec_id % 25 = 0"
-CONTEXT_V = "SELECT cast(vec_id - 1 AS BIGINT) AS query_id, embedding FROM {embeddings} WHERE vec_id % 25 = 1"
+QUERIES_V = "SELECT cast(vec_id AS BIGINT) AS query_id, embedding, label FROM {embeddings} WHERE vec_id % 20 = 0"
+CONTEXT_V = "SELECT cast(vec_id - 1 AS BIGINT) AS query_id, embedding FROM {embeddings} WHERE vec_id % 20 = 1"
 EDGES = """
 SELECT doc_id AS source, (7 * doc_id + 3) % (SELECT count(*) FROM {documents}) AS target FROM {documents}
 UNION ALL SELECT doc_id, cast(0 AS BIGINT) FROM {documents} WHERE doc_id % 5 = 0"""
