@@ -1,7 +1,8 @@
 """Training-data pipeline over documents: five stages, each calling one operator of notegrid.llm.
 
 1. toxicity: documents that score as toxic go.
-2. simhash: of each group of near duplicates the document with the smallest id stays.
+2. simhash: of each group of near duplicates (op6's links, and five-word shingles of a similarity of
+   0.8 or more) the document with the smallest id stays.
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: every secret is masked in its text and n_chars follows; no document goes.
 5. bpe: the texts become token ids.
@@ -15,13 +16,16 @@ from pyspark.sql import functions as F
 from notegrid.llm import bpe, decontam, secret_scan, simhash, toxicity
 from notegrid.llm.common import saved, table
 
+#: Jaccard similarity of five-word shingles from which documents are near duplicates.
+NEAR_SIMILARITY = 0.8
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return simhash.drop_near_duplicates(docs, min_similarity=NEAR_SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

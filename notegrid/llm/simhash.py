@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .cells import Forest, compared
 from .common import per_text, shared_checkpoints, without
 from .components import components
+from .shingles import similar_links
 
 BITS = 64
 #: Rows of a shard's piece, and so of a tree.
@@ -137,13 +138,20 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", min_similarity: float | None = None
+) -> DataFrame:
     """docs with one document of each component, that of the smallest id; all columns stay.
 
-    Rows that repeat an id are one document. Rows with a null id stay.
+    Rows that repeat an id are one document. Rows with a null id stay. With min_similarity, texts
+    whose five-word shingles are at least that similar (see shingles) are linked as well.
     """
-    found = near_duplicates(docs, radius, id_col, text_col)
-    return without(docs, found.filter("doc_id <> component_id").select("doc_id"), id_col)
+    found = near_duplicates(docs, radius, id_col, text_col).filter("doc_id <> component_id")
+    if min_similarity is None:
+        return without(docs, found.select("doc_id"), id_col)
+    near = found.select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").alias("b"))
+    linked = components(near.unionByName(similar_links(docs, min_similarity, id_col, text_col)))
+    return without(docs, linked.filter("node <> component").select("node"), id_col)
 
 
 def as_hex(fp) -> F.Column:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from notegrid.llm import cells, pivots, rlz, simhash
+from notegrid.llm import cells, pivots, rlz, shingles, simhash
 from notegrid.llm.components import components
 from tests.llm.data import documents, frame, prose
 
@@ -71,6 +71,37 @@ def test_simhash_nothing(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(None, None), (4, 4)}
 
 
+@pytest.mark.parametrize("limit", [1024, 3])
+def test_pipeline_stage_catches_five_word_similarity(spark, limit, monkeypatch):
+    import random
+
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingles, "BUCKET_ROWS", limit)
+    rng = random.Random(12)
+    texts = [prose(rng, 200) for _ in range(4)]
+    for base in texts[:4]:
+        for changes in (1, 2, 3, 4, 4, 4, 5, 6, 8, 12):  # similarities from 0.95 down to 0.5
+            w = base.split()
+            for k in range(changes):
+                w[10 + 15 * k] = f"otra{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += [prose(rng, 3), "", None, "uno dos tres", "UNO  dos\ttres", " ".join([texts[0]] * 2)]
+    rows = [(i * 2, t, *[None] * 8) for i, t in enumerate(texts)] + [(None, texts[0], *[None] * 8)]
+    sets = {}
+    for i, t, *_ in rows[:-1]:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    close = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
+    prints, op6 = brute_simhash(rows[:-1])
+    assert sum((prints[a] ^ prints[b]).bit_count() > 4 for a, b in close) >= 10
+    want = roots(close + list(op6.items()), sets)
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, *sorted(set(want.values()))]
+
+
 def test_bk_tree_finds_all():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
