@@ -4,7 +4,9 @@ Texts become templates: lower-case words, with typed placeholders for numbers, f
 number, and, in a second form, for names (capitals inside a sentence). Every window of five template
 words is hashed and joined with the windows of the benchmark. Where a matching window has slots, the
 values of item and document must go together consistently, so that a question with other numbers or
-names is found and a chance meeting of placeholders is not.
+names is found and a chance meeting of placeholders is not. They are checked for each occurrence of
+an item (windows that lie in the document as they do in the item), since a document may hold several
+variants, and over the whole document.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import Remembered, shared_checkpoints, without
 WINDOW = 5
 MIN_COVERAGE = 0.8
 MIN_SLOT_SHARE = 0.8
+#: Share of the windows of an item that need fixed words where one occurrence alone is looked at.
+MIN_ANCHORED = 0.5
 #: Benchmark windows that may be sent to all executors; with more, both sides are shuffled by hash.
 SENT_WINDOWS = 200_000
 
@@ -79,13 +83,17 @@ def template(text: str, codes: Remembered) -> tuple[list[str], np.ndarray, np.nd
     return [tokens[i] for i in kept] if len(kept) < len(tokens) else tokens, plain, named
 
 
-def windows(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows without a word that cannot match."""
+def windows(codes: np.ndarray, size: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows without a word that cannot match and, with other, that are not the same there."""
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     able = np.concatenate([[0], np.cumsum(codes != OFF)])
-    at = np.flatnonzero(able[size:] - able[:-size] == size)
+    fit = able[size:] - able[:-size] == size
+    if other is not None:
+        apart = np.concatenate([[0], np.cumsum(codes != other)])
+        fit &= apart[size:] != apart[:-size]
+    at = np.flatnonzero(fit)
     h = np.full(len(at), size, np.uint64)
     for i in range(size):
         h = (h ^ codes[at + i]) * np.uint64(STEP)
@@ -159,8 +167,11 @@ def contaminated(
     """doc_id, item_id, n_windows, coverage, slot_share, verbatim: the pairs that are contaminated.
 
     coverage is the share of the windows of an item that come up in the document; slot_share the
-    share of slots whose item value goes with its most frequent document value (1 without slots);
-    verbatim says that all of these values are equal. Null and empty texts and null ids take part in
+    share of slots whose item value goes with its most frequent document value (1 without slots), in
+    the best of the occurrences of the item and the document as a whole; verbatim says that all of
+    these values are equal in one of them. An occurrence has the windows at one distance from their
+    place in the item, or at distances within a quarter of its length (words put in or left out); one
+    with the values of the item always counts. Null and empty texts and null ids take part in
     no pair; items of fewer than five words are one window. Rows that repeat an id count together.
     Empty tables give no rows; other columns are not looked at.
     """
@@ -185,32 +196,53 @@ def contaminated(
         matched = found.join(F.broadcast(known), ["hash", "size"])
     else:
         matched = template_windows(doc, "doc_id", "text", sizes).join(known, ["hash", "size"])
-    matched = matched.select("doc_id", "item_id", "item_pos", "item_last", F.arrays_zip("item_slots", "slots").alias("s")).checkpoint()
-
-    covered = matched.groupBy("doc_id", "item_id").agg(
-        F.countDistinct("item_pos").alias("n_windows"), F.max(F.col("item_last") + 1).alias("of")
-    )
+    slack = F.greatest(F.lit(1), F.expr("(item_last + size) div 4"))
+    shift = F.col("pos") - F.col("item_pos")
+    places = [F.lit(0), shift, F.floor(shift / (2 * slack)), F.floor((shift + slack) / (2 * slack))]
+    places = F.array(*[F.struct(F.lit(k).alias("level"), x.cast("long").alias("place")) for k, x in enumerate(places)])
+    fixed = F.col("size") - F.size("slots")
+    same = F.col("item_slots") == F.col("slots")
+    placed = matched.select(
+        "doc_id", "item_id", "item_pos", "item_last", F.arrays_zip("item_slots", "slots").alias("s"), same.alias("same"),
+        (same | (fixed >= F.when(F.col("item_last") == 0, 3).otherwise(2))).alias("anchored"), F.inline(places),
+    ).checkpoint()
+
+    where = ["doc_id", "item_id", "level", "place"]
+    covered = (
+        placed.groupBy(*where, "item_pos")
+        .agg(F.max("item_last").alias("last"), F.max("same").alias("equal"), F.max("anchored").alias("anchored"))
+        .groupBy(*where)
+        .agg(
+            F.count("*").alias("n"), F.max(F.col("last") + 1).alias("of"),
+            F.sum(F.col("equal").cast("long")).alias("n_equal"), F.sum(F.col("anchored").cast("long")).alias("n_anchored"),
+        )
+        .filter(F.col("n") >= min_coverage * F.col("of"))
+    )
     pairs = (
-        matched.select("doc_id", "item_id", F.explode("s").alias("s"))
-        .groupBy("doc_id", "item_id", F.col("s.item_slots").alias("old"), F.col("s.slots").alias("new"))
+        placed.select(*where, F.explode("s").alias("s"))
+        .groupBy(*where, F.col("s.item_slots").alias("old"), F.col("s.slots").alias("new"))
         .agg(F.count("*").alias("c"))
-        .groupBy("doc_id", "item_id", "old")
+        .groupBy(*where, "old")
         .agg(F.max("c").alias("top"), F.sum("c").alias("all"), F.min(F.col("old") == F.col("new")).alias("same"))
-        .groupBy("doc_id", "item_id")
+        .groupBy(*where)
         .agg((F.sum("top") / F.sum("all")).alias("slot_share"), F.min("same").alias("same"))
     )
+    share = F.coalesce("slot_share", F.lit(1.0))
+    equal = F.col("n_equal") >= min_coverage * F.col("of")
+    # one occurrence of placeholders alone always goes together, so its windows need words
+    anchored = (F.col("level") == 0) | (F.col("n_anchored") >= MIN_ANCHORED * F.col("of"))
     return (
-        covered.filter(F.col("n_windows") >= min_coverage * F.col("of"))
-        .join(pairs, ["doc_id", "item_id"], "left")
-        .select(
-            "doc_id",
-            "item_id",
-            "n_windows",
-            (F.col("n_windows") / F.col("of")).alias("coverage"),
-            F.coalesce("slot_share", F.lit(1.0)).alias("slot_share"),
-            F.coalesce("same", F.lit(True)).alias("verbatim"),
+        covered.join(pairs, where, "left")
+        .groupBy("doc_id", "item_id")
+        .agg(
+            F.max("n").alias("n_windows"),
+            F.max(F.col("n") / F.col("of")).alias("coverage"),
+            F.max(share).alias("slot_share"),
+            F.max(F.coalesce("same", F.lit(True))).alias("verbatim"),
+            F.max(equal | (anchored & (share >= MIN_SLOT_SHARE))).alias("found"),
         )
-        .filter(F.col("slot_share") >= MIN_SLOT_SHARE)
+        .filter("found")
+        .drop("found")
     )
 
 

@@ -148,6 +148,25 @@ def test_decontamination(spark, sent, monkeypatch):
     assert decontam.contaminated(frame(spark, rows), bench.limit(0)).count() == 0 and decontam.contaminated(frame(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_decontamination_of_several_variants(spark, sent, monkeypatch):
+    monkeypatch.setattr(decontam, "SENT_WINDOWS", sent)
+    rng = random.Random(10)
+    item = "a train leaves the old mill at 7 with 40 people and stops 12 km later where 5 people leave so how many people are left"
+    other = item.replace("7", "9").replace("40", "61").replace("12", "33").replace("5", "8")
+    third = item.replace("7", "4").replace("40", "77").replace("12", "20").replace("5", "6")
+    put_in = other.replace("stops", "then suddenly stops")
+    scrambled = " ".join(str(rng.randrange(10**6)) if w.isdigit() else w for w in item.split())
+    items = [(1, item), (2, "42"), (3, "1 2 3 4 5 6 7 8")]
+    rows = [
+        (1, item + " " + prose(rng, 30) + " " + other), (2, other + " " + prose(rng, 30) + " " + third), (3, put_in + " " + third), (4, scrambled),
+        (5, prose(rng, 20) + " 11 22 31 " + prose(rng, 5) + " 9 1 7 3 8 2 6 4 5 12 14"), (6, item[:40] + " " + prose(rng, 9) + " " + other[40:70]),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(frame(spark, [(*r, *[None] * 8) for r in rows]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1)}
+    assert got[1, 1].verbatim and not got[2, 1].verbatim and got[1, 1].slot_share == got[2, 1].slot_share == 1.0
+
+
 def test_sharding(spark):
     rows = documents(157) * 2 + [(None, "x", *[None] * 8)]
     got = sharding.interleaved_shards(frame(spark, rows), shards=7, rows_per_bucket=20).collect()
