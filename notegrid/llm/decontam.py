@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Texts become templates: lower-case words, with typed placeholders for numbers, for units behind a
-number, and, in a second form, for names (capitals inside a sentence). Every window of five template
+number, and, in a second form, for names (capitals inside a sentence), in a third also for capitals
+that begin a sentence, the usual place of names in word problems. Every window of five template
 words is hashed and joined with the windows of the benchmark. Where a matching window has slots, the
 values of item and document must go together consistently, so that a question with other numbers or
 names is found and a chance meeting of placeholders is not. They are checked for each occurrence of
@@ -27,6 +28,8 @@ MIN_COVERAGE = 0.8
 MIN_SLOT_SHARE = 0.8
 #: Share of the windows of an item that need fixed words where one occurrence alone is looked at.
 MIN_ANCHORED = 0.5
+#: Fixed words that an item of one window needs there.
+MIN_FIXED = 3
 #: Benchmark windows that may be sent to all executors; with more, both sides are shuffled by hash.
 SENT_WINDOWS = 200_000
 
@@ -63,8 +66,8 @@ def word_codes(vocabulary: frozenset[int] | None) -> Remembered:
     return Remembered(code_of, REMEMBERED)
 
 
-def template(text: str, codes: Remembered) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of a text, their codes with numbers and units replaced, and those with names replaced too."""
+def template(text: str, codes: Remembered) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a text, their codes with numbers and units replaced, those with names inside a sentence replaced too, and those with all capitals."""
     tokens = TOKEN(text)
     raw = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
     ends = raw == END
@@ -78,9 +81,10 @@ def template(text: str, codes: Remembered) -> tuple[list[str], np.ndarray, np.nd
         for i in behind:
             if tokens[kept[i]].lower() in UNITS:
                 plain[i] = UNIT
-    named = plain.copy()
-    named[(raw & np.uint64(1) == 1) & ~begins] = NAME
-    return [tokens[i] for i in kept] if len(kept) < len(tokens) else tokens, plain, named
+    capital = raw & np.uint64(1) == 1
+    named = np.where(capital & ~begins, NAME, plain)
+    every = np.where(capital, NAME, plain)
+    return [tokens[i] for i in kept] if len(kept) < len(tokens) else tokens, plain, named, every
 
 
 def windows(codes: np.ndarray, size: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -101,20 +105,20 @@ def windows(codes: np.ndarray, size: int, other: np.ndarray | None = None) -> tu
     return at, h
 
 
-def _found(text: str, codes: Remembered, sizes: list[int], wanted: np.ndarray | None):
-    """(start, size, number of windows less one, hash, slot values) of the windows of both forms that are wanted."""
-    words, plain, named = template(text, codes)
-    both = [plain] if (plain == named).all() else [plain, named]
+def _found(text: str, codes: Remembered, sizes: list[int], wanted: np.ndarray | None, item: bool = False):
+    """(start, size, number of windows less one, hash, slot values) of the windows of all forms that are wanted."""
+    words, *forms = template(text, codes)
     for size in sizes:
-        for k, form in enumerate(both):
-            at, h = windows(form, size)
+        for k, form in enumerate(forms):
+            at, h = windows(form, size, forms[k - 1] if k else None)
             if wanted is not None and len(h):
                 i = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                 hit = wanted[i] == h
                 at, h = at[hit], h[hit]
             for a, x in zip(at.tolist(), h.view(np.int64).tolist()):
                 slots = [words[a + j].lower() for j in range(size) if form[a + j] <= NAME]
-                if k and (form[a : a + size] == plain[a : a + size]).all():
+                # an item of one window has no other to go together with: a capital that begins it needs words beside it
+                if k == 2 and item and len(words) == size and size - len(slots) < MIN_FIXED:
                     continue
                 yield a, size, len(words) - size, x, slots
 
@@ -134,7 +138,7 @@ def template_windows(texts: DataFrame, id_col: str, text_col: str, sizes: list[i
                 if own is None:
                     n = len(template(t or "", codes)[1])
                     own = [min(n, WINDOW)] if n else []
-                for got in _found(t or "", codes, own, sought):
+                for got in _found(t or "", codes, own, sought, sizes is None):
                     rows.append(r)
                     for c, v in zip(cols, got):
                         c.append(v)
@@ -204,7 +208,7 @@ def contaminated(
     same = F.col("item_slots") == F.col("slots")
     placed = matched.select(
         "doc_id", "item_id", "item_pos", "item_last", F.arrays_zip("item_slots", "slots").alias("s"), same.alias("same"),
-        (same | (fixed >= F.when(F.col("item_last") == 0, 3).otherwise(2))).alias("anchored"), F.inline(places),
+        (same | (fixed >= F.when(F.col("item_last") == 0, MIN_FIXED).otherwise(2))).alias("anchored"), F.inline(places),
     ).checkpoint()
 
     where = ["doc_id", "item_id", "level", "place"]

@@ -167,6 +167,19 @@ def test_decontamination_of_several_variants(spark, sent, monkeypatch):
     assert got[1, 1].verbatim and not got[2, 1].verbatim and got[1, 1].slot_share == got[2, 1].slot_share == 1.0
 
 
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_decontamination_of_names_that_open_sentences(spark, sent, monkeypatch):
+    monkeypatch.setattr(decontam, "SENT_WINDOWS", sent)
+    rng = random.Random(11)
+    item = "Tom has 3 apples. Sarah gives him 4 more. Tom eats 2 of them. Sarah counts the rest.\nHow many apples are left?"
+    other = item.replace("Tom", "Ben").replace("Sarah", "Anna").replace("3", "5").replace("4", "6").replace("2", "1")
+    items = [(1, item), (2, "Paris"), (3, "Lima. Oslo. Bern. Rome. Kyiv. Baku. Doha.")]
+    rows = [(1, other), (2, prose(rng, 30) + ". " + other.replace("How many", "how many") + " " + prose(rng, 30)), (3, "Uno dos. Tres cuatro. Ana. Eva. Leo. Max. Kim. Sam. Tim. Pol. Uno."), (4, "London")]
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(frame(spark, [(*r, *[None] * 8) for r in rows]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(1, 1), (2, 1)} <= set(got) and not {k for k in got if k[0] in (3, 4) or k[1] != 1}
+    assert not got[1, 1].verbatim and got[1, 1].slot_share == 1.0
+
+
 def test_sharding(spark):
     rows = documents(157) * 2 + [(None, "x", *[None] * 8)]
     got = sharding.interleaved_shards(frame(spark, rows), shards=7, rows_per_bucket=20).collect()
