@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import base64
 import binascii
+import itertools
 import re
 import zlib
+from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,9 @@ from .common import per_text
 
 KINDS = ("assign", "access", "hex")
 MASK = "[SECRET]"
-#: A decompressed layer is read up to this many bytes; it guards against archive bombs alone.
-MAX_LAYER_BYTES = 64 << 20
+#: A decompressed layer is read in pieces of about this many bytes, cut at white space where there is any
+#: in MAX_RUN_BYTES; each piece starts with the last OVERLAP_BYTES or more of the one before.
+PIECE_BYTES, MAX_RUN_BYTES, OVERLAP_BYTES = 8 << 20, 64 << 20, 1 << 16
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -32,7 +36,6 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 RUN = re.compile(r"[^\x20\x09-\x0D]+")
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})(?:[^\x20\x09-\x0D\\]*\\u[0-9A-Fa-f]{4})*[^\x20\x09-\x0D\\]*")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 
@@ -60,62 +63,133 @@ def as_text(raw: bytes) -> str | None:
     return text if text and odd * 10 <= len(text) else None
 
 
-def inflated(raw: bytes) -> bytes | None:
-    """Content of gzip or zlib data."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(wbits=47).decompress(raw, MAX_LAYER_BYTES)
-    except zlib.error:
-        return None
-
-
-def unwrapped(run: str) -> str | None:
-    """Text of a base64 run, through any number of compressed layers."""
+def compressed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] == 0x78 and (head[0] * 256 + head[1]) % 31 == 0)
+
+
+def inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """Content of gzip or zlib data, block by block, over all members; up to the first error."""
+    member, between = zlib.decompressobj(wbits=47), False
+    for block in blocks:
+        while block:
+            if between:  # members may be padded with zeros
+                block = block.lstrip(b"\0")
+                if not block:
+                    break
+                member, between = zlib.decompressobj(wbits=47), False
+            try:
+                out = member.decompress(block, 1 << 20)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            between = member.eof
+            block = member.unused_data if member.eof else member.unconsumed_tail
+    while not between:
+        try:
+            out = member.decompress(member.unconsumed_tail, 1 << 20)
+        except zlib.error:
+            return
+        if not out:
+            return
+        yield out
+
+
+def pieces(blocks: Iterator[bytes]) -> Iterator[str]:
+    """Text of a layer in overlapping pieces; no run and no character is cut if there is white space."""
+    held, kept, seen = bytearray(), 0, set()
+
+    def piece(raw: bytes):
+        text = raw.decode("utf-8", "replace")
+        mark = xxhash.xxh3_128_intdigest(raw)
+        if mark not in seen:
+            seen.add(mark)
+            yield text
+
+    for block in blocks:
+        held += block
+        while len(held) - kept >= PIECE_BYTES:
+            end = max(held.rfind(c, kept) for c in b" \t\n\v\f\r") + 1
+            if end <= kept:
+                if len(held) - kept < MAX_RUN_BYTES:
+                    break
+                end = len(held)
+            yield from piece(bytes(held[:end]))
+            start = max(0, end - OVERLAP_BYTES)
+            space = max(held.rfind(c, 0, start) for c in b" \t\n\v\f\r") + 1
+            start = space if space and start - space <= OVERLAP_BYTES else start
+            while start < end and held[start] & 0xC0 == 0x80:
+                start += 1
+            del held[:start]
+            kept = end - start
+    if len(held) > kept or not seen:
+        yield from piece(bytes(held))
+
+
+def unwrapped(run: str) -> Iterator[str]:
+    """Texts of a base64 run, through any number of compressed layers; several if a layer is large."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    seen = set()
-    while (more := inflated(raw)) is not None and more not in seen:
-        seen.add(more)
-        raw = more
-    return as_text(raw)
+        return
+    if not compressed(raw):
+        if text := as_text(raw):
+            yield text
+        return
+    blocks, head, seen = iter((raw,)), raw, set()
+    while compressed(head) and head not in seen:
+        seen.add(head)
+        blocks = inflated(blocks)
+        head = b""
+        for block in blocks:
+            head += block
+            if len(head) > 2:
+                break
+        blocks = itertools.chain((head,), blocks)
+    if head:
+        yield from pieces(blocks)
 
 
 def decoded_runs(text: str):
     """(start, end, text) of every run of a layer that decodes to something else."""
     if "%" in text:
         for m in RUN.finditer(text):
-            if PERCENT.search(m[0]) and (inner := as_text(unquote_to_bytes(m[0]))) and inner != m[0]:
+            if PERCENT.search(m[0]) and (inner := unquote_to_bytes(m[0]).decode("utf-8", "replace")) != m[0]:
                 yield m.start(), m.end(), inner
     if "\\u" in text:
-        for m in UNICODE.finditer(text):
+        for m in RUN.finditer(text):
             units = ESCAPE.sub(lambda x: chr(int(x[1], 16)), m[0])
             inner = units.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
             if inner != m[0]:
                 yield m.start(), m.end(), inner
     for m in BASE64.finditer(text):
-        if inner := unwrapped(m[0]):
+        for inner in unwrapped(m[0]):
             yield m.start(), m.end(), inner
 
 
 def spans_of(text: str) -> list[tuple[str, int, int, int, bool]]:
     """(kind, start, end, depth, base) by start, then kind as listed; depth counts layers."""
     found = {(kind, a, b): (0, True) for kind, a, b in scan(text)}
-    work = [(a, b, inner, 1) for a, b, inner in decoded_runs(text)]
-    seen = {(a, b, inner) for a, b, inner, _ in work}
-    while work:
-        a, b, layer, depth = work.pop()
-        for kind, _, _ in scan(layer):
-            found.setdefault((kind, a, b), (depth, False))
-        for _, _, inner in decoded_runs(layer):
-            if (a, b, inner) not in seen:
-                seen.add((a, b, inner))
-                work.append((a, b, inner, depth + 1))
+    work: list[tuple[int, int, Iterator[str]]] = []  # a branch: one iterator of layers for each depth
+    seen: set[tuple[int, int, int]] = set()
+    for a, b, first in decoded_runs(text):
+        work.append((a, b, iter((first,))))
+        while work:
+            layer = next(work[-1][2], None)
+            if layer is None:
+                work.pop()
+                continue
+            mark = (a, b, xxhash.xxh3_128_intdigest(layer.encode("utf-8", "surrogatepass")))
+            if mark in seen:
+                continue
+            seen.add(mark)
+            for kind, _, _ in scan(layer):
+                depth = min(len(work), found.get((kind, a, b), (len(work), False))[0])
+                found[kind, a, b] = (depth, (kind, a, b) in found and found[kind, a, b][1])
+            work.append((a, b, (inner for _, _, inner in decoded_runs(layer))))
     return [(*k, *found[k]) for k in sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))]
 
 

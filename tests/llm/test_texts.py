@@ -84,6 +84,24 @@ def test_secrets(spark):
     assert masked[0].text == "API_KEY:'x' [SECRET], [SECRET] paSSwd : ab" and masked[3].text == "uno [SECRET] dos" and masked[7].text is None and masked[10].text == texts[10]
 
 
+def test_secrets_beside_escapes_and_in_large_layers(monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(secret_scan, "OVERLAP_BYTES", 200)
+    secret = b"password=hunter2hunter2"
+    pack = lambda raw: base64.b64encode(raw).decode()
+    rng = random.Random(3)
+    noise = " ".join(f"w{rng.randrange(10**9)}é" for _ in range(2000)).encode()
+    members = gzip.compress(b"uno dos") + gzip.compress(secret) + b"\0\0"
+    large = [noise + b" " + secret, noise[:2995] + b" " + secret + b" " + noise, noise + b" " + pack(gzip.compress(secret)).encode() + b" " + noise]
+    runs = ["password\\u003dhunter2hunter2", "AK\\u0049A1234567890ABCDEF", "passw\\u006frd=hunter2hunter2", "x%ffpassword%3Dhunter2hunter2%ff%fe", pack(members), pack(gzip.compress(members))]
+    runs += [pack(gzip.compress(t)) for t in large] + [pack(zlib.compress(noise + secret + b"\xff\xfe")), pack(gzip.compress(secret + b" " + noise)[:-40])]
+    for run in runs:
+        got = secret_scan.spans_of(f"uno {run} dos")
+        assert got and all(4 <= a and b >= len(run) + 3 - run.count("=") for _, a, b, _, base in got if not base), run[:60]
+        assert secret_scan.masked(f"uno {run} dos").replace("=", "") == "uno [SECRET] dos", run[:60]
+    assert secret_scan.spans_of("uno " + pack(gzip.compress(noise)) + " " + pack(b"\x1f\x8b nada de nada ") + " %zz \\u00 dos") == []
+
+
 def test_licenses(spark):
     mit = licenses.MIT_TEXT
     texts = ["hola\nReleased under the MIT licence\nfin", "Copyright (c) 2020 X\n\n" + mit.upper(), "prosa\n\n" + licenses.ISC_TEXT.replace("\n\n", "\n").replace(",", ""), "Released under the MIT License, con mas", None, "", "LICENSED under the Apache License (v2.0)!\nLicensed under the Apache License, Version 2.0."]
