@@ -3,8 +3,8 @@
 Reference vectors (pivots) are a sample of about 4 sqrt(n) distinct vectors, thinned so that no two
 of them are close (a dense group would else get many pivots, whose order says little). Each vector is
 described by its nearest pivots in order and posted in the inverted lists of those pivots. Two
-vectors of a list are candidates if their descriptions share enough pivots; candidates are verified
-by their cosine in double precision. A pair that meets in several lists counts in that of its
+vectors of a list are candidates if their descriptions share enough pivots (all of them, if there are fewer);
+candidates are verified by their cosine in double precision. Every length of vectors has a pivot. A pair that meets in several lists counts in that of its
 smallest shared pivot. Equal vectors are one class and are compared once. Lists beyond a bound are
 compared in pieces, so nothing is capped.
 """
@@ -87,6 +87,10 @@ def near_vectors(
     by_size: dict[int, list] = {}
     for r in chosen.select("v").toLocalIterator():
         by_size.setdefault(len(r.v), []).append(r.v)
+    length = F.size("v")
+    unmet = classes.filter(~length.isin(list(by_size))) if by_size else classes
+    for r in unmet.groupBy(length.alias("d")).agg(F.min_by("v", F.struct("h1", "h2")).alias("v")).toLocalIterator():
+        by_size[r.d] = [r.v]
     refs = {d: _thinned(_unit(np.array(p))) for d, p in by_size.items()}
     numbers = np.cumsum([0, *map(len, refs.values())])
     pivots = spark.sparkContext.broadcast({d: (int(at), p) for at, (d, p) in zip(numbers, refs.items())})
@@ -150,7 +154,7 @@ def near_vectors(
             some = slice(at, at + 512)
             shared = has_a[some] @ has_b.T
             earlier = has_a[some, :below] @ has_b[:, :below].T
-            ok = (shared >= min_shared) & (earlier == 0)
+            ok = (shared >= min(min_shared, near_a.shape[1])) & (earlier == 0)
             i, j = np.nonzero(ok & (unit_a[some] @ unit_b.T >= min_cosine))
             i += at
             if b is None:

@@ -140,6 +140,25 @@ def test_pivots(spark, limit, monkeypatch):
     assert pivots.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [4096, 50])
+def test_pivots_of_a_cone_and_of_few_rows(spark, limit, monkeypatch):
+    monkeypatch.setattr(pivots, "LIST_ROWS", limit)
+    rng = np.random.default_rng(6)
+    cone = np.eye(16)[0] + rng.normal(size=(300, 16)) * 0.1  # cosines of about 0.87
+    cone[200:] = cone[:100] + rng.normal(size=(100, 16)) * 0.02
+    near = [[1.0, 0.1, 0.0], [1.0, 0.12, 0.0]]
+    cases = [cone.tolist(), near, near[:1], cone.tolist() + near]
+    for k, case in enumerate(cases):
+        if k == 3:
+            monkeypatch.setattr(pivots, "PIVOTS", (2, 2))  # so that hardly any length has a sampled pivot
+            case = case + [[*v, *v] for v in near] + [[2.0] * d for d in range(20, 40)] + [[2.1] * (d - 1) + [2.0] for d in range(20, 40)]
+        got = {r.vec_id: r for r in pivots.near_vectors(spark.createDataFrame(list(enumerate(case)), "vec_id long, embedding array<double>")).collect()}
+        unit = [np.array(v) / np.linalg.norm(v) for v in case]
+        pairs = [(a, b) for a in range(len(case)) for b in range(len(case)) if a != b and len(case[a]) == len(case[b]) and unit[a] @ unit[b] >= 0.95]
+        comp = roots([p for p in pairs if p[0] < p[1]], range(len(case)))
+        assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (sum(a == i for a, _ in pairs), comp[i]) for i in range(len(case))}
+
+
 def test_groups_of_any_batching():
     import pyarrow as pa
 
