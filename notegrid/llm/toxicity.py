@@ -1,22 +1,23 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-One dictionary holds ordinary text; the other holds the same text and, in place of filler of the
-same length, words that mark toxic text. A window is a word, repeated so that a match outweighs the
-frame; its gain is the number of bytes that the second dictionary saves against the first. Whatever
-both dictionaries know compresses alike, so most words gain nothing. A logistic model, calibrated on
-the training rows, turns the gains of a text into a score.
-
-Training words are told apart by their beginnings, whose document frequency is compared between
-toxic and ordinary training texts. Ordinary words that gain by chance are then put in the text that
-both dictionaries share.
+Both dictionaries end in the same running ordinary text. Before it, one holds what zstandard trains on
+windows of toxic texts, the other, of the same length, what it trains on windows of ordinary texts. A
+window is a dozen words of running text, windows overlap by half, and the gain of a window is the
+number of bytes that the toxic dictionary saves against the ordinary one. What ordinary text has is
+found in the long shared part by both and gains nothing.
+
+Most windows of a toxic text are ordinary, and labels mark texts, not windows. So training goes in
+rounds over two halves of the toxic texts: windows of one half that gain by the dictionary of the
+other, more than nearly all windows of ordinary texts set aside, are what the next dictionary is
+trained on, cut to the stretch that gains most. What is not common to both halves drops out. Ordinary
+windows that gain by chance train the next ordinary dictionary. A logistic model, calibrated on the
+gains that each half has by the other's dictionary, turns the gains of a text into a score.
 """
 
 from __future__ import annotations
 
 import math
 import random
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,33 +28,60 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, hash_sample, per_text
+from .common import hash_sample, per_text
 
-#: Labelled rows that the model is fitted on, at most: toxic and ordinary ones.
-SAMPLE = (1500, 3500)
+#: Labelled rows that the model is fitted on, at most: toxic and ordinary ones, of at most so many bytes each.
+SAMPLE = (1500, 4000)
+SAMPLE_TEXT_BYTES = 40_000
 #: A score from here on is toxic.
 THRESHOLD = 0.7
-PREFIX = 5
-MIN_SHARE, MIN_RATIO = 0.02, 20.0
-SHARED_BYTES, TOXIC_BYTES = 8_000, 8_000
-REPEATS = 3
-ROUNDS = 3
-#: Words that a task remembers with their gain, twice over at most.
-REMEMBERED = 100_000
-
-words_of = re.compile(r"\w+").findall
+#: Words of a window and from one window to the next; longer words count as several.
+WINDOW, STEP, WORD_BYTES = 12, 6, 64
+#: Bytes of the part that both dictionaries share and of their trained parts.
+SHARED_BYTES, TRAINED_BYTES = 3_500_000, 32 << 10
+SEGMENT_BYTES = 24
+#: Words of the stretches of windows that each further round of training takes.
+NARROWED = (6, 6)
+#: Windows that a dictionary is trained on, at most.
+SAMPLES = 40_000
+#: Share of the windows of ordinary texts that a toxic window has to beat to train the next dictionary.
+BEATEN = 0.998
+#: Gains from which windows are counted for a score.
+LEVELS = (1, 3, 5)
 
 
 @dataclass(frozen=True)
 class Model:
+    shared: bytes
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...]
 
 
+def lowered(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass")
+
+
+def windows(raw: bytes, size: int = WINDOW, step: int = STEP) -> np.ndarray:
+    """(offset, length), as uint64, of the windows over the words of a text; words are runs without white space."""
+    blank = np.frombuffer(raw, np.uint8) <= 32
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.zeros((0, 2), np.uint64)
+    if (ends - starts).max() > WORD_BYTES:
+        n = -(-(ends - starts) // WORD_BYTES)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        starts = np.repeat(starts, n) + within * WORD_BYTES
+        ends = np.minimum(starts + WORD_BYTES, np.repeat(ends, n))
+    first = np.arange(0, max(1, len(starts) - size + step), step)
+    last = np.minimum(first + size, len(starts)) - 1
+    return np.stack([starts[first], ends[last] - starts[first]], 1).astype(np.uint64)
+
+
 def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_LAZY, min_match=5, window_log=15, hash_log=13, chain_log=13, search_log=4,
+        strategy=zstandard.STRATEGY_LAZY2, min_match=5, window_log=23, hash_log=20, chain_log=22, search_log=5,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -61,84 +89,104 @@ def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
 
 
-class Gains:
-    """The gain of words under a model, remembered."""
+class Distances:
+    """Gains of the windows of texts under two dictionaries; holds about 50 MB."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic = _compressor(ordinary).compress, _compressor(toxic).compress
-        self.known = Remembered(self.of, REMEMBERED)
+    def __init__(self, shared: bytes, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = _compressor(ordinary + shared), _compressor(toxic + shared)
 
-    def of(self, word: str) -> int:
-        window = ((" " + word) * REPEATS + " ").encode("utf-8", "surrogatepass")
-        return len(self.ordinary(window)) - len(self.toxic(window))
+    def gains(self, raw: bytes, at: np.ndarray) -> np.ndarray:
+        if not len(at):
+            return np.zeros(0, np.int64)
+        source = zstandard.BufferWithSegments(raw, at.tobytes())
+
+        def sizes(compressor):
+            out = compressor.multi_compress_to_buffer(source, threads=1)
+            return np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
+
+        return sizes(self.ordinary) - sizes(self.toxic)
+
+    def best(self, piece: bytes, size: int) -> list[bytes]:
+        """The stretch of size words of a window that gains most."""
+        at = windows(piece, size, 1)
+        gains = self.gains(piece, at)
+        a, n = at[int(gains.argmax())].tolist()
+        return [piece[a : a + n]] if gains.max() > 0 else []
 
     def features(self, text: str) -> list[float]:
-        words = words_of(text.lower())
-        gained = [g for g in map(self.known.__getitem__, words) if g > 0]
-        top, total = max(gained, default=0), sum(gained)
-        return [1.0, top, math.log1p(total), math.log1p(1000 * total / max(1, len(words)))]
+        raw = lowered(text)
+        return features(self.gains(raw, windows(raw)))
+
+
+def features(gains: np.ndarray) -> list[float]:
+    if not len(gains):
+        gains = np.zeros(1, np.int64)
+    shares = [math.log1p(100 * float(np.mean(gains >= k))) for k in LEVELS]
+    return [1.0, float(gains.max()) / 5, math.log1p(float(np.maximum(gains, 0).sum())), *shares, math.log1p(float((gains >= 4).sum()))]
 
 
-def _frames(shared: list[str], marked: list[str], rng: random.Random) -> tuple[bytes, bytes]:
-    """The two raw dictionaries: shared text at the same place in both, marked words near the end."""
-    base = (" " + " ".join(shared) + " ").encode()
-    toxic = (" " + " ".join(marked) + " ").encode()
-    filler = bytes(rng.randrange(1, 8) for _ in toxic)
-    tail = bytes(rng.randrange(1, 8) for _ in range(64))
-    return base + filler + tail, base + toxic + tail
+def _trained(samples: list[bytes], rng: random.Random) -> bytes:
+    """A dictionary of zstandard's trainer as content of a fixed length; the samples themselves where they are too few to train on."""
+    samples = rng.sample(samples, min(len(samples), SAMPLES))
+    try:
+        got = zstandard.train_dictionary(TRAINED_BYTES, samples, k=SEGMENT_BYTES, d=6).as_bytes()
+    except zstandard.ZstdError:
+        got = b"\n".join(samples)
+    return got[-TRAINED_BYTES:].rjust(TRAINED_BYTES, b"\0")
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Ridge logistic regression by Newton's method."""
     w = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w = w + np.linalg.solve(h, x.T @ (y - p) - 0.1 * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
+        w = w + np.linalg.solve(h, x.T @ (y - p) - 0.05 * w)
     return tuple(map(float, w))
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 5) -> Model | None:
-    """A model from labelled texts; None unless there are texts of both kinds."""
+    """A model from labelled texts; None unless there are texts of both kinds with words.
+
+    Half of the ordinary texts go into the dictionaries, the others are set aside to measure what
+    ordinary windows gain; with a single one it does both.
+    """
     rng = random.Random(seed)
-    split = [words_of(t.lower()) for t in texts]
-    marked_docs = [w for w, y in zip(split, toxic, strict=True) if y]
-    plain_docs = [w for w, y in zip(split, toxic, strict=True) if not y]
-    if not marked_docs or not plain_docs:
+    marked = [lowered(t) for t, y in zip(texts, toxic, strict=True) if y]
+    plain = [lowered(t) for t, y in zip(texts, toxic, strict=True) if not y]
+    rng.shuffle(plain)
+    rng.shuffle(marked)
+    cut = lambda raw, at: [raw[a : a + n] for a, n in at.tolist()]
+    placed = lambda group: [(raw, windows(raw)) for raw in group]
+    pieces = [p for raw, at in placed(plain[::2]) for p in cut(raw, at)]
+    rng.shuffle(pieces)
+    shared = b"\n".join(pieces)[:SHARED_BYTES]
+    folds = [placed(marked[k::2] or marked) for k in (0, 1)]
+    aside = plain[1::2] or plain
+    asides = [placed(aside[k::2] or aside) for k in (0, 1)]
+    hard = [[p for raw, at in fold for p in cut(raw, at)] for fold in folds]
+    lucky = [pieces[: SAMPLES // 2]] * 2
+    if not pieces or not all(hard):
         return None
-    begin = lambda docs: Counter(p for d in docs for p in {w[:PREFIX] for w in d if len(w) >= 4})
-    in_marked, in_plain = begin(marked_docs), begin(plain_docs)
-    least = max(2, MIN_SHARE * len(marked_docs))
-    stems = {
-        p for p, n in in_marked.items()
-        if n >= least and (n + 0.5) / (len(marked_docs) + 1) > MIN_RATIO * (in_plain[p] + 0.5) / (len(plain_docs) + 1)
-    }
-    counts = Counter(w for d in marked_docs for w in set(d) if w[:PREFIX] in stems)
-    marked, room = [], TOXIC_BYTES
-    for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-        room -= len(w.encode()) + 1
-        if room < 0:
-            break
-        marked.append(w)
-    frequent = Counter(w for d in plain_docs for w in set(d) if w[:PREFIX] not in stems)
-    shared, room = [], SHARED_BYTES
-    for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0])):
-        room -= len(w.encode()) + 1
-        if room < 0:
+    for width in (*NARROWED, None):
+        of_plain, of_marked = [], []
+        better, unlucky = [[], []], [[], []]
+        for k in (0, 1):
+            distances = Distances(shared, _trained(lucky[1 - k], rng), _trained(hard[1 - k], rng))
+            low = [distances.gains(raw, at) for raw, at in asides[k]]
+            high = [distances.gains(raw, at) for raw, at in folds[k]]
+            of_plain, of_marked = of_plain + low, of_marked + high
+            if width:
+                least = max(1.0, float(np.quantile(np.concatenate(low), BEATEN)))
+                best = lambda group, keep: [q for (raw, at), ok in zip(group, keep) for p in cut(raw, at[ok]) for q in distances.best(p, width)]  # noqa: B023, E731
+                better[k] = best(folds[k], [g > least for g in high])
+                unlucky[k] = best(asides[k], [g >= least for g in low])
+        if not width or not all(better):
             break
-        shared.append(w)
-    shared.reverse()
-    marked.reverse()  # the most frequent last, where a match is cheapest
-    for _ in range(ROUNDS):
-        gains = Gains(*_frames(shared, marked, rng))
-        lucky = [w for w, n in frequent.items() if n >= 2 and gains.of(w) > 0]
-        if not lucky:
-            break
-        shared += sorted(lucky)[:2000]
-    ordinary, with_toxic = _frames(shared, marked, rng)
-    gains = Gains(ordinary, with_toxic)
-    x = np.array([gains.features(t) for t in texts])
-    return Model(ordinary, with_toxic, _fit(x, np.array(toxic, float)))
+        hard, lucky = better, [u + pieces[: SAMPLES // 20] for u in unlucky]
+    x = np.array([features(g) for g in of_marked + of_plain])
+    y = np.array([1.0] * len(of_marked) + [0.0] * len(of_plain))
+    return Model(shared, _trained(lucky[0] + lucky[1], rng), _trained(hard[0] + hard[1], rng), _fit(x, y))
 
 
 def held_out(id_col: str) -> F.Column:
@@ -149,7 +197,8 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from a bounded sample of the labelled rows that are not held out.
 
     The sample takes ids by hash order, so it is the same at every run; it is the only thing that
-    comes to the driver. An id with several labels counts as toxic if one of them says so.
+    comes to the driver: at most `sample` rows, without those of more than SAMPLE_TEXT_BYTES bytes. An
+    id with several labels counts as toxic if one of them says so.
     """
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
@@ -159,48 +208,54 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     picked = [hash_sample(known.filter(F.col("toxic") == k), 3, [id_col], n) for k, n in ((1, sample[0]), (0, sample[1]))]
     ids = picked[0].unionByName(picked[1])
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), id_col).select(id_col, "text", "toxic").toPandas()
-    rows = rows.sort_values([id_col, "text"], na_position="first")
-    return train([t or "" for t in rows["text"]], [int(y) for y in rows["toxic"]])
+    texts = docs.select(id_col, F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    rows = texts.join(F.broadcast(ids), id_col).select(id_col, "text", "toxic").toPandas()
+    rows = rows.sort_values([id_col, "text"])
+    return train(rows["text"].tolist(), [int(y) for y in rows["toxic"]])
 
 
 def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: the id, score (0 to 1) and predicted (1 from THRESHOLD on).
 
-    Every whole text is scored; null and empty texts score as a text without any gain. Without a
-    model (labels of one kind only) all scores are 0. Repeated rows and null ids are kept; other
-    columns are not looked at. One pass, without a shuffle.
+    Every whole text is scored, however long, one text at a time; null and empty texts score as a text
+    without any gain. Without a model (labels of one kind only) all scores are 0. Repeated rows and
+    null ids are kept; other columns are not looked at. One pass, without a shuffle.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # about 4 MB
 
     def worker():
-        gains = Gains(model.ordinary, model.toxic) if model else None
-        weights = np.array(model.weights) if model else None
+        score = _scorer(sent.value)
 
         def apply(texts):
-            if gains is None:
-                got = np.zeros(len(texts))
-            else:
-                x = np.array([gains.features(t) for t in texts]).reshape(len(texts), -1)
-                got = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))) if len(texts) else np.zeros(0)
-            return [pa.array(got, pa.float64()), pa.array((got >= THRESHOLD).astype(np.int32))]
+            got = np.array([score(t) for t in texts], float)
+            return [pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32))]
 
         return apply
 
     return per_text(docs, id_col, text_col, worker, pa.schema([("score", pa.float64()), ("predicted", pa.int32())]))
 
 
+def _scorer(model: Model | None):
+    if model is None:
+        return lambda text: 0.0
+    distances = Distances(model.shared, model.ordinary, model.toxic)
+    return lambda text: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(distances.features(text), model.weights))))))
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score as toxic; all columns stay."""
+    """docs without the rows that score as toxic; all columns stay.
+
+    Whole texts count, however long; null and empty texts stay, as do all rows without a model.
+    """
     model = fitted(docs, labels, id_col, text_col)
     if model is None:
         return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def toxic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        gains, weights = Gains(model.ordinary, model.toxic), np.array(model.weights)
-        least = math.log(THRESHOLD / (1 - THRESHOLD))
+        score = _scorer(sent.value)
         for texts in parts:
-            yield texts.map(lambda t: bool(np.dot(gains.features(t or ""), weights) >= least)).astype(bool)
+            yield texts.map(lambda t: bool(score(t or "") >= THRESHOLD)).astype(bool)
 
     return docs.filter(~toxic(F.col(text_col).cast("string")))
-
