@@ -14,6 +14,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,11 @@ from pyspark.sql import functions as F
 from .common import per_text
 
 #: Chunks and words that a worker remembers with their encoding, twice over at most.
-REMEMBERED, REMEMBERED_WORDS = 200_000, 100_000
+REMEMBERED, REMEMBERED_WORDS = 150_000, 75_000
+#: Longer chunks and words are not remembered, so the memories are bounded in bytes (about 100 MB).
+REMEMBERED_LENGTH = 48
+#: In place of a part that went into the one before it.
+GONE = -1
 #: What the file's normalizer and splitter come to on lower-case printable ASCII, and the digest of the rules for which that holds.
 ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\x20]+").findall
 ASCII_RULES = "d5be8fc62f03c6f970615877744b6fb5"
@@ -94,18 +99,30 @@ class Vocabulary:
         return [self.ids[c] for c in (*word[:-1], word[-1:] + suffix) if c in self.ids]
 
     def merged(self, parts: list[int]) -> list[int]:
-        """Exact merging: the earliest learnt pair first, the leftmost of equals."""
-        find, none = self.ranks.get, (1 << 60, -1)
-        steps = [find(p, none) for p in zip(parts, parts[1:], strict=False)]
-        while steps and (best := min(steps)) is not none:
-            at = steps.index(best)
-            parts[at : at + 2] = [best[1]]
-            del steps[at]
-            if at:
-                steps[at - 1] = find((parts[at - 1], parts[at]), none)
-            if at < len(steps):
-                steps[at] = find((parts[at], parts[at + 1]), none)
-        return parts
+        """Exact merging: the earliest learnt pair first, the leftmost of equals.
+
+        Pairs wait in a heap by (rank, place); parts are a linked list, so a word of n characters costs
+        O(n log n). An entry whose left part has changed since is passed over.
+        """
+        ids, find = list(parts), self.ranks.get
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := find((ids[i], ids[i + 1])))]
+        heapify(heap)
+        while heap:
+            _, i, a, b, whole = heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue
+            k = after[j]
+            ids[i], ids[j], after[i] = whole, GONE, k
+            if k < n:
+                before[k] = i
+                if r := find((whole, ids[k])):
+                    heappush(heap, (r[0], i, whole, ids[k], r[1]))
+            if (h := before[i]) >= 0 and (r := find((ids[h], whole))):
+                heappush(heap, (r[0], h, ids[h], whole, r[1]))
+        return [t for t in ids if t != GONE]
 
     def proposed(self, word: str) -> list[int] | None:
         """Greedy longest match over a word, whose last token carries the suffix; None where nothing matches."""
@@ -193,6 +210,9 @@ class Vocabulary:
         for w, ids in zip(new, self.encode_words(new), strict=True):
             found[w] = array("i", ids).tobytes()
         known = [found[w] for w in words]
+        for w in new:
+            if len(w) > REMEMBERED_LENGTH:
+                del found[w]
         return [b"".join([known[p] if p >= 0 else array("i", (-1 - p,)).tobytes() for p in row]) for row in pieces]
 
     def chunks_of(self, rows: list[list[str]]) -> dict[str, bytes]:
@@ -205,8 +225,14 @@ class Vocabulary:
         known.update(zip(again, [older[c] for c in again], strict=True))
         new = list(lacking.difference(again))
         known.update(zip(new, self.encode_chunks(new), strict=True))
+        self.passing = [c for c in new if len(c) > REMEMBERED_LENGTH]
         return known
 
+    def forget(self) -> None:
+        """Drops the long chunks of the last call of chunks_of."""
+        for c in self.passing:
+            del self.known_chunks[c]
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Without a decoder in the file, tokens are joined by spaces."""
         tokens = pa.ListArray.from_arrays(ids.offsets, self.tokens.take(ids.values))
@@ -222,7 +248,8 @@ def encode_decode(docs: DataFrame, vocabulary_path: str | None = None, id_col: s
     """Per row of docs: the id, ids array<int>, and decoded string (null if not asked for).
 
     The ids are those of the tokenizers library without special tokens added; special tokens that
-    stand in a text are recognised. Null and empty texts give an empty array and ''. Repeated rows
+    stand in a text are recognised. Null and empty texts give an empty array and ''. Whole texts are
+    encoded, however long, also those of one word (n log n). Repeated rows
     and null ids are kept; other columns are not looked at. One pass, without a shuffle. The path
     must be readable where tasks run; None takes the file of the public_tokenizers package there.
     """
@@ -239,6 +266,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str | None = None, id_col: s
             split = [t.translate(SPACES).split(" ") for t in texts]
             encoding = vocab.chunks_of(split).__getitem__
             ids = [b"".join(map(encoding, row)) for row in split]
+            vocab.forget()
             ends = np.cumsum([0, *map(len, ids)]) // 4
             values = pa.array(np.frombuffer(b"".join(ids), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)

@@ -5,6 +5,7 @@ import json
 import random
 import re
 import zlib
+from array import array
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,12 +28,29 @@ def test_bpe_equals_library(spark):
     for i, t in enumerate(texts):
         e = tok.encode(t or "", add_special_tokens=False)
         assert got[i].ids == e.ids and got[i].decoded == tok.decode(e.ids, skip_special_tokens=False)
+    assert sorted(r.n for r in bpe.encode_decode(frame(spark, [rows[3], rows[3]])).select(F.size("ids").alias("n")).collect()) == [len(tok.encode(texts[3], add_special_tokens=False).ids)] * 2
     d = bpe.encoding_digests(bpe.encode_decode(frame(spark, rows[:1] + rows[-3:]))).collect()[0]
     e = tok.encode(texts[0], add_special_tokens=False)
     assert d.n_tokens == len(e.ids) and d.ids_sha256 == hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest()
     assert bpe.encode_decode(frame(spark, [])).count() == 0
 
 
+def test_bpe_of_a_long_word(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, vocab, rng = Tokenizer.from_file(path), bpe.vocabulary(path), random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (1, 2, 50, 30_000)] + ["ab" * 9000, "etaoin" * 3000]
+    for w in [*words, "".join(rng.choice("abcdefghij") for _ in range(1_000_000))]:
+        assert vocab.merged(vocab.symbols(w, vocab.suffix)) == tok.encode(w, add_special_tokens=False).ids
+    text = " ".join(words)
+    got = vocab.chunks_of([text.split(" ")])
+    assert [i for c in text.split(" ") for i in array("i", got[c])] == tok.encode(text, add_special_tokens=False).ids
+    vocab.forget()
+    assert max(map(len, [*vocab.known_chunks, *vocab.known_words])) <= bpe.REMEMBERED_LENGTH
+
+
 def plain_pii(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
