@@ -1,7 +1,7 @@
 """Secrets in texts, also inside nested encodings.
 
-A worklist holds layers: the text itself, then every percent, backslash-u, base64 and compressed
-run that decodes. Each layer is scanned by the same patterns and searched for further runs, until
+A worklist holds layers: the text itself, then every percent, backslash-u, base64 (on one line or
+wrapped over several) and compressed run that decodes. Each layer is scanned by the same patterns and searched for further runs, until
 no new layer comes up; a layer seen before (same content, same place) ends its branch. What is
 found in a decoded layer is reported at the run of the original text that holds it.
 """
@@ -37,6 +37,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[^\x20\x09-\x0D]+")
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]{4,}+)++={0,2}+(?![A-Za-z0-9+/_=-])")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 
 
@@ -54,12 +55,9 @@ def scan(text: str):
 
 
 def as_text(raw: bytes) -> str | None:
-    """Text of bytes that are UTF-8 and nearly all printable."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if not c.isprintable() and c not in "\t\n\r")
+    """Text of bytes that are UTF-8 and printable but for a tenth; bad bytes are replaced."""
+    text = raw.decode("utf-8", "replace")
+    odd = sum(1 for c in text if c == "\ufffd" or (not c.isprintable() and c not in "\t\n\r"))
     return text if text and odd * 10 <= len(text) else None
 
 
@@ -67,16 +65,16 @@ def compressed(head: bytes) -> bool:
     return head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] == 0x78 and (head[0] * 256 + head[1]) % 31 == 0)
 
 
-def inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
-    """Content of gzip or zlib data, block by block, over all members; up to the first error."""
-    member, between = zlib.decompressobj(wbits=47), False
+def inflated(blocks: Iterator[bytes], wbits: int = 47) -> Iterator[bytes]:
+    """Content of gzip or zlib data (with wbits -15: bare deflate), block by block, over all members; up to the first error."""
+    member, between = zlib.decompressobj(wbits=wbits), False
     for block in blocks:
         while block:
             if between:  # members may be padded with zeros
                 block = block.lstrip(b"\0")
                 if not block:
                     break
-                member, between = zlib.decompressobj(wbits=47), False
+                member, between = zlib.decompressobj(wbits=wbits), False
             try:
                 out = member.decompress(block, 1 << 20)
             except zlib.error:
@@ -138,6 +136,11 @@ def unwrapped(run: str) -> Iterator[str]:
     if not compressed(raw):
         if text := as_text(raw):
             yield text
+            return
+        blocks = inflated(iter((raw,)), -15)
+        first = next(blocks, b"")
+        if as_text(first[:4096]):
+            yield from pieces(itertools.chain((first,), blocks))
         return
     blocks, head, seen = iter((raw,)), raw, set()
     while compressed(head) and head not in seen:
@@ -168,6 +171,13 @@ def decoded_runs(text: str):
     for m in BASE64.finditer(text):
         for inner in unwrapped(m[0]):
             yield m.start(), m.end(), inner
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            lines = m[0].split()
+            # what looks like a last line may be a word of other text
+            for n, end in ((len(lines), m.end()), (len(lines) - 1, m.start() + m[0].rfind(lines[-2]) + len(lines[-2]))):
+                for inner in unwrapped("".join(lines[:n])) if n > 1 else ():
+                    yield m.start(), end, inner
 
 
 def spans_of(text: str) -> list[tuple[str, int, int, int, bool]]:
@@ -202,8 +212,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of docs: the id and spans, array<struct<kind, start, end, depth, base>>.
 
     base marks what the patterns match in the text itself; other spans are encoded runs that hold
-    a secret. Offsets are code points, end exclusive. Null and empty texts have no spans; repeated
-    rows and null ids are kept; other columns are not looked at. One pass, without a shuffle.
+    a secret. Offsets are code points, end exclusive. Null and empty texts have no spans; whole texts
+    are scanned, however long; repeated rows and null ids are kept; other columns are not looked at. One pass, without a shuffle.
     """
 
     def worker():
@@ -229,7 +239,10 @@ def masked(text: str) -> str:
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the secrets of every text replaced; all rows and columns stay, null texts stay null."""
+    """docs with the secrets of every text replaced, however long; all rows and columns stay, null texts stay null.
+
+    Empty texts, null ids and repeated rows stay as they are.
+    """
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:

@@ -120,6 +120,45 @@ def test_secrets_beside_escapes_and_in_large_layers(monkeypatch):
     assert secret_scan.spans_of("uno " + pack(gzip.compress(noise)) + " " + pack(b"\x1f\x8b nada de nada ") + " %zz \\u00 dos") == []
 
 
+def plain_secrets(t):
+    out = [("assign", m.start(), m.end()) for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
+    out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 16]
+    out += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", t) if m.end() - m.start() >= 32]
+    return sorted(out, key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
+
+
+def test_secrets_base_equals_the_patterns(spark):
+    rng = random.Random(13)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "\"", "'", " ", "  ", ":", "=", "AKIA", "ABCDEF", "0123456789", "abcdef01", "a" * 17, "x", "\n", "é", "%41", "/+-._", "ſecret", "toKen"]
+    texts = ["".join(rng.choice(parts) for _ in range(40)) for _ in range(400)] + [None, ""]
+    rows = [(i, t, *[None] * 8) for i, t in enumerate(texts)] + [(None, texts[0], *[None] * 8), (0, texts[0], *[None] * 8)]
+    got = pii.span_digests(secret_scan.find_secrets(frame(spark, rows)), secret_scan.KINDS).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = plain_secrets(texts[r.doc_id or 0] or "")
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest(), texts[r.doc_id or 0]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in want) for k in secret_scan.KINDS)
+        assert not text or set(text.split(",")) <= set(r.spans.split(","))
+
+
+def test_secrets_in_wrapped_and_bare_layers():
+    rng = random.Random(14)
+    prose_ = " ".join(f"uno{rng.randrange(99)}" for _ in range(40))
+    secret = prose_ + " password=hunter2hunter2 " + prose_
+    b64 = base64.b64encode(secret.encode()).decode()
+    wrapped = lambda t, n: "\n".join(t[a : a + n] for a in range(0, len(t), n))
+    bare = zlib.compressobj(wbits=-15)
+    deflated = base64.b64encode(bare.compress(secret.encode()) + bare.flush()).decode()
+    latin = base64.b64encode(("é" * 9 + secret).encode("latin-1")).decode()
+    for run in (wrapped(b64, 76), wrapped(b64, 64).replace("\n", "\r\n"), wrapped(b64.rstrip("="), 40) + "\nfin del texto", deflated, wrapped(deflated, 60), latin, "\\u0070assword\\u003d\\u0022hunter2hunter2"):
+        got = [s for s in secret_scan.spans_of("uno: " + run + " dos") if not s[4]]
+        assert {s[0] for s in got} == {"assign"} and min(s[1] for s in got) == 5, run[:50]
+        left = secret_scan.masked("uno: " + run + " dos")
+        assert "hunter2" not in left and len(left) < 40, left
+    assert secret_scan.spans_of("una palabra antidisestablishmentarianism\nsigue aqui\n" + wrapped(base64.b64encode(prose_.encode()).decode(), 76)) == []
+
+
 def test_licenses(spark):
     mit = licenses.MIT_TEXT
     texts = ["hola\nReleased under the MIT licence\nfin", "Copyright (c) 2020 X\n\n" + mit.upper(), "prosa\n\n" + licenses.ISC_TEXT.replace("\n\n", "\n").replace(",", ""), "Released under the MIT License, con mas", None, "", "LICENSED under the Apache License (v2.0)!\nLicensed under the Apache License, Version 2.0."]
