@@ -74,7 +74,8 @@ def _license_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
 
     def canonical(text: str) -> str:
-        out = f"regexp_replace(lower({text}), {quoted(licenses.COPYRIGHT_LINE)}, '', 'g')"
+        out = f"regexp_replace(lower({text}), {quoted(licenses.NO_NOTICE)}, {quoted(licenses.MARKED.replace('$', chr(92)))}, 'g')"
+        out = f"replace(regexp_replace({out}, {quoted(licenses.COPYRIGHT_LINE)}, '', 'g'), 'qqcopyright', 'copyright')"
         out = f"regexp_replace({out}, {quoted(licenses.WORDLESS)}, ' ', 'g')"
         for pattern, to in licenses.SPELLINGS:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to.replace('$', chr(92)))}, 'g')"
