@@ -50,7 +50,7 @@ MATCHES = pa.schema(
 )
 
 
-def word_codes(vocabulary: frozenset[int] | None) -> Remembered:
+def word_codes(vocabulary: dict[str, int] | None) -> Remembered:
     """token -> even code of its lower case, with bit 0 for a capital; words outside the vocabulary, if there is one, have code 0."""
 
     def code_of(token: str) -> int:
@@ -58,9 +58,11 @@ def word_codes(vocabulary: frozenset[int] | None) -> Remembered:
             return int(END)
         if token[0].isdigit():
             return int(NUM)
-        code = xxhash.xxh64_intdigest(token.lower().encode("utf-8", "surrogatepass"), 7) >> 4 << 4 | 16
-        if vocabulary is not None and code not in vocabulary:
-            code = 0
+        lower = token.lower()
+        if vocabulary is not None:
+            code = vocabulary.get(lower, 0)
+        else:
+            code = xxhash.xxh64_intdigest(lower.encode("utf-8", "surrogatepass"), 7) >> 4 << 4 | 16
         return code | CAPITAL * token[0].isupper()
 
     return Remembered(code_of, REMEMBERED)
@@ -87,30 +89,34 @@ def template(text: str, codes: Remembered) -> tuple[list[str], np.ndarray, np.nd
     return [tokens[i] for i in kept] if len(kept) < len(tokens) else tokens, plain, named, every
 
 
-def windows(codes: np.ndarray, size: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows without a word that cannot match and, with other, that are not the same there."""
-    n = len(codes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    able = np.concatenate([[0], np.cumsum(codes != OFF)])
-    fit = able[size:] - able[:-size] == size
-    if other is not None:
-        apart = np.concatenate([[0], np.cumsum(codes != other)])
-        fit &= apart[size:] != apart[:-size]
-    at = np.flatnonzero(fit)
-    h = np.full(len(at), size, np.uint64)
-    for i in range(size):
-        h = (h ^ codes[at + i]) * np.uint64(STEP)
-        h ^= h >> np.uint64(29)
-    return at, h
+def windows(forms: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each form starts and hashes of its windows without a word that cannot match, but for those that are the same in the form before.
+
+    What cannot match in the last form, which has the most placeholders, cannot in the others.
+    """
+    n = len(forms[-1]) - size + 1
+    able = np.flatnonzero(forms[-1] != OFF)
+    at = able[: len(able) - size + 1]
+    at = at[able[size - 1 :] - at == size - 1] if n > 0 and len(able) >= size else able[:0]
+    before = None
+    for form in forms:
+        words = [form[at + i] for i in range(size)]
+        fit = np.logical_and.reduce([w != OFF for w in words])
+        if before is not None:
+            fit &= np.logical_or.reduce([w != v for w, v in zip(words, before)])
+        before = words
+        h = np.full(int(fit.sum()), size, np.uint64)
+        for w in words:
+            h = (h ^ w[fit]) * np.uint64(STEP)
+            h ^= h >> np.uint64(29)
+        yield at[fit], h
 
 
 def _found(text: str, codes: Remembered, sizes: list[int], wanted: np.ndarray | None, item: bool = False):
     """(start, size, number of windows less one, hash, slot values) of the windows of all forms that are wanted."""
     words, *forms = template(text, codes)
     for size in sizes:
-        for k, form in enumerate(forms):
-            at, h = windows(form, size, forms[k - 1] if k else None)
+        for k, (form, (at, h)) in enumerate(zip(forms, windows(forms, size))):
             if wanted is not None and len(h):
                 i = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                 hit = wanted[i] == h
@@ -194,9 +200,9 @@ def contaminated(
         if not len(hashes):
             hashes = np.zeros(1, np.uint64)
         codes = word_codes(None)
-        words = {c & ~1 for r in items.select("text").toLocalIterator() for t in TOKEN(r[0] or "") if (c := codes[t]) > int(NAME) + 1}
+        words = {t.lower(): c & ~1 for r in items.select("text").toLocalIterator() for t in TOKEN(r[0] or "") if (c := codes[t]) > int(NAME) + 1}
         send = spark.sparkContext.broadcast
-        found = template_windows(doc, "doc_id", "text", sizes, send(hashes), send(frozenset(words)))
+        found = template_windows(doc, "doc_id", "text", sizes, send(hashes), send(words))
         matched = found.join(F.broadcast(known), ["hash", "size"])
     else:
         matched = template_windows(doc, "doc_id", "text", sizes).join(known, ["hash", "size"])
