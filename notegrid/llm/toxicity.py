@@ -2,7 +2,7 @@
 
 Both dictionaries end in the same running ordinary text. Before it, one holds what zstandard trains on
 windows of toxic texts, the other, of the same length, what it trains on windows of ordinary texts. A
-window is a dozen words of running text, windows overlap by half, and the gain of a window is the
+window is a dozen words of running text, windows overlap by a third, and the gain of a window is the
 number of bytes that the toxic dictionary saves against the ordinary one. What ordinary text has is
 found in the long shared part by both and gains nothing.
 
@@ -36,7 +36,7 @@ SAMPLE_TEXT_BYTES = 40_000
 #: A score from here on is toxic.
 THRESHOLD = 0.7
 #: Words of a window and from one window to the next; longer words count as several.
-WINDOW, STEP, WORD_BYTES = 12, 6, 64
+WINDOW, STEP, WORD_BYTES = 12, 8, 64
 #: Bytes of the part that both dictionaries share and of their trained parts.
 SHARED_BYTES, TRAINED_BYTES = 3_500_000, 32 << 10
 SEGMENT_BYTES = 24
