@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 import zlib
 from array import array
 
@@ -178,9 +179,32 @@ def test_licenses(spark):
     assert not [g for g in got if g[0] in (3, 4, 5)]
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
     assert all(any(a in t.lower() for a in licenses.ANCHORS) for _, t in licenses.KNOWN)
+    twice = [(None, mit, *[None] * 8)] * 2 + [(8, "uno dos " * 200_000 + "\n" + "Released under the MIT License.", *[None] * 8)]
+    assert sorted((r.doc_id or -1, r.unit, r.n) for r in licenses.scan_licenses(frame(spark, twice)).collect()) == [(-1, "document", 2), (8, "line", 1)]
+    own = spark.createDataFrame([("Casa", "Uso libre.\n\nSin permission alguna.", 1), ("MIT", mit, 2), ("Nada", None, 3)], "license string, text string, doc_id int")
+    found = licenses.scan_licenses(frame(spark, [(1, "USO  libre\n\nsin Permission alguna", *[None] * 8), (2, mit, *[None] * 8)]), known=own, anchors=("permission", "")).collect()
+    assert {(r.doc_id, r.license) for r in found} == {(1, "Casa"), (2, "MIT")}
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(frame(spark, rows), known=(("X", "nada de eso"),))
     assert sorted((r.doc_id, r.license, r.unit, r.n) for r in licenses.scan_licenses(frame(spark, rows), anchors=("",)).collect()) == got
 
 
+def test_licenses_of_any_wrapping(spark):
+    rows, want = [], set()
+    for i, (name, text) in enumerate(licenses.KNOWN):
+        for k, (width, mark) in enumerate(((79, ""), (72, " * "), (60, "# "), (33, "// "))):
+            paragraphs = [textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False, initial_indent=mark, subsequent_indent=mark) for p in text.split("\n\n")]
+            whole = f"\n{mark}\n".join(paragraphs) if mark.strip() else "\n\n".join(paragraphs)
+            rows.append((i * 10 + k, f"{mark}Copyright (c) 2001-2020 The Authors\n\n" + whole, *[None] * 8))
+            want.add((i * 10 + k, name))
+    spelled = licenses.ISC_TEXT.replace("hereby", "hereby").replace("https", "http").replace("AUTHOR", "author")
+    rows.append((9000, spelled, *[None] * 8))
+    rows.append((9001, licenses.BSD_3_TEXT.replace("copyright holder", "copyright owner").replace("COPYRIGHT HOLDER", "COPYRIGHT OWNER").upper(), *[None] * 8))
+    want |= {(9000, "ISC"), (9001, "BSD-3-Clause")}
+    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert want <= got, sorted(want - got)[:10]
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     docs, labels = [], []
