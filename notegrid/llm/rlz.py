@@ -3,9 +3,12 @@
 The corpus is the reference. Every 20-word window picks one of its 6-word phrases (that of the least
 hash), so equal windows pick equal phrases; the windows of a text that pick the same phrase at the
 same place form a block of 20 to 34 words. Blocks are the index: a block that stands earlier in the
-corpus is a factor, and neighbouring factors join to one long factor. A block whose phrase is known
-but whose ends differ lies at the boundary of a factor; there the windows are compared one by one.
-So the spans are exactly those of all windows that start earlier elsewhere.
+corpus is copied from its first place there. A block whose phrase is known but whose ends differ lies
+at the boundary of a factor; there the windows are compared one by one. Parsing goes from left to
+right and is greedy: a factor (source, place, length) goes on as long as the next block or window
+continues at the source, and where it ends the next one starts. So the words in factors of 20 words or
+more are exactly those of all windows that start earlier elsewhere. Blocks and windows are equal if two
+64-bit hashes are.
 
 Of equal blocks (or windows) in one Arrow batch only the first is looked up in the corpus, the others
 are known to come later, so a passage that many texts share costs each batch one lookup.
@@ -20,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import OUT_ROWS, Remembered, saved
 
@@ -87,62 +91,66 @@ def windows_of(texts: list[list[bytes]], hashes: Remembered):
     return owner[at], at - firsts[owner[at]], rolled(words, WINDOW)[at], picked, phrases[picked]
 
 
-def _batches(batches: Iterator[pa.RecordBatch]):
-    """(ids, texts as words, other columns) of pieces of Arrow batches."""
-    for batch in batches:
-        yield batch.column(0).to_numpy(), [(t or "").encode("utf-8", "surrogatepass").split() for t in batch.column(1).to_pylist()], batch.columns[2:]
+def _parts(batch: pa.RecordBatch):
+    """(first row, ids, texts as words, other columns) of pieces of an Arrow batch; only one piece is held as words."""
+    for a in range(0, batch.num_rows, OUT_ROWS):
+        part = batch.slice(a, OUT_ROWS)
+        yield part.column(0).to_numpy(), [(t or "").encode("utf-8", "surrogatepass").split() for t in part.column(1).to_pylist()], part.columns[2:]
 
 
-def _later_in_batch(same: list[np.ndarray], place: list[np.ndarray]) -> np.ndarray:
-    """Marks the rows that have an equal row (by same) at an earlier place in the batch."""
+def _first_in_batch(same: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the row of the batch that is equal to it (by same) and comes first, and whether its place is an earlier one."""
     by = np.lexsort([*reversed(place), *reversed(same)])
     equal = np.logical_and.reduce([k[by][1:] == k[by][:-1] for k in same])
     group = np.concatenate([[0], np.cumsum(~equal)])
-    first = np.concatenate([[0], np.flatnonzero(~equal) + 1])[group]
-    beyond = np.logical_or.reduce([p[by] != p[by][first] for p in place])
-    later = np.zeros(len(by), bool)
-    later[by] = beyond
-    return later
+    head = np.concatenate([[0], np.flatnonzero(~equal) + 1])[group]
+    first, later = np.empty(len(by), np.int64), np.zeros(len(by), bool)
+    first[by] = by[head]
+    later[by] = np.logical_or.reduce([p[by] != p[by][head] for p in place])
+    return first, later
+
+
+BLOCKS = "key long, block long, d long, start int, n int, kind int, src long, at int"
 
 
-BLOCKS = "key long, block long, d long, start int, n int, kind int"
+def _dealt(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Rows of BLOCKS from (key, block, d, start, n); rows known to come later in the corpus have their source and are dealt by their id."""
+    if not parts:
+        return
+    key, block, d, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(key):
+        return
+    first, later = _first_in_batch([key, block], [d, start])
+    dealt = np.where(later, _mixed(d.view(np.uint64)), key).view(np.int64)
+    cols = [dealt, block.view(np.int64), d, start.astype(np.int32), n.astype(np.int32), np.where(later, LATER, FIRST).astype(np.int32), d[first], start[first].astype(np.int32)]
+    names = ["key", "block", "d", "start", "n", "kind", "src", "at"]
+    for a in range(0, len(key), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in cols], names=names)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block of each text; rows known to come later in the corpus are dealt by their id."""
+    """One row for each block of each text."""
     hashes = word_hashes()
-    for ids, texts, _ in _batches(batches):
+    for batch in batches:
         parts = []
-        for a in range(0, len(texts), OUT_ROWS):
-            owner, start, window, picked, phrase = windows_of(texts[a : a + OUT_ROWS], hashes)
+        for ids, texts, _ in _parts(batch):
+            owner, start, window, picked, phrase = windows_of(texts, hashes)
             if not len(owner):
                 continue
-            new = np.concatenate([[True], picked[1:] != picked[:-1]])
-            lo = np.flatnonzero(new)
+            lo = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
             hi = np.append(lo[1:], len(owner)) - 1
             block = _mixed(window[lo] * _power(2) + window[hi] * _power(1) + (hi - lo).astype(np.uint64))
-            parts.append((phrase[lo], block, ids[a + owner[lo]], start[lo], hi - lo + 1))
-        if not parts:
-            continue
-        phrase, block, d, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        later = _later_in_batch([phrase, block], [d, start])
-        key = np.where(later, _mixed(d.view(np.uint64)), phrase).view(np.int64)
-        kind = np.where(later, LATER, FIRST).astype(np.int32)
-        for a in range(0, len(key), 50_000):
-            s = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (key[s], block[s].view(np.int64), d[s], start[s].astype(np.int32), n[s].astype(np.int32), kind[s])],
-                names=["key", "block", "d", "start", "n", "kind"],
-            )
+            parts.append((phrase[lo], block, ids[owner[lo]], start[lo], hi - lo + 1))
+        yield from _dealt(parts)
+    pa.default_memory_pool().release_unused()
 
 
-SPANS = "d long, start int, n int, kind int"
+SPANS = "d long, start int, n int, kind int, src long, at int"
 
 
-def _spans(d, start, n, kind) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(d), pa.array(start), pa.array(n), pa.array(np.asarray(kind, np.int32))], names=["d", "start", "n", "kind"]
-    )
+def _spans(d, start, n, kind, src, at) -> pa.RecordBatch:
+    cols = [d, start, n, np.asarray(kind, np.int32), src, at]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["d", "start", "n", "kind", "src", "at"])
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +164,9 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [c.to_numpy() for c in batch.columns]
         known = cols[5] == LATER
         if known.any():
-            yield _spans(cols[2][known], cols[3][known], cols[4][known], np.full(known.sum(), LATER))
+            yield _spans(*(c[known] for c in cols[2:]))
             cols = [c[~known] for c in cols]
-        keys, blocks, d, start, n, _ = cols
+        keys, blocks, d, start, n = cols[:5]
         if not len(keys):
             continue
         new_key = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
@@ -182,46 +190,30 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.where(later, LATER, BOUNDARY)[later | boundary]
         if len(kind):
             pick = later | boundary
-            yield _spans(d[pick], start[pick], n[pick], kind)
+            yield _spans(d[pick], start[pick], n[pick], kind, head_d[of][pick], head_start[of][pick])
         if new_key.any():
             waiting = None
         several = bool(many[run[-1]])
         last_run_heads = heads[run[heads] == run[-1]]
         if not several and len(last_run_heads):
             i = last_run_heads[0]
-            waiting = _spans(d[i : i + 1], start[i : i + 1], n[i : i + 1], [BOUNDARY])
+            waiting = _spans(d[i : i + 1], start[i : i + 1], n[i : i + 1], [BOUNDARY], d[i : i + 1], start[i : i + 1])
         key, block, first = keys[-1], blocks[-1], (head_d[of[-1]], head_start[of[-1]])
 
 
 def _boundary_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the blocks at boundaries, in the shape of blocks of one window."""
     hashes = word_hashes()
-    for ids, texts, (spans,) in _batches(batches):
+    for batch in batches:
         parts = []
-        for a in range(0, len(texts), OUT_ROWS):
-            owner, start, window, _, phrase = windows_of(texts[a : a + OUT_ROWS], hashes)
-            some = spans[a : a + OUT_ROWS]
+        for ids, texts, (spans,) in _parts(batch):
+            owner, start, window, _, phrase = windows_of(texts, hashes)
             if not len(owner):
                 continue
-            asked = _covered(some, np.bincount(owner, minlength=len(some)))
-            at = np.flatnonzero(asked)
-            parts.append((window[at], phrase[at], ids[a + owner[at]], start[at]))
-        if not parts:
-            continue
-        window, phrase, d, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(window):
-            continue
-        later = _later_in_batch([window, phrase], [d, start])
-        key = np.where(later, _mixed(d.view(np.uint64)), window).view(np.int64)
-        for a in range(0, len(key), 50_000):
-            s = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key[s]), pa.array(phrase[s].view(np.int64)), pa.array(d[s]), pa.array(start[s].astype(np.int32)),
-                    pa.array(np.ones(len(key[s]), np.int32)), pa.array(np.where(later[s], LATER, FIRST).astype(np.int32)),
-                ],
-                names=["key", "block", "d", "start", "n", "kind"],
-            )
+            at = np.flatnonzero(_covered(spans, np.bincount(owner, minlength=len(spans))))
+            parts.append((window[at], phrase[at], ids[owner[at]], start[at], np.ones(len(at), np.int32)))
+        yield from _dealt(parts)
+    pa.default_memory_pool().release_unused()
 
 
 def _covered(spans: pa.Array, sizes: np.ndarray) -> np.ndarray:
@@ -240,11 +232,9 @@ def _covered(spans: pa.Array, sizes: np.ndarray) -> np.ndarray:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, batch.num_rows, OUT_ROWS):
-            part = batch.slice(a, OUT_ROWS)
-            texts = [(t or "").encode("utf-8", "surrogatepass").split() for t in part.column(1).to_pylist()]
+        for ids, texts, (spans,) in _parts(batch):
             sizes = np.array([len(t) for t in texts])
-            gone = _covered(part.column(2), sizes)
+            gone = _covered(spans, sizes)
             ends = np.cumsum(sizes)
             removed, out = [], []
             for t, lo, hi in zip(texts, (ends - sizes).tolist(), ends.tolist()):
@@ -253,24 +243,20 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(n)
                 out.append((b" ".join([w for w, g in zip(t, mask.tolist()) if not g]) if n else b" ".join(t)).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(out, pa.string())],
+                [pa.array(ids), pa.array(sizes.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(out, pa.string())],
                 names=["d", "n_words", "n_removed", "kept"],
             )
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words left, joined by a space) for every row of docs.
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text_col).cast("string").alias("text"))
 
-    A word goes if a window of 20 words that covers it also starts earlier: in a document of a
-    smaller id, or before it in the same one; windows are those of the input. Null and empty texts
-    have no words. Rows that repeat an id count as one document, whose spans apply to each of them; a
-    null id comes before all others. An empty table gives no rows; other columns are not looked at.
-    """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text_col).cast("string").alias("text"))
+
+def _copies(texts: DataFrame) -> DataFrame:
+    """d, start, n, src, at: n windows of d in a row from start on that stand earlier, in src from at on."""
     dealt = texts.mapInArrow(_blocks, BLOCKS).repartition("key")
     found = saved(dealt.sortWithinPartitions("key", "block", "d", "start").mapInArrow(_looked_up, SPANS), "blocks")
-    as_list = F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))).alias("spans")
-    asked = found.filter(F.col("kind") == BOUNDARY).groupBy("d").agg(as_list)
+    asked = found.filter(F.col("kind") == BOUNDARY).groupBy("d").agg(_as_list())
     ends = (
         texts.join(asked, "d")
         .select("d", "text", "spans")
@@ -279,9 +265,49 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .sortWithinPartitions("key", "block", "d", "start")
         .mapInArrow(_looked_up, SPANS)
     )
+    return found.filter(F.col("kind") == LATER).unionByName(ends.filter(F.col("kind") == LATER)).drop("kind")
+
+
+def _as_list():
+    return F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))).alias("spans")
+
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start, n_words, source_id, source_start: the factors of 20 words or more, in words from 0 on.
+
+    The n_words words from start on stand in the same order in the source (a document of a smaller id,
+    or an earlier place of the same one) from source_start on. Factors may overlap by up to 19 words. Null
+    and empty texts have none; texts of any length are parsed whole; rows that repeat an id are one
+    document; null ids come before all others. An empty table gives no rows.
+    """
+    copies = _copies(_named(docs, id_col, text_col)).distinct().withColumn("shift", F.col("at") - F.col("start"))
+    order = Window.partitionBy("d", "src", "shift").orderBy("start")
+    new = F.coalesce(F.col("start") > F.lag(F.col("start") + F.col("n")).over(order), F.lit(True))
+    joined = (
+        copies.withColumn("new", new.cast("int"))
+        .withColumn("factor", F.sum("new").over(order))
+        .groupBy("d", "src", "shift", "factor")
+        .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
+    )
+    kind = docs.schema[id_col].dataType
+    id_of = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).cast(kind)
+    return joined.select(
+        id_of("d").alias("doc_id"), F.col("start").cast("long").alias("start"), (F.col("end") - F.col("start") + WINDOW - 1).cast("long").alias("n_words"),
+        id_of("src").alias("source_id"), (F.col("start") + F.col("shift")).cast("long").alias("source_start"),
+    )
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed and kept (the words left, joined by a space) for every row of docs.
+
+    A word goes if a window of 20 words that covers it also starts earlier: in a document of a
+    smaller id, or before it in the same one; windows are those of the input. Null and empty texts
+    have no words; texts of any length are looked at whole. Rows that repeat an id count as one document, whose spans apply to each of them; a
+    null id comes before all others. An empty table gives no rows; other columns are not looked at.
+    """
+    texts = _named(docs, id_col, text_col)
     # a window that starts earlier takes its 20 words with it
-    later = found.filter(F.col("kind") == LATER).unionByName(ends.filter(F.col("kind") == LATER))
-    spans = later.withColumn("n", F.col("n") + WINDOW - 1).groupBy("d").agg(as_list)
+    spans = _copies(texts).withColumn("n", F.col("n") + WINDOW - 1).groupBy("d").agg(_as_list())
     none = F.array().cast("array<struct<start:bigint,n:bigint>>")
     out = (
         texts.join(spans, "d", "left")

@@ -206,6 +206,28 @@ def test_repeats(spark, batch):
     assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got} == brute_repeats(rows)
 
 
+def test_factors(spark):
+    import random
+
+    rng = random.Random(3)
+    a, b = prose(rng, 80).split(), prose(rng, 50).split()
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*a[10:60], *b[5:35], "fin", *a[:25]])), (None, ""), (4, None)]
+    texts = {i: (t or "").split() for i, t in rows}
+    got = rlz.factors(frame(spark, [(*r, *[None] * 8) for r in rows])).collect()
+    for f in got:
+        assert texts[f.doc_id][f.start : f.start + f.n_words] == texts[f.source_id][f.source_start : f.source_start + f.n_words]
+    assert sorted((f.doc_id, f.start, f.n_words, f.source_id, f.source_start) for f in got) == [(3, 0, 50, 1, 10), (3, 50, 30, 2, 5), (3, 81, 25, 1, 0)]
+    rows = documents(72)
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, *_ in rows}
+    covered = {i: [False] * len(w) for i, w in words.items()}
+    for f in rlz.factors(frame(spark, rows).repartition(5)).collect():
+        assert f.n_words >= 20 and (f.source_id, f.source_start) < (f.doc_id, f.start)
+        assert words[f.doc_id][f.start : f.start + f.n_words] == words[f.source_id][f.source_start : f.source_start + f.n_words]
+        covered[f.doc_id][f.start : f.start + f.n_words] = [True] * f.n_words
+    assert {i: sum(c) for i, c in covered.items()} == {i: r[1] for i, r in brute_repeats(rows).items()}
+    assert rlz.factors(frame(spark, [])).count() == 0
+
+
 def test_repeats_awkward(spark):
     long = " ".join(f"w{i}" for i in range(30))
     got = rlz.drop_repeats(frame(spark, [(5, long, *[None] * 8), (5, long, *[None] * 8), (None, long, *[None] * 8)])).collect()

@@ -299,7 +299,9 @@ def test_decontamination_of_names_that_open_sentences(spark, sent, monkeypatch):
     assert not got[1, 1].verbatim and got[1, 1].slot_share == 1.0
 
 
-def test_sharding(spark):
+@pytest.mark.parametrize("block", [4096, 2])
+def test_sharding(spark, block, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", block)
     rows = documents(157) * 2 + [(None, "x", *[None] * 8)]
     got = sharding.interleaved_shards(frame(spark, rows), shards=7, rows_per_bucket=20).collect()
     assert sorted(r.position for r in got) == list(range(len(rows)))
