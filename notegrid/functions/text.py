@@ -11,26 +11,48 @@ from pyspark.sql.types import StringType
 
 from ..params import STOPWORDS
 
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūñçýÿ"
-PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuncyy"
+
+
+def folded(text: str) -> str:
+    """Casefold, decompose, drop combining marks."""
+    text = text.casefold()
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def _tables() -> tuple[str, str, dict[str, str]]:
+    """What `translate` needs to fold: characters that fold to one other, their folds, then those that vanish; and the few letters that fold to several."""
+    single, marks, several = {}, [], {}
+    for code in range(0x41, 0x10000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:  # surrogates; syllables whose parts count the same together
+            continue
+        to = folded(c)
+        if not to and unicodedata.combining(c):
+            marks.append(c)
+        elif len(to) == 1 and to != c:
+            single[c] = to
+        elif len(to) > 1 and unicodedata.category(c)[0] == "L" and (code < 0x250 or 0x1E00 <= code < 0x1F00 or 0xFB00 <= code < 0xFB07):
+            several[c] = to
+    return "".join(single) + "".join(marks), "".join(single.values()), several
+
+
+FOLDED, FOLDS, SEVERAL = _tables()
 
 
 @F.pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """Casefold, decompose, drop combining marks: exact for all scripts."""
 
-    def one(t):
-        if t is None:
-            return None
-        t = t.casefold()
-        return t if t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    return texts.map(lambda t: None if t is None else folded(t))
 
-    return texts.map(one)
 
-
-def fold_latin(c: Column) -> Column:
-    """The same for Latin letters, in the JVM."""
-    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
+def fold_letters(c: Column) -> Column:
+    """The same in the JVM, for the letters and marks of the basic plane (Hangul syllables and the like stay whole)."""
+    expanded = c
+    for letter, to in SEVERAL.items():
+        expanded = F.replace(expanded, F.lit(letter), F.lit(to))
+    letters = F.when(c.rlike("[" + "".join(SEVERAL) + "]"), expanded).otherwise(c)
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(letters, FOLDED, FOLDS))
 
 
 def norm_path(c: Column) -> Column:
@@ -49,21 +71,19 @@ def est_tokens(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Words of letters, digits and underscores, folded, underscores at the ends stripped."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.transform(found, lambda t: fold_latin(F.trim(F.replace(t, F.lit("_"), F.lit(" ")))))
+    """Words of letters, digits and underscores of the folded text, underscores at the ends stripped."""
+    found = F.regexp_extract_all(fold_letters(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.transform(found, lambda t: F.regexp_replace(t, "^_+|_+$", ""))
 
 
 def index_tokens(c: Column) -> Column:
     """Tokens of the full-text index, which also splits at underscores."""
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), fold_latin)
+    return F.regexp_extract_all(fold_letters(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def lexical_terms(c: Column, limit: int = 32) -> Column:
     """Distinct search terms of a question: no stop words, two characters at least unless digits, the first `limit`."""
-    words = F.filter(
-        tokens(c), lambda t: ~t.isin(*STOPWORDS) & ((F.length(t) >= 2) | t.rlike("^[0-9]+$"))
-    )
+    words = F.filter(tokens(c), lambda t: (t != "") & ~t.isin(*STOPWORDS) & ((F.length(t) >= 2) | t.rlike("^[0-9]+$")))
     return F.slice(F.array_distinct(words), 1, limit)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import fold_latin
+from ..functions.text import fold_letters
 
 EPS = 1e-6
 
@@ -54,8 +54,8 @@ def case_metrics(hits: DataFrame, cases: DataFrame) -> DataFrame:
 
 def term_coverage(answer: Column, groups: Column) -> Column:
     """Share of term groups of which any folded term is in the answer; null without groups."""
-    text = fold_latin(answer)
-    hit = F.filter(groups, lambda g: F.exists(g, lambda t: F.contains(text, fold_latin(t))))
+    text = fold_letters(answer)
+    hit = F.filter(groups, lambda g: F.exists(g, lambda t: F.contains(text, fold_letters(t))))
     return F.try_divide(F.size(hit), F.size(groups))
 
 

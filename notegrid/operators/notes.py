@@ -8,52 +8,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markdown import blocks_meta
-from ..functions.text import est_tokens, fold_latin, parse_date, stem
+from ..functions.text import est_tokens, fold_letters, parse_date, stem
 from ..params import DEPRECATION_CALLOUTS, REVIEW_KEYS, VALID_FROM_KEYS, VALID_UNTIL_KEYS
 
-FRONT = r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)"
-LINK = r"(!?)\[\[([^\[\]\n]+)\]\]"
+# Patterns that define the note format.
+FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)"
+LINK = r"(!?)\[\[([^\]]+)\]\]"
 TAG = r"(?<![\p{L}\p{N}_&])#([A-Za-zÀ-ɏ][\p{L}\p{N}_À-ɏ/-]*)"
+#: Separates the items of a list while lines are taken apart.
+ITEM = "\u0001"
 # Prefixes that embedding models expect before a text.
 PREFIXES = {"none": "", "nomic": "search_document: ", "e5": "passage: ", "bge": ""}
 PREFIX_RULES = (("nomic-embed", "nomic"), ("multilingual-e5", "e5"), ("intfloat/e5", "e5"), ("e5-", "e5"), ("bge-", "bge"), ("bge:", "bge"))
 
 
-def _unquoted(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), r"""^(["'])(.*)\1$""", "$2")
+def _scalar(c: Column) -> Column:
+    """A value as YAML reads it: quotes taken off, comments dropped from what is not quoted, '' for null."""
+    t = F.trim(c)
+    double, single = F.regexp_extract(t, r'^"([^"]*)"', 1), F.replace(F.regexp_extract(t, r"^'((?:[^']|'')*)'", 1), F.lit("''"), F.lit("'"))
+    plain = F.trim(F.regexp_replace(t, r"(?:^|\s)#.*$", ""))
+    return F.when(t.startswith('"'), double).when(t.startswith("'"), single).when(F.lower(plain).isin("null", "~"), "").otherwise(plain)
+
+
+def _items(c: Column) -> Column:
+    """The items of `[a, b]` (commas in quotes are not borders) or of lines that begin with a hyphen."""
+    t = F.trim(c)
+    inner = F.regexp_replace(t, r"^\[(.*)\]\s*(?:#.*)?$", "$1")
+    flow = F.split(inner, r""",(?=(?:[^"']*["'][^"']*["'])*[^"']*$)""")
+    parts = F.when(F.contains(t, F.lit(ITEM)), F.split(t, ITEM)).otherwise(flow)
+    return F.filter(F.transform(parts, _scalar), lambda v: v != "")
 
 
 def parse_frontmatter(notes: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds metadata (map; lists as a comma-joined string) and body.
+    """Adds metadata (map; lists as a comma-joined string), lists (map of the keys that have lists) and body.
 
-    Flat `key: value`, `key: [a, b]` and `- item` lines under a key. Text without a block at its very
-    start is all body with an empty map; a line that is none of these gives the key _yaml_error.
+    Flat `key: value`, `key: [a, b]` and `- item` lines under a key; lines that are comments do not
+    count. Text without a block at its very start is all body with empty maps; a line that is none of
+    these gives the key _yaml_error. Of keys that repeat the last counts.
     """
     front = F.regexp_extract(raw, FRONT, 1)
     has = F.col(raw).rlike(FRONT)
-    joined = F.regexp_replace(front, r"(?m)\n[ \t]*-[ \t]+", "\u0001")  # items join the line of their key
-    lines = F.filter(F.split(joined, "\n"), lambda x: F.trim(x) != "")
-    pair = lambda x: F.struct(
-        F.trim(F.regexp_extract(x, r"^([^:\x01]+):", 1)).alias("key"),
-        F.array_join(
-            F.filter(
-                F.transform(
-                    F.split(F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:\x01]+:", "")), r"^\[(.*)\]$", "$1"), "[,\u0001]"), _unquoted
-                ),
-                lambda v: v != "",
-            ),
-            ", ",
-        ).alias("value"),
+    spoken = F.array_join(F.filter(F.split(front, "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^\s*#")), "\n")
+    lines = F.split(F.regexp_replace(spoken, r"\n[ \t]*-[ \t]+", ITEM), "\n")  # items join the line of their key
+    keyed = r"^([^:\x01]+):(?=[\s\x01]|$)"
+    good = F.filter(lines, lambda x: x.rlike(keyed))
+    value = lambda x: F.regexp_replace(x, keyed, "")
+    listed = lambda x: value(x).rlike(r"\x01|^\s*\[.*\]\s*(?:#.*)?$")
+    pairs = F.transform(
+        good,
+        lambda x: F.struct(
+            _scalar(F.regexp_extract(x, keyed, 1)).alias("key"),
+            F.when(listed(x), F.array_join(_items(value(x)), ", ")).otherwise(_scalar(value(x))).alias("value"),
+            F.when(listed(x), _items(value(x))).alias("items"),
+        ),
     )
-    good = F.filter(lines, lambda x: x.rlike(r"^[^:\x01]+:"))
-    pairs = F.transform(good, pair)
     latest = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    error = F.when(F.size(good) < F.size(lines), F.create_map(F.lit("_yaml_error"), F.lit("true"))).otherwise(
-        F.create_map().cast("map<string,string>")
-    )
-    empty = F.create_map().cast("map<string,string>")
-    return notes.withColumn("metadata", F.when(has, F.map_concat(F.map_from_entries(latest), error)).otherwise(empty)).withColumn(
-        "body", F.when(has, F.regexp_replace(raw, FRONT, "")).otherwise(F.coalesce(F.col(raw), F.lit("")))
+    odd = F.filter(lines, lambda x: (x != "") & ~x.rlike(keyed))
+    error = F.when(F.size(odd) > 0, F.create_map(F.lit("_yaml_error"), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>"))
+    entries = lambda p, field: F.map_from_entries(F.transform(p, lambda x: F.struct(x["key"].alias("key"), x[field].alias("value"))))
+    with_items = F.filter("__latest", lambda p: p["items"].isNotNull())
+    return (
+        notes.withColumn("__latest", latest)
+        .withColumn("metadata", F.when(has, F.map_concat(entries("__latest", "value"), error)).otherwise(F.create_map().cast("map<string,string>")))
+        .withColumn("lists", F.when(has, entries(with_items, "items")).otherwise(F.create_map().cast("map<string,array<string>>")))
+        .withColumn("body", F.when(has, F.regexp_replace(raw, FRONT, "")).otherwise(F.coalesce(F.col(raw), F.lit(""))))
+        .drop("__latest")
     )
 
 
@@ -83,28 +102,36 @@ def extract_blocks_meta(notes: DataFrame) -> DataFrame:
 
 
 def _clean_tag(c: Column) -> Column:
-    return F.regexp_replace(fold_latin(F.trim(c)), "^[/#-]+|[/#-]+$", "")
+    return F.regexp_replace(fold_letters(F.trim(c)), "^[/#-]+|[/#-]+$", "")
 
 
 def extract_tags(notes: DataFrame) -> DataFrame:
-    """tags: those of the frontmatter, then inline ones outside code; folded, distinct, in order. Needs plain."""
-    listed = F.concat_ws(",", F.col("metadata")["tags"], F.col("metadata")["etiquetas"])
-    both = F.concat(F.split(listed, r"[,\s]+"), F.regexp_extract_all("plain", F.lit(TAG), F.lit(1)))
+    """tags: those of the frontmatter (tags, or etiquetas if there is no such key), then inline ones outside code; folded, distinct, in order.
+
+    A list is taken item by item, a plain value is split at commas and spaces. Needs plain, metadata and lists.
+    """
+    own = lambda key: F.coalesce(F.col("lists")[key], F.split(F.col("metadata")[key], r"[,\s]+"))
+    listed = F.when(F.map_contains_key("metadata", F.lit("tags")), own("tags")).otherwise(own("etiquetas"))
+    both = F.concat(F.coalesce(listed, F.array().cast("array<string>")), F.regexp_extract_all("plain", F.lit(TAG), F.lit(1)))
     return notes.withColumn("tags", F.filter(F.array_distinct(F.transform(both, _clean_tag)), lambda t: t != ""))
 
 
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def extract_links(notes: DataFrame) -> DataFrame:
     """links: array<struct<target, section, alias, embedded>>, distinct in order, outside code. Needs no_code."""
     whole = F.regexp_extract_all("no_code", F.lit(LINK), F.lit(0))
 
     def link(x: Column) -> Column:
-        inner = F.replace(F.regexp_extract(x, LINK, 2), F.lit("\\|"), F.lit("|"))
+        inner = F.replace(_stripped(F.regexp_extract(x, LINK, 2)), F.lit("\\|"), F.lit("|"))
         parts = F.split(inner, r"\|", 2)
         place = F.split(parts[0], "#", 2)
         return F.struct(
-            F.trim(place[0]).alias("target"),
-            F.trim(F.coalesce(F.get(place, F.lit(1)), F.lit(""))).alias("section"),
-            F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("alias"),
+            _stripped(place[0]).alias("target"),
+            _stripped(F.coalesce(F.get(place, F.lit(1)), F.lit(""))).alias("section"),
+            _stripped(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("alias"),
             F.startswith(x, F.lit("!")).alias("embedded"),
         )
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import fold_latin, index_tokens
+from ..functions.text import fold_letters, index_tokens
 from ..params import DEFAULTS
 
 #: Questions that are sent to all tasks at once; more are searched in blocks of this size.
@@ -208,7 +208,7 @@ def coverage_gate(hits: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFr
     """
     n = F.size("terms")
     need = F.when(n <= 1, 1).when(n <= 10, 2).otherwise(F.greatest(F.lit(2), F.ceil(n * 0.2)))
-    folded = fold_latin(F.col("text"))
+    folded = fold_letters(F.col("text"))
     return (
         hits.join(terms, "query_id")
         .join(texts, "chunk_id")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import fold_latin, lexical_terms
+from ..functions.text import fold_letters, lexical_terms
 from ..params import DEFAULTS, RELATIONAL_PATTERNS, STRUCTURAL_NOUNS, Params
 from ..shared import kept
 from . import graph as g
@@ -30,8 +30,8 @@ def mentioned_notes(queries: DataFrame, aliases: DataFrame, minimum: int = 4, mo
     for in Arrow batches of questions. With more, each alias is keyed by its first four characters and
     joined with the four-character pieces of the questions.
     """
-    named = aliases.filter(F.length("alias") >= minimum).select(fold_latin(F.col("alias")).alias("name"), "doc_id").filter(F.length("name") >= 1)
-    asked = queries.select("query_id", fold_latin(F.col("question")).alias("q"))
+    named = aliases.filter(F.length("alias") >= minimum).select(fold_letters(F.col("alias")).alias("name"), "doc_id").filter(F.length("name") >= 1)
+    asked = queries.select("query_id", fold_letters(F.col("question")).alias("q"))
     if named.count() <= SENT_ALIASES:
         by_name: dict[str, set] = {}
         for row in named.toLocalIterator():
@@ -72,7 +72,7 @@ def route(queries: DataFrame, semantic: DataFrame, aliases: DataFrame, edges: Da
 
     queries: query_id, question; semantic: query_id, doc_id, score, rank; edges: source, target.
     """
-    q = fold_latin(F.col("question"))
+    q = fold_letters(F.col("question"))
     words = queries.select(
         "query_id",
         (sum(_holds(q, RELATIONAL_PATTERNS), F.lit(0)) > 0).alias("relational"),

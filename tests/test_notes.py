@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from notegrid.functions import markdown as md
-from notegrid.functions.text import est_tokens, fold, fold_latin, lexical_terms, norm_path, parse_date
+from notegrid.functions.text import est_tokens, fold, fold_letters, lexical_terms, norm_path, parse_date
 from notegrid.operators import chunking, notes
 from notegrid.sources.notes import load_index, publish_index, read_cases, read_notes, write_report
 
@@ -36,7 +36,7 @@ def note(spark, raw=RAW, path="area/Nota Uno.md"):
 def test_note_columns(spark):
     r = note(spark).first()
     assert (r.title, r.status) == ("Política de accesos", "vigente")
-    assert r.tags == ["seguridad", "area", "tic", "etiqueta/uno"]
+    assert r.tags == ["seguridad", "area tic", "etiqueta/uno"]
     assert [(x.target, x.section, x.alias, x.embedded) for x in r.links] == [("Otra nota", "Parte", "alias", False), ("Tabla", "", "t", False)]
     assert [(c.kind, c.title, c.body) for c in r.callouts] == [("danger", "Derogado", "texto")]
     assert r.anchors == {"ancla-1": "Linea final"}
@@ -56,7 +56,7 @@ def test_dates_and_text(spark):
     df = spark.createDataFrame(rows, "d string, e string")
     assert all(str(r.p) == str(r.e) for r in df.select(parse_date(F.col("d")).alias("p"), "e").collect())
     t = spark.createDataFrame([("Ação  STRASSE ßÑ", "  A\\B/Ñ ", "¿Qué RELACIÓN hay entre _el_ proceso 7 y 7? x")], "a string, p string, q string")
-    r = t.select(fold("a").alias("f"), fold_latin(F.col("a")).alias("l"), norm_path(F.col("p")).alias("p"), lexical_terms(F.col("q")).alias("q"), est_tokens(F.col("a")).alias("n")).first()
+    r = t.select(fold("a").alias("f"), fold_letters(F.col("a")).alias("l"), norm_path(F.col("p")).alias("p"), lexical_terms(F.col("q")).alias("q"), est_tokens(F.col("a")).alias("n")).first()
     assert r.f == r.l == "acao  strasse ssn" and r.p == "a/b/ñ" and r.q == ["relacion", "proceso", "7"] and r.n == 4
 
 
@@ -109,3 +109,76 @@ def test_sources(spark, tmp_path):
     m = spark.createDataFrame([("s", 0.5, None)], "strategy string, recall double, mrr double")
     write_report(m, m, str(tmp_path / "rep"), "strategy", ["recall", "mrr"])
     assert [r.value for r in spark.read.text(str(tmp_path / "rep/table")).collect()][-1] == "| s | 50.0 % | N/A |"
+
+
+def test_frontmatter_values(spark):
+    raw = """---
+# un comentario
+titulo: "Urgencias, triaje: parte 1"
+descripcion: Dosis 1,5 mg  # nota
+frase: 'don''t # no'
+etiquetas: uno, dos tres
+tags:
+  # otro
+  - Alta urgencia
+  - "b, c"
+flow: [a, "b, c", 'd']  # fin
+vacio:
+nulo: ~
+url: http://x.y/z#ancla
+---
+
+
+# Cuerpo
+"""
+    r = notes.parse_frontmatter(spark.createDataFrame([(raw,), (raw.replace("tags:", "otros:"),), ("---\nnada\n---\nx",)], "raw string")).collect()
+    m = r[0].metadata
+    assert m == {
+        "titulo": "Urgencias, triaje: parte 1", "descripcion": "Dosis 1,5 mg", "frase": "don't # no", "etiquetas": "uno, dos tres", "tags": "Alta urgencia, b, c",
+        "flow": "a, b, c, d", "vacio": "", "nulo": "", "url": "http://x.y/z#ancla",
+    }
+    assert r[0].lists == {"tags": ["Alta urgencia", "b, c"], "flow": ["a", "b, c", "d"]} and r[0].body == "# Cuerpo\n"
+    assert r[2].metadata == {"_yaml_error": "true"} and r[2].body == "x"
+    first, second = note(spark, raw).first(), note(spark, raw.replace("tags:", "otros:")).first()
+    assert first.tags == ["alta urgencia", "b, c"] and second.tags == ["uno", "dos", "tres"] and first.title == "Urgencias, triaje: parte 1"
+
+
+def test_code_hides(spark):
+    body = "a ``[[x]] ` #y`` [[b\nc#d\\|e]] `[[z]]` ``#w\n````\n[[dentro]] #no\n~~~\n```\n#si [[A[1#s]] ![[ f ]] &#no a#no\n~~~ info\n#no\n"
+    r = note(spark, body).first()
+    assert [(x.target, x.section, x.alias, x.embedded) for x in r.links] == [("b\nc", "d", "e", False), ("A[1", "s", "", False), ("f", "", "", True)]
+    assert r.tags == ["y", "w", "si"]
+
+
+def test_blocks_and_seams():
+    kinds = lambda t: [(k, len(ls)) for k, ls in md.blocks(t)]
+    assert kinds("a | b\n-\nc") == [("paragraph", 3)] and kinds("a | b\n--|--\n1 | 2\nc") == [("table", 3), ("paragraph", 1)]
+    assert kinds("    - x\ny") == [("paragraph", 2)] and kinds("1234567890. x") == [("paragraph", 1)] and kinds("   2) x\n z\nw") == [("list", 2), ("paragraph", 1)]
+    assert kinds("> [!note] a\n> b\n  c\nd") == [("callout", 3), ("paragraph", 1)]
+    assert kinds("````py\n```\nx\n````\nfin") == [("code", 4), ("paragraph", 1)] and kinds("~~~\nx\n\n") == [("code", 4)]
+    code = "```py\n" + "\n".join(f"linea {i}" for i in range(60)) + "\n```"
+    for p in md.pieces("code", code.split("\n"), 150):
+        assert p.startswith("```py\nlinea") and p.endswith("\n```") and len(p) <= 150
+    table = ["a | b", "--|--", *(f"{i} | fila" for i in range(40))]
+    cut = md.pieces("table", table, 120)
+    assert all(p.startswith("a | b\n--|--\n") for p in cut) and [x for p in cut for x in p.split("\n")[2:]] == table[2:]
+
+
+def test_chunks_with_overlap():
+    lines = [f"parrafo numero {i} con algo de texto" for i in range(40)]
+    text = "\n\n".join(lines)
+    got = md.split_text(text, 200, 60)
+    assert got[0].split("\n\n") == lines[:5] and got[1].split("\n\n")[0] == lines[4] and all(len(c) <= 262 for c in got)
+    assert md.split_text(text, 200, 0) == ["\n\n".join(lines[a : a + 5]) for a in range(0, 40, 5)]
+    assert md.split_text("x" * 450, 200, 50) == ["x" * 200, "x" * 200, "x" * 50] and md.split_text("  ", 10, 2) == [] and md.split_text(" a ", 10, 2) == ["a"]
+    assert md.last_lines("a\n```\nb", 100) == "" and md.last_lines("uno\ndos", 4) == "dos" and md.last_lines("uno\ndos", 3) == ""
+
+
+def test_folding_of_all_letters(spark):
+    import unicodedata
+
+    words = ["Łódź", "información", unicodedata.normalize("NFD", "información ÑANDÚ"), "ΆΣ Ωραία", "ДЁЖ", "ﬁn STRASSE ẞß", "ĳsland", "Ǆ", "tiếng Việt", "İstanbul", "plain ASCII"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    rows = df.select("w", fold("w").alias("f"), fold_letters(F.col("w")).alias("g"), lexical_terms(F.col("w")).alias("t")).collect()
+    assert all(r.f == r.g for r in rows), [r for r in rows if r.f != r.g]
+    assert rows[1].t == ["informacion"] and rows[2].t == ["informacion", "nandu"] and rows[5].t == ["fin", "strasse", "ssss"]
