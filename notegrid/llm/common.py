@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,10 +50,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the cluster's folder, or one of our own where none is set (tests)."""
+    """Makes checkpoint() usable in the folder of spark.checkpoint.dir, which driver and executors share."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="notegrid-checkpoint-"))
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def per_text(
