@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import fold_letters
+from ..shared import running
 
 EPS = 1e-6
 
@@ -102,23 +103,11 @@ def confusion(results: DataFrame) -> DataFrame:
 def _sweep(values: DataFrame, cost_fp: float, cost_fn: float) -> DataFrame:
     """threshold, tp, fn, tn, fp and what follows from them.
 
-    values: v and the counts a (answerable) and u (unanswerable) of each distinct score, already
-    aggregated, so that the two windows run over distinct scores only.
+    values: v and the counts a (answerable) and u (unanswerable) of each distinct score.
     """
-    order = Window.orderBy("v")
-    below = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(1))
-    both = values.select(
-        "v",
-        F.lag("v").over(order).alias("prev"),
-        F.coalesce(F.sum("a").over(below), F.lit(0)).alias("a_below"),
-        F.coalesce(F.sum("u").over(below), F.lit(0)).alias("u_below"),
-        F.sum("a").over(every).alias("a_all"),
-        F.sum("u").over(every).alias("u_all"),
-        F.lead("v").over(order).isNull().alias("last"),
-    )
+    both = running(values, "v", ("a", "u")).withColumn("last", F.col("next").isNull())
     low = F.when(F.col("prev").isNull(), F.col("v") - EPS).otherwise((F.col("prev") + F.col("v")) / 2)
-    here = F.struct(low.alias("threshold"), F.col("a_below").alias("fn"), F.col("u_below").alias("tn"))
+    here = F.struct(low.alias("threshold"), F.col("a_before").alias("fn"), F.col("u_before").alias("tn"))
     end = F.struct((F.col("v") + EPS).alias("threshold"), F.col("a_all").alias("fn"), F.col("u_all").alias("tn"))
     rows = both.select("a_all", "u_all", F.explode(F.when(F.col("last"), F.array(here, end)).otherwise(F.array(here))).alias("t"))
     out = rows.filter("a_all > 0 AND u_all > 0").select(
@@ -180,9 +169,8 @@ def calibrate_posterior(
         F.coalesce(F.sum(F.when(F.col("answerable"), F.coalesce("recall", F.lit(0.0)))), F.lit(0.0)).alias("rec"),
         F.coalesce(F.sum(F.when(F.col("answerable"), F.coalesce("rr", F.lit(0.0)))), F.lit(0.0)).alias("rr"),
     )
-    order = Window.orderBy("v")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    sums = values.select("v", F.lead("v").over(order).alias("next"), *[F.sum(c).over(upto).alias(c) for c in ("a", "u", "rec", "rr")])
+    names = ("a", "u", "rec", "rr")
+    sums = running(values, "v", names).select("v", "next", *[(F.col(f"{c}_before") + F.col(c)).alias(c) for c in names])
     step = sums.select(
         F.when(F.col("next").isNull(), F.least(F.lit(1.0), F.col("v") + EPS)).otherwise((F.col("v") + F.col("next")) / 2).alias("threshold"), "a", "u", "rec", "rr"
     )

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions.text import norm_path, stem
 from ..params import DEFAULTS
+from ..shared import kept
+
+MAX_HOPS = 5
 
 
 def _no_suffix(c: Column) -> Column:
@@ -82,24 +85,24 @@ def propagate(
     """query_id, doc_id, graph_score, hop of documents reached from seeds (query_id, doc_id, weight).
 
     Best path, not the sum; along a link 1, against it `backlink`; only better values go on; seeds are
-    never returned. At most five hops, each one join and one aggregation; it ends when no value gets better.
+    never returned. One join and one aggregation a hop (five at most, more are refused), each written
+    once; it ends when no value gets better.
     """
+    if hops > MAX_HOPS:
+        raise ValueError(f"at most {MAX_HOPS} hops")
     arcs = edges.select("source", "target", F.lit(1.0).alias("dir")).union(edges.select("target", "source", F.lit(float(backlink))))
     best = seeds.groupBy("query_id", "doc_id").agg(F.max("weight").alias("w")).withColumn("hop", F.lit(0))
-    front = best
-    for hop in range(1, min(hops, 5) + 1):
+    for hop in range(1, hops + 1):
+        if hop > 1:  # every hop after the first starts from what the last one wrote
+            best = kept(best, f"hop-{hop - 1}")
+            if best.filter(F.col("hop") == hop - 1).isEmpty():
+                break
         step = (
-            front.join(arcs, front["doc_id"] == arcs["source"])
-            .select("query_id", F.col("target").alias("doc_id"), ((F.col("w") * F.lit(float(decay))) * F.col("dir")).alias("nw"))
-            .groupBy("query_id", "doc_id")
-            .agg(F.max("nw").alias("nw"))
-        )
-        merged = best.join(step, ["query_id", "doc_id"], "full_outer")
-        better = F.col("nw").isNotNull() & (F.col("w").isNull() | (F.col("nw") > F.col("w")))
-        best = merged.select(
-            "query_id", "doc_id", F.when(better, F.col("nw")).otherwise(F.col("w")).alias("w"), F.when(better, F.lit(hop)).otherwise(F.col("hop")).alias("hop")
-        )
-        front = best.filter(F.col("hop") == hop)
+            best.filter(F.col("hop") == hop - 1).join(arcs, F.col("doc_id") == F.col("source"))
+            .select("query_id", F.col("target").alias("doc_id"), ((F.col("w") * F.lit(float(decay))) * F.col("dir")).alias("w"), F.lit(hop).alias("hop"))
+        )
+        # values of earlier hops win ties; the union is added up where it lies before the shuffle
+        best = best.unionByName(step).groupBy("query_id", "doc_id").agg(F.max_by(F.struct("w", "hop"), F.struct("w", -F.col("hop"))).alias("b")).select("query_id", "doc_id", "b.w", "b.hop")
     given = seeds.select("query_id", "doc_id").distinct()
     return best.join(given, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.col("w").alias("graph_score"), "hop")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import fold_letters, index_tokens
+from ..functions.text import folded, index_tokens, tokens
 from ..params import DEFAULTS
+from ..shared import kept
 
-#: Questions that are sent to all tasks at once; more are searched in blocks of this size.
+#: Bytes of question vectors that are sent to all tasks for one scan of the chunks; more take a further scan each.
+QUERY_BYTES = 128 << 20
+#: Questions that a task compares with a batch of chunks at once.
 QUERY_BLOCK = 2000
+#: (question, term) pairs that are sent to all tasks; with more, postings and terms are joined.
+SENT_TERMS = 1_000_000
+#: Such pairs that a task adds up at once, but for those of one chunk.
+PAIRS_AT_ONCE = 2_000_000
 
 
 def _best(*order) -> Window:
@@ -33,79 +42,87 @@ def filtered(chunks: DataFrame, status: str | None = None, validity: str | None
     return chunks
 
 
+class BestOf:
+    """The k best (score, then smallest chunk) of each question that a task has seen."""
+
+    def __init__(self, k: int, room: int):
+        self.k, self.room, self.held, self.parts = k, room, 0, []
+
+    def add(self, question: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((question, chunk, score))
+        self.held += len(question)
+        if self.held > self.room:
+            self.parts = [self.best()]
+            self.held = len(self.parts[0][0])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        question, chunk, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((chunk, -score, question))
+        question, chunk, score = question[order], chunk[order], score[order]
+        first = np.flatnonzero(np.concatenate([[True], question[1:] != question[:-1]]))
+        place = np.arange(len(question)) - np.repeat(first, np.diff(np.append(first, len(question))))
+        return question[place < self.k], chunk[place < self.k], score[place < self.k]
+
+    def batch(self, ids: np.ndarray, score_name: str) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            question, chunk, score = self.best()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[question]), pa.array(chunk), pa.array(score)], names=["query_id", "chunk_id", score_name])
+
+
 def semantic_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, min_similarity: float = DEFAULTS.min_similarity) -> DataFrame:
     """query_id, chunk_id, score, rank: exact cosine of every question against all chunks.
 
-    queries: query_id, embedding; chunks: chunk_id, embedding. Questions are the stated query set: they
-    go to the tasks in blocks of bounded size, and each task keeps its k best of each, so the shuffle is
-    k rows for each question and task. Zero or odd-sized questions find nothing. Ties: lowest chunk_id.
+    queries: query_id, embedding; chunks: chunk_id, embedding. Questions are the stated query set: as
+    many as fit in QUERY_BYTES go to the tasks for one scan, and each task keeps its k best of each, so
+    the shuffle is k rows for each question and task. Zero or odd-sized questions find nothing. Ties:
+    lowest chunk_id.
     """
     spark = queries.sparkSession
-    blocks: list[DataFrame] = []
+    scans: list[DataFrame] = []
 
-    def search(ids: list[int], matrix: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array(ids), matrix))
+    def search(ids: list[int], rows: list[np.ndarray]) -> DataFrame:
+        sent = spark.sparkContext.broadcast((np.array(ids), np.array(rows)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, q = sent.value
-            kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-            def trimmed():
-                i, c, s = (np.concatenate(x) for x in zip(*kept, strict=True))
-                order = np.lexsort((c, -s, i))
-                i, c, s = i[order], c[order], s[order]
-                first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-                place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-                return i[place < k], c[place < k], s[place < k]
-
+            found = BestOf(k, 20 * k * min(len(q), QUERY_BLOCK) + k * len(q))
             for batch in batches:
-                lists = batch.column(1)
-                fits = np.diff(lists.offsets.to_numpy()) == q.shape[1]
+                fits = np.diff(batch.column(1).offsets.to_numpy()) == q.shape[1]
                 if not fits.any():
                     continue
                 part = batch.filter(pa.array(fits))
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                sims = q @ x.T
                 chunk = part.column(0).to_numpy()
-                cut = np.full(len(q), min_similarity)
-                if sims.shape[1] > k:
-                    cut = np.maximum(cut, np.partition(sims, -k, axis=1)[:, -k])
-                i, j = np.nonzero(sims >= cut[:, None])
-                kept.append((i, chunk[j], sims[i, j]))
-                if sum(len(x[0]) for x in kept) > 20 * k * len(q):
-                    kept[:] = [trimmed()]
-            if kept:
-                i, c, s = trimmed()
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(c), pa.array(s)], names=["query_id", "chunk_id", "score"])
+                for a in range(0, len(q), QUERY_BLOCK):
+                    sims = q[a : a + QUERY_BLOCK] @ x.T
+                    cut = np.full(len(sims), min_similarity)
+                    if sims.shape[1] > k:
+                        cut = np.maximum(cut, np.partition(sims, -k, axis=1)[:, -k])
+                    i, j = np.nonzero(sims >= cut[:, None])
+                    found.add(i + a, chunk[j], sims[i, j])
+            yield from found.batch(qid, "score")
 
         return chunks.select(F.col("chunk_id").cast("long"), F.col("embedding")).mapInArrow(run, "query_id long, chunk_id long, score double")
 
     ids: list[int] = []
     rows: list[np.ndarray] = []
-    dims: int | None = None
-
-    def close():
-        if ids:
-            blocks.append(search(list(ids), np.array(rows)))
-            ids.clear()
-            rows.clear()
-
     for r in queries.select(F.col("query_id").cast("long"), "embedding").toLocalIterator():
         v = np.array(r.embedding or [], float)
         if not np.isfinite(v).all() or not (norm := np.linalg.norm(v)):
             continue
-        if len(ids) >= QUERY_BLOCK or (dims is not None and dims != len(v)):
-            close()
-        dims = len(v)
+        if ids and (len(rows[0]) != len(v) or (len(ids) + 1) * v.nbytes > QUERY_BYTES):
+            scans.append(search(ids, rows))
+            ids, rows = [], []
         ids.append(r.query_id)
         rows.append(v / norm)
-    close()
-    if not blocks:
+    if ids:
+        scans.append(search(ids, rows))
+    if not scans:
         return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    found = blocks[0]
-    for b in blocks[1:]:
-        found = found.unionByName(b)
+    found = scans[0]
+    for s in scans[1:]:
+        found = found.unionByName(s)
     return found.withColumn("rank", F.row_number().over(_best(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= k)
 
 
@@ -153,10 +170,16 @@ def merge_branches(
 FIELDS = {"title": 5.0, "heading": 3.0, "content": 1.0, "path": 2.0}
 
 
+WORD = re.compile(r"(?:[^\W_]|[\u0300-\u036f])+").findall
+
+
+def _weighted(field: str, weight: float) -> Column:
+    return F.transform(index_tokens(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+
 def postings(chunks: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame:
     """chunk_id, term, tf (weighted), length (tokens of the chunk) over the fields that chunks has."""
-    present = [(f, w) for f, w in fields.items() if f in chunks.columns]
-    words = F.concat(*[_weighted(f, w) for f, w in present])
+    words = F.concat(*[_weighted(f, w) for f, w in fields.items() if f in chunks.columns])
     return (
         chunks.select("chunk_id", words.alias("words"))
         .select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("t"))
@@ -165,8 +188,30 @@ def postings(chunks: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame:
     )
 
 
-def _weighted(field: str, weight: float) -> Column:
-    return F.transform(index_tokens(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+def asked_postings(chunks: DataFrame, asked: list[str], fields: dict[str, float] = FIELDS) -> DataFrame:
+    """One row a chunk: chunk_id, length, places (of terms in asked) and tfs. One pass over the texts, no shuffle."""
+    present = [f for f in fields if f in chunks.columns]
+    sent = chunks.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(asked)})
+
+    @F.pandas_udf("length int, places array<int>, tfs array<double>")
+    def count(*texts: pd.Series) -> pd.DataFrame:
+        place, known, rows = sent.value.get, {}, []
+        for parts in zip(*texts):
+            length, tfs = 0, {}
+            for field, text in zip(present, parts):
+                words = WORD((text or "").casefold())
+                length += len(words)
+                for w, n in Counter(words).items():
+                    if (at := known.get(w, -2)) == -2:
+                        at = known[w] = place(folded(w), -1)
+                    if at >= 0:
+                        tfs[at] = tfs.get(at, 0.0) + fields[field] * n
+            rows.append((length, list(tfs), list(tfs.values())))
+            if len(known) > 200_000:
+                known.clear()
+        return pd.DataFrame(rows, columns=["length", "places", "tfs"])
+
+    return chunks.select("chunk_id", count(*present).alias("p")).select("chunk_id", "p.*")
 
 
 def bm25_topk(
@@ -176,43 +221,97 @@ def bm25_topk(
     k1: float = DEFAULTS.bm25_k1,
     b: float = DEFAULTS.bm25_b,
     fields: dict[str, float] = FIELDS,
+    passing: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, chunk_id, bm25, rank for the OR of the terms (query_id, term), best first.
 
-    Postings are cut down to the terms that are asked for before they are counted or joined; a frequent
-    term is a hot key of a join, which Spark splits. Lengths are whole-chunk token counts.
+    Document frequencies and lengths (whole-chunk token counts) are those of all chunks; with passing
+    (chunk_id), only its chunks are ranked. The pairs of question and term are counted: if they are few,
+    the texts are read once, each task scores whole chunks and keeps its k best for each question, so
+    that a frequent term costs no shuffle. With more, postings and terms are joined.
     """
-    asked = terms.select("term").distinct()
+    asked = kept(terms.select(F.col("query_id").cast("long"), "term").distinct(), "asked")
+    n_asked = asked.count()
+    if n_asked > SENT_TERMS:
+        scored = _joined_bm25(asked, chunks, k1, b, fields)
+        if passing is not None:
+            scored = scored.join(passing.select("chunk_id"), "chunk_id", "left_semi")
+    else:
+        scored = _scanned_bm25(asked.toPandas(), chunks, k, k1, b, fields, passing)
+    return scored.withColumn("rank", F.row_number().over(_best(F.desc(F.round("bm25", 9)), "chunk_id"))).filter(F.col("rank") <= k)
+
+
+def _scanned_bm25(pairs: pd.DataFrame, chunks: DataFrame, k: int, k1: float, b: float, fields: dict[str, float], passing: DataFrame | None) -> DataFrame:
+    names = np.unique(pairs["term"].to_numpy(str)).tolist()
+    posts = kept(asked_postings(chunks.withColumn("chunk_id", F.col("chunk_id").cast("long")), names, fields), "postings")
+    total, mean = posts.agg(F.count("*"), F.avg("length")).first()
+    df = np.zeros(len(names))
+    for place, n in posts.select(F.explode("places").alias("p")).groupBy("p").count().toLocalIterator():  # as many as terms
+        df[place] = n
+    qid = np.unique(pairs["query_id"].to_numpy(np.int64))
+    place = np.searchsorted(names, pairs["term"].to_numpy(str))
+    order = np.argsort(place, kind="stable")
+    askers = np.searchsorted(qid, pairs["query_id"].to_numpy(np.int64))[order]
+    first = np.searchsorted(place[order], np.arange(len(names) + 1))
+    idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+    sent = chunks.sparkSession.sparkContext.broadcast((qid, askers, first, idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, askers, first, idf = sent.value
+        found = BestOf(k, 2_000_000 + k * len(qid))
+        for batch in batches:
+            chunk, length, size = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.diff(batch.column(2).offsets.to_numpy())
+            term, tf = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
+            many = first[term + 1] - first[term]
+            # stretches of chunks that meet a bounded number of (question, term) pairs
+            per_row = np.cumsum(np.bincount(row, many, len(size)))
+            cuts = np.unique(np.searchsorted(row, 1 + np.flatnonzero(np.diff(per_row // PAIRS_AT_ONCE)), "left"))
+            for lo, hi in zip([0, *cuts], [*cuts, len(row)]):
+                n = many[lo:hi]
+                asker = askers[np.repeat(first[term[lo:hi]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                pair, of = np.unique(asker * np.int64(len(size)) + np.repeat(row[lo:hi], n), return_inverse=True)
+                if len(pair):
+                    found.add(pair // len(size), chunk[pair % len(size)], np.round(np.bincount(of, np.repeat(weight[lo:hi], n)), 12))
+        yield from found.batch(qid, "bm25")
+
+    if passing is not None:
+        posts = posts.join(passing.select("chunk_id"), "chunk_id", "left_semi").select(*posts.columns)
+    return posts.mapInArrow(run, "query_id long, chunk_id long, bm25 double")
+
+
+def _joined_bm25(asked: DataFrame, chunks: DataFrame, k1: float, b: float, fields: dict[str, float]) -> DataFrame:
+    """The same by joins of any size; a frequent term is a hot key, which Spark splits."""
+    posts = kept(postings(chunks, fields).join(asked.select("term").distinct(), "term", "left_semi"), "postings")
     present = [f for f in fields if f in chunks.columns]
-    sized = chunks.withColumn("__len", sum([F.size(index_tokens(F.col(f))) for f in present], F.lit(0)))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("__len").alias("avg_len"))
-    posts = postings(chunks, fields).join(asked, "term", "left_semi")
+    totals = chunks.select(sum([F.size(index_tokens(F.col(f))) for f in present], F.lit(0)).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_len")))
-    scored = (
-        terms.select("query_id", "term").distinct()
-        .join(df.join(F.broadcast(totals)).withColumn("idf", idf), "term")  # totals: one row
+    return (
+        asked.join(df.join(F.broadcast(totals)).withColumn("idf", idf), "term")  # totals: one row
         .join(posts, "term")
         .groupBy("query_id", "chunk_id")
         .agg(F.sum(weight).alias("bm25"))
-    )
-    return scored.withColumn("rank", F.row_number().over(_best(F.desc(F.round("bm25", 9)), "chunk_id"))).filter(F.col("rank") <= k)
+    )
 
 
 def coverage_gate(hits: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFrame:
     """hits (query_id, chunk_id, bm25) that cover enough terms: adds coverage, lexical_score and the rank after the gate.
 
-    texts: chunk_id, text (title, heading, content and path). terms: query_id, terms. One term: 1 must
-    match, up to ten: 2, more: a fifth, two at least.
+    texts: chunk_id, text (title, heading, content and path). terms: query_id, terms. A term counts if it
+    is a word of the folded text. One term: 1 must match, up to ten: 2, more: a fifth, two at least. Each
+    text that is hit is taken apart once.
     """
     n = F.size("terms")
     need = F.when(n <= 1, 1).when(n <= 10, 2).otherwise(F.greatest(F.lit(2), F.ceil(n * 0.2)))
-    folded = fold_letters(F.col("text"))
+    hit = texts.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    words = hit.select("chunk_id", F.array_distinct(tokens(F.col("text"))).alias("words"))
     return (
         hits.join(terms, "query_id")
-        .join(texts, "chunk_id")
-        .withColumn("matched", F.size(F.filter("terms", lambda t: F.contains(folded, t))))
+        .join(words, "chunk_id")
+        .withColumn("matched", F.size(F.array_intersect("terms", "words")))
         .filter(F.col("matched") >= need)
         .select(
             "query_id", "chunk_id", "bm25", (F.col("matched") / n).alias("coverage"), F.greatest(F.lit(0.0), "bm25").alias("lexical_score"),
@@ -260,7 +359,7 @@ def fuse(
         "query_id", "chunk_id", (F.col("rrf") / (sum(weights) / (k + 1))).alias("fusion"),
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(total, held), F.lit(0.0)))).alias("score"),
         "cosine", "coverage", "graph_score", reason.alias("reason"),
-    ).withColumn("rank", F.row_number().over(_best(F.desc("fusion"), F.desc("score"), "chunk_id")))
+    ).withColumn("rank", F.row_number().over(_best(F.desc(F.round("fusion", 12)), F.desc(F.round("score", 12)), "chunk_id")))
 
 
 def hydrate(candidates: DataFrame, chunks: DataFrame, parents: DataFrame, docs: DataFrame, **filters) -> DataFrame:

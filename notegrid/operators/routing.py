@@ -24,13 +24,14 @@ def _holds(text: Column, words: tuple[str, ...]) -> list[Column]:
 
 
 def mentioned_notes(queries: DataFrame, aliases: DataFrame, minimum: int = 4, most: int = 3) -> DataFrame:
-    """query_id, mentions: how many distinct notes a question names (alias of `minimum` characters or more, folded), `most` at the most.
+    """query_id, mentions: how many distinct notes a question names (folded alias of `minimum` characters, four at least), `most` at the most.
 
     The aliases are counted first. A bounded number goes to all tasks as one alternation that is looked
     for in Arrow batches of questions. With more, each alias is keyed by its first four characters and
     joined with the four-character pieces of the questions.
     """
-    named = aliases.filter(F.length("alias") >= minimum).select(fold_letters(F.col("alias")).alias("name"), "doc_id").filter(F.length("name") >= 1)
+    minimum = max(4, minimum)  # both ways look names up by their first four characters
+    named = aliases.select(fold_letters(F.col("alias")).alias("name"), "doc_id").filter(F.length("name") >= minimum)
     asked = queries.select("query_id", fold_letters(F.col("question")).alias("q"))
     if named.count() <= SENT_ALIASES:
         by_name: dict[str, set] = {}
@@ -195,7 +196,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, links: Data
 
     terms = queries.join(alive, "query_id", "left_semi").select("query_id", lexical_terms(F.col("question")).alias("terms"))
     exploded = terms.select("query_id", F.explode("terms").alias("term"))
-    bm = r.bm25_topk(exploded, pool, 2 * limit, p.bm25_k1, p.bm25_b)
+    # words weigh as they do in the whole index; of the filters only the status holds before the limit
+    bm = r.bm25_topk(exploded, chunks, 2 * limit, p.bm25_k1, p.bm25_b, passing=r.filtered(chunks, status=filters.get("status")))
+    bm = bm.join(where.select("chunk_id"), "chunk_id", "left_semi")
     texts = pool.select("chunk_id", F.concat_ws(" ", "title", "heading", "content", "path").alias("text"))
     lexical = kept(r.coverage_gate(bm, texts, terms).filter(F.col("rank") <= limit), "lexical")
 

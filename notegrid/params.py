@@ -21,6 +21,7 @@ REVIEW_KEYS = ("fecha_revision", "fecha_revisión", "revisar_el", "review_date")
 DEPRECATION_CALLOUTS = ("caution", "danger", "failure", "bug", "deprecated")
 
 
+# Defaults that results depend on.
 @dataclass(frozen=True)
 class Params:
     top_k: int = 6

@@ -18,7 +18,7 @@ from ..operators import index as ix
 from ..operators import notes as n
 from ..operators import retrieval as r
 from ..operators import routing as ro
-from ..shared import scratch
+from ..shared import kept, scratch
 from ..sources import notes as src
 from ..streaming.turns import run_turn_batches
 from . import views as v
@@ -419,8 +419,8 @@ def r31_bm25(spark, sf_dir):
     return bm25(spark, sf_dir).withColumn("bm25", F.round("bm25", 6))
 
 
-GATED = f"""SELECT * FROM (SELECT h.query_id, h.chunk_id, count(*) FILTER (WHERE contains({FOLD.format("coalesce(d.text, '')")}, t.term)) AS m, count(*) AS n
-  FROM ({BM25}) h JOIN ({TERMS}) t ON h.query_id = t.query_id JOIN {{documents}} d ON d.doc_id = h.chunk_id GROUP BY ALL) c
+GATED = f"""SELECT * FROM (SELECT h.query_id, h.chunk_id, count(*) FILTER (WHERE list_contains(w, t.term)) AS m, count(*) AS n
+  FROM ({BM25}) h JOIN ({TERMS}) t ON h.query_id = t.query_id JOIN (SELECT doc_id, list_transform(regexp_extract_all({FOLD.format("coalesce(text, '')")}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: trim(x, '_')) AS w FROM {{documents}}) d ON d.doc_id = h.chunk_id GROUP BY ALL) c
   WHERE m >= CASE WHEN n <= 1 THEN 1 WHEN n <= 10 THEN 2 ELSE greatest(2, ceil(n * 0.2)) END"""
 
 
@@ -581,7 +581,69 @@ def r41_abstention(spark, sf_dir):
     return ro.abstention(v.frames(spark, sf_dir, v.QUERIES_V), sel).select("query_id", r6("confidence"), "abstain")
 
 
-@query()
+def _top(q: str) -> str:
+    return f"""SELECT query_id, chunk_id, score, rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT q.query_id, c.chunk_id, list_cosine_similarity(cast(q.embedding AS DOUBLE[]), cast(c.embedding AS DOUBLE[])) AS score FROM ({q}) q, pool c) s WHERE score >= 0.3) t WHERE rank <= 24) u WHERE score >= best * 0.62"""
+
+
+def _picked() -> str:
+    """Six greedy steps: what is left with its likeness to what is chosen, and the choice of each step."""
+    steps = ["""s1 AS MATERIALIZED (SELECT query_id, chunk_id, c.doc_id, r.rank, cast(embedding AS DOUBLE[]) AS e, CASE WHEN max(fusion) OVER w = min(fusion) OVER w THEN 1.0 ELSE (fusion - min(fusion) OVER w) / (max(fusion) OVER w - min(fusion) OVER w) END AS rel, cast(0 AS DOUBLE) AS near, 0 AS used
+    FROM families r JOIN pool c USING (chunk_id) WINDOW w AS (PARTITION BY query_id))"""]
+    for i in range(1, 7):
+        steps.append(f"""p{i} AS MATERIALIZED (SELECT *, {i} AS place FROM s{i} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY used < 3 DESC, round(0.72 * rel - 0.28 * near, 12) DESC, rank) = 1)""")
+        steps.append(f"""s{i + 1} AS MATERIALIZED (SELECT s.query_id, s.chunk_id, s.doc_id, s.rank, s.e, s.rel, greatest(s.near, list_cosine_similarity(s.e, p.e)) AS near, s.used + cast(s.doc_id = p.doc_id AS INT) AS used FROM s{i} s JOIN p{i} p USING (query_id) WHERE s.chunk_id <> p.chunk_id)""")
+    union = " UNION ALL ".join(f"SELECT query_id, chunk_id, doc_id, place FROM p{i}" for i in range(1, 7))
+    return ", ".join(steps) + f", picked AS MATERIALIZED ({union})"
+
+
+WORDS_OF = "regexp_extract_all(" + FOLD + ", '[\\p{{L}}\\p{{N}}]+')"
+RETRIEVED = f"""WITH pool AS MATERIALIZED (SELECT v.*, n.title, n.path, coalesce(d.text, '') AS content FROM ({v.CHUNK_VECTORS}) v JOIN ({NAMED}) n USING (doc_id) JOIN (SELECT doc_id, text FROM {{documents}}) d USING (doc_id)),
+  q AS MATERIALIZED ({ASKED.replace("{q}", v.QUERIES_V)}), c AS MATERIALIZED ({_top(v.QUERIES_V)}), x AS MATERIALIZED ({_top(f"SELECT * FROM ({v.CONTEXT_V}) k WHERE query_id IN (SELECT query_id FROM ({v.QUERIES_V}) o)")}),
+  tops AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, CASE WHEN b.m - a.m >= 0.08 THEN 0.5 ELSE 1.0 END AS wc, CASE WHEN a.m - b.m >= 0.08 THEN 0.5 ELSE 1.0 END AS wx
+    FROM (SELECT query_id, max(score) AS m FROM c GROUP BY query_id) a FULL JOIN (SELECT query_id, max(score) AS m FROM x GROUP BY query_id) b ON a.query_id = b.query_id),
+  m AS (SELECT coalesce(c.query_id, x.query_id) AS query_id, coalesce(c.chunk_id, x.chunk_id) AS chunk_id, greatest(c.score, x.score) AS score, c.rank AS rc, x.rank AS rx, c.rank IS NOT NULL AS has FROM c FULL JOIN x ON c.query_id = x.query_id AND c.chunk_id = x.chunk_id),
+  sem AS MATERIALIZED (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(wc / rc, 0.0) + coalesce(wx / rx, 0.0) DESC, has DESC, score DESC, chunk_id) AS rank FROM m JOIN tops USING (query_id)) y WHERE rank <= 24),
+  sd AS MATERIALIZED (SELECT sem.*, pool.doc_id FROM sem JOIN pool USING (chunk_id)), links AS MATERIALIZED ({LINKED}),
+  seeds4 AS (SELECT DISTINCT query_id, doc_id FROM sd WHERE rank <= 4),
+  tied AS (SELECT DISTINCT a.query_id FROM seeds4 a JOIN links l ON a.doc_id = l.source JOIN seeds4 b ON a.query_id = b.query_id AND b.doc_id = l.target_id AND b.doc_id <> a.doc_id),
+  best AS (SELECT query_id, max(score) AS best FROM sd GROUP BY query_id),
+  men AS (SELECT q.query_id, least(3, count(DISTINCT a.doc_id)) AS mentions FROM q LEFT JOIN ({ALIASES}) a ON length(a.alias) >= 4 AND contains({FOLD.format("q.question")}, a.alias) GROUP BY q.query_id),
+  sig AS (SELECT q.query_id, best, cast(floor(query_id / 20) % 4 IN (0, 2) AS INT) + cast(mentions >= 2 AS INT) + cast(tied.query_id IS NOT NULL AS INT) + cast(floor(query_id / 20) % 4 = 1 AS INT) AS n FROM q JOIN best USING (query_id) JOIN men USING (query_id) LEFT JOIN tied USING (query_id)),
+  routes AS MATERIALIZED (SELECT query_id, CASE WHEN n >= 2 THEN 'relational' WHEN n = 1 THEN 'hybrid' WHEN best < 0.35 THEN 'unknown' ELSE 'factual' END AS route, CASE WHEN n >= 2 THEN 0.5 WHEN n = 1 THEN 0.25 ELSE 0.0 END AS gw FROM sig),
+  terms AS MATERIALIZED (SELECT query_id, term FROM (SELECT query_id, term, min(o) AS o FROM (SELECT query_id, unnest({WORDS_OF.format("question")}) AS term, generate_subscripts({WORDS_OF.format("question")}, 1) AS o FROM q JOIN routes USING (query_id)) a
+    WHERE term NOT IN ({STOP}) AND (length(term) >= 2 OR regexp_matches(term, '^[0-9]+$')) GROUP BY query_id, term) b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o) <= 32),
+  words AS MATERIALIZED (SELECT chunk_id, {WORDS_OF.format("title")} AS t, ['uno'] AS h, {WORDS_OF.format("content")} AS b, {WORDS_OF.format("path")} AS p FROM pool),
+  tot AS (SELECT count(*) AS n, avg(len(t) + 1 + len(b) + len(p)) AS a FROM words),
+  posts AS MATERIALIZED (SELECT chunk_id, any_value(length) AS length, term, sum(w) AS tf FROM (SELECT chunk_id, len(t) + 1 + len(b) + len(p) AS length, unnest(t) AS term, 5.0 AS w FROM words UNION ALL SELECT chunk_id, len(t) + 1 + len(b) + len(p), 'uno', 3.0 FROM words UNION ALL SELECT chunk_id, len(t) + 1 + len(b) + len(p), unnest(b), 1.0 FROM words
+    UNION ALL SELECT chunk_id, len(t) + 1 + len(b) + len(p), unnest(p), 2.0 FROM words) u WHERE term IN (SELECT term FROM terms) GROUP BY chunk_id, term),
+  df AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
+  bm AS MATERIALIZED (SELECT * FROM (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS r FROM (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / a))) AS s
+    FROM terms JOIN df USING (term) JOIN posts USING (term), tot GROUP BY query_id, chunk_id) z) y WHERE r <= 48),
+  hay AS (SELECT chunk_id, list_transform(regexp_extract_all({FOLD.format("title || ' Uno ' || content || ' ' || path")}, '[\\p{{L}}\\p{{N}}_]+'), lambda y: trim(y, '_')) AS w FROM pool WHERE chunk_id IN (SELECT chunk_id FROM bm)),
+  gate AS (SELECT query_id, chunk_id, any_value(s) AS s, count(*) FILTER (WHERE list_contains(w, term)) AS k, count(*) AS n FROM bm JOIN hay USING (chunk_id) JOIN terms USING (query_id) GROUP BY query_id, chunk_id),
+  lex AS MATERIALIZED (SELECT * FROM (SELECT query_id, chunk_id, k / n AS coverage, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM gate WHERE k >= CASE WHEN n <= 1 THEN 1 WHEN n <= 10 THEN 2 ELSE greatest(2, ceil(n * 0.2)) END) y WHERE rank <= 24),
+  first AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), doc_id) AS p FROM sd GROUP BY query_id, doc_id), seeds AS (SELECT query_id, doc_id, 1.0 / p AS w FROM first WHERE p <= 4),
+  arcs AS (SELECT source, target_id AS target, 1.0 AS dir FROM links UNION ALL SELECT target_id, source, 0.7 FROM links),
+  reached AS (SELECT * FROM (SELECT query_id, target AS doc_id, max(w * 0.5 * dir) AS gs FROM seeds JOIN arcs ON doc_id = source GROUP BY query_id, target) r ANTI JOIN seeds USING (query_id, doc_id)),
+  vec AS (SELECT a.query_id, cast(coalesce(b.embedding, a.embedding) AS DOUBLE[]) AS e FROM ({v.QUERIES_V}) a LEFT JOIN ({v.CONTEXT_V}) b ON a.query_id = b.query_id),
+  near AS (SELECT r.query_id, r.doc_id, gs, chunk_id, list_cosine_similarity(e, cast(embedding AS DOUBLE[])) AS sim FROM reached r JOIN pool USING (doc_id) JOIN vec ON vec.query_id = r.query_id JOIN routes o ON o.query_id = r.query_id AND gw > 0 QUALIFY row_number() OVER (PARTITION BY r.query_id, r.doc_id ORDER BY sim DESC, chunk_id) = 1),
+  graph AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gs DESC, sim DESC, chunk_id) AS rank FROM near) y WHERE rank <= 20),
+  parts AS (SELECT query_id, chunk_id, rank, 1.0 AS w, score AS cosine, NULL AS coverage, NULL AS gs FROM sem UNION ALL SELECT query_id, chunk_id, rank, 0.8, NULL, coverage, NULL FROM lex UNION ALL SELECT query_id, chunk_id, rank, gw, NULL, NULL, gs FROM graph JOIN routes USING (query_id)),
+  scored AS (SELECT query_id, chunk_id, sum(w / (60 + rank)) / ((1.8 + any_value(gw)) / 61) AS fusion, max(cosine) AS cosine, max(coverage) AS coverage, max(gs) AS gs, any_value(gw) AS gw FROM parts JOIN routes USING (query_id) GROUP BY query_id, chunk_id),
+  fused AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fusion, 12) DESC, round(score, 12) DESC, chunk_id) AS rank FROM (SELECT *, least(1, greatest(0, coalesce((coalesce(cosine, 0) + coalesce(coverage * 0.8, 0) + coalesce(gs * gw, 0)) / nullif(CASE WHEN cosine IS NULL THEN 0 ELSE 1 END + CASE WHEN coverage IS NULL THEN 0 ELSE 0.8 END + CASE WHEN gs IS NULL THEN 0 ELSE gw END, 0), 0))) AS score FROM scored) y),
+  families AS (SELECT f.query_id, f.chunk_id, f.fusion, f.rank FROM fused f JOIN pool USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY f.query_id, coalesce('p' || pool.doc_id || '-' || parent_index, 'c' || f.chunk_id) ORDER BY f.rank) = 1), {_picked()},
+  chosen AS MATERIALIZED (SELECT p.*, f.score, f.fusion, f.cosine, f.coverage, f.gs FROM picked p JOIN fused f USING (query_id, chunk_id)),
+  ab AS (SELECT query_id, arg_min(cosine, place) FILTER (WHERE cosine IS NOT NULL) AS c, max(fusion) FILTER (WHERE place = 1) - max(fusion) FILTER (WHERE place = 2) AS g, max(coverage) AS v, avg(cast(cast(cosine IS NOT NULL AS INT) + cast(coverage IS NOT NULL AS INT) + cast(gs IS NOT NULL AS INT) >= 2 AS INT)) AS a, least(1.0, count(*) / 6.0) AS l FROM chosen GROUP BY query_id),
+  verdict AS (SELECT query_id, (coalesce(c * 0.3, 0) + coalesce(g * 0.15, 0) + coalesce(v * 0.15, 0) + a * 0.15 + l * 0.1) / (CASE WHEN c IS NULL THEN 0 ELSE 0.3 END + CASE WHEN g IS NULL THEN 0 ELSE 0.15 END + CASE WHEN v IS NULL THEN 0 ELSE 0.15 END + 0.25) < 0.35 AS abstain FROM ab),
+  linked AS (SELECT c.query_id, l.target_id AS doc_id, min(c.place) AS r, arg_min(c.score, c.place) * 0.85 AS score FROM chosen c JOIN links l ON l.source = c.doc_id JOIN routes USING (query_id) WHERE gw = 0 AND place <= 3 AND l.target_id IN (SELECT doc_id FROM pool) AND NOT EXISTS (SELECT 1 FROM chosen o WHERE o.query_id = c.query_id AND o.doc_id = l.target_id) GROUP BY c.query_id, l.target_id),
+  hop AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, chunk_id, doc_id, sim * 0.85 AS score FROM graph g WHERE NOT EXISTS (SELECT 1 FROM chosen o WHERE o.query_id = g.query_id AND o.doc_id = g.doc_id) QUALIFY place <= 3),
+  every AS (SELECT query_id, 'ranked' AS origin, place, chunk_id, doc_id, score FROM chosen UNION ALL SELECT query_id, 'neighbour', place, chunk_id, doc_id, score FROM hop
+    UNION ALL SELECT query_id, 'linked', row_number() OVER (PARTITION BY query_id ORDER BY r) AS place, (SELECT min(chunk_id) FROM pool WHERE pool.doc_id = linked.doc_id), doc_id, score FROM linked QUALIFY place <= 3)
+  SELECT query_id, origin, cast(place AS INT) AS place, chunk_id, doc_id, round(score, 6) AS score, route, abstain FROM every LEFT JOIN routes USING (query_id) JOIN verdict USING (query_id)"""
+
+
+@query(RETRIEVED)
 def r42_retrieve(spark, sf_dir):
     ctx = v.frames(spark, sf_dir, v.CONTEXT_V).select("query_id", F.col("embedding").alias("context_embedding"))
     queries = asked(spark, sf_dir).join(v.frames(spark, sf_dir, v.QUERIES_V).select("query_id", "embedding"), "query_id").join(ctx, "query_id", "left")
@@ -591,7 +653,8 @@ def r42_retrieve(spark, sf_dir):
         vectors(spark, sf_dir).join(named, "doc_id").join(texts, "doc_id")
         .select("*", (F.col("chunk_id") % 5).alias("chunk_index"), F.lit("Uno").alias("heading"), F.lit("vigente").alias("validity"), F.array("status").alias("tags"))
     )
-    picked, routes, decided = ro.retrieve(queries, chunks, named, v.frames(spark, sf_dir, LINKED))
+    # an index is a table: written once, as publish_index does
+    picked, routes, decided = ro.retrieve(kept(queries, "questions"), kept(chunks, "chunks"), named, kept(v.frames(spark, sf_dir, LINKED), "links"))
     return picked.join(routes.select("query_id", "route"), "query_id", "left").join(decided.select("query_id", "abstain"), "query_id").select(
         "query_id", "origin", "place", "chunk_id", "doc_id", r6("score"), "route", "abstain"
     )
