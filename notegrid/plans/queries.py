@@ -201,6 +201,56 @@ def r15_parent_child(spark, sf_dir):
     return p.join(c, "doc_id").join(lost, "doc_id", "left").select("doc_id", "parents", "fits", F.coalesce("lost", F.lit(0)).cast("int").alias("lost"))
 
 
+# Notes of paragraphs, rows or lines of one width, for which the borders of chunks follow from arithmetic.
+PARAGRAPHS = "SELECT doc_id, 1 + cast(length(coalesce(text, '')) % 400 AS BIGINT) AS n FROM {documents}"
+PARAGRAPH = "'p' || lpad(cast({i} AS STRING), 4, '0') || ' ' || md5(cast(doc_id AS STRING) || '-' || cast({i} AS STRING))"
+
+
+def paragraphs(spark, sf_dir, first: str = "", line: str = PARAGRAPH, gap: str = "\n\n", last: str = "") -> DataFrame:
+    """doc_id, text: n paragraphs of 38 characters, or lines of another kind between a first and a last one."""
+    d = v.frames(spark, sf_dir, PARAGRAPHS).withColumn("i", F.explode(F.expr("sequence(1L, n)"))).select("doc_id", "i", F.expr(line.format(i="i")).alias("p"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"])
+    return d.groupBy("doc_id").agg(F.concat(F.lit(first), F.array_join(listed, gap), F.lit(last)).alias("text"))
+
+
+def _cut(first: int, more: int, lap: int) -> str:
+    """Chunk c of paragraphs lo to hi - 1, for chunks of first paragraphs, then of more after lap that come again."""
+    return f"""SELECT doc_id, n, c, CASE WHEN c = 0 THEN 1 ELSE {first - lap} + {more} * (c - 1) + 1 END AS lo, least(n, {first} + {more} * c) + 1 AS hi
+  FROM (SELECT doc_id, n, unnest(range(0, 1 + cast(greatest(0, ceil((n - {first}) / {more}.0)) AS BIGINT))) AS c FROM ({PARAGRAPHS}) q) r"""
+
+
+JOINED = "array_to_string(list_transform(range(lo, hi), lambda i: " + PARAGRAPH.format(i="i") + "), chr(10) || chr(10))"
+
+
+@query(f"SELECT doc_id, cast(c AS INT) AS chunk_index, md5({JOINED}) AS content FROM ({_cut(45, 39, 6)}) x")
+def r14_overlap(spark, sf_dir):
+    """Default sizes: 45 paragraphs of 40 fit; six come again in the next chunk."""
+    return ch.chunk_notes(paragraphs(spark, sf_dir), body="text").select("doc_id", "chunk_index", F.md5("content").alias("content"))
+
+
+ROW = "'| ' || lpad(cast({i} AS STRING), 8, '0') || ' | fila |'"
+ROWS_JOINED = "array_to_string(list_transform(range(lo, hi), lambda i: " + ROW.format(i="i") + "), chr(10))"
+
+
+@query(f"""SELECT doc_id, cast(c AS INT) AS chunk_index, md5('| a | b |' || chr(10) || '|---|---|' || chr(10) || {ROWS_JOINED}) AS content FROM ({_cut(15, 15, 0)}) x
+  UNION ALL SELECT doc_id + 1000000000, cast(c AS INT), md5('~~~~sql' || chr(10) || {ROWS_JOINED} || chr(10) || '~~~~') FROM ({_cut(15, 15, 0)}) y""")
+def r14_seams(spark, sf_dir):
+    """Tables repeat their head and code its fences: 15 rows of 20 fit in 320 beside them."""
+    table = paragraphs(spark, sf_dir, "| a | b |\n|---|---|\n", ROW, "\n")
+    code = paragraphs(spark, sf_dir, "~~~~sql\n", ROW, "\n", "\n~~~~").withColumn("doc_id", F.col("doc_id") + 1000000000)
+    return ch.chunk_notes(table.unionByName(code), 320, 0, body="text").select("doc_id", "chunk_index", F.md5("content").alias("content"))
+
+
+@query(f"""SELECT doc_id, cast(c AS INT) AS parent_index, cast(k AS INT) AS place, md5({JOINED}) AS content FROM (
+  SELECT doc_id, c, k, CASE WHEN k = 0 THEN lo0 ELSE lo0 + 15 + 15 * (k - 1) END AS lo, least(hi0, lo0 + 17 + 15 * k) AS hi
+  FROM (SELECT doc_id, c, lo AS lo0, hi AS hi0, unnest(range(0, 1 + cast(greatest(0, ceil((hi - lo - 17) / 15.0)) AS BIGINT))) AS k FROM ({_cut(150, 150, 0)}) x) y) z""")
+def r15_children(spark, sf_dir):
+    """Default sizes: parents of 150 paragraphs; children of 17, then of 15 after two that come again."""
+    _, children = ch.chunk_parent_child(paragraphs(spark, sf_dir), "doc_id", body="text")
+    place = F.row_number().over(Window.partitionBy("doc_id", "parent_index").orderBy("chunk_index")) - 1
+    return children.select("doc_id", "parent_index", place.alias("place"), F.md5("content").alias("content"))
+
+
 # Index maintenance
 
 OLD = "SELECT 'n' || cast(doc_id AS STRING) AS path, sha256(coalesce(text, '')) AS sha256 FROM {documents} WHERE doc_id % 10 <> 0"
@@ -366,6 +416,14 @@ def r27_filtered(spark, sf_dir):
     return r.semantic_topk(v.frames(spark, sf_dir, v.QUERIES_V), pool, 5, 0.05).withColumn("score", F.round("score", 6))
 
 
+@query(f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ({SIM}) s WHERE chunk_id % 4 <> 1 AND chunk_id % 2 = 0 AND status = 'borrador' AND score >= 0.05) t WHERE rank <= 5")
+def r27_tags_validity(spark, sf_dir):
+    state = F.when(F.col("chunk_id") % 4 == 1, "caducada").when(F.col("chunk_id") % 4 == 2, "futura").otherwise("vigente")
+    tags = F.when(F.col("chunk_id") % 2 == 0, F.array("status", F.lit("par"), F.lit("x"))).otherwise(F.array("status", F.lit("x")))
+    pool = r.filtered(vectors(spark, sf_dir).withColumns({"validity": state, "tags": tags}), validity="no_caducada", tags=("par", "borrador"))
+    return r.semantic_topk(v.frames(spark, sf_dir, v.QUERIES_V), pool, 5, 0.05).withColumn("score", F.round("score", 6))
+
+
 @query(f"SELECT query_id, chunk_id, rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM ({TOP}) t) x WHERE score >= best * 0.3")
 def r28_relative_cutoff(spark, sf_dir):
     return r.relative_cutoff(semantic(spark, sf_dir), 0.3).select("query_id", "chunk_id", "rank")
@@ -491,6 +549,12 @@ def r36_rerank(spark, sf_dir):
     return r.blend_rerank(rows, scores).select("query_id", "chunk_id", "rank")
 
 
+@query("""SELECT doc_id, md5('Nota ' || cast(doc_id AS STRING) || ' — ' || source || chr(10) || substr(coalesce(text, ''), 1, cast(greatest(120, 900 - length('Nota ' || cast(doc_id AS STRING) || ' — ' || source || chr(10))) AS BIGINT))) AS passage FROM {documents} WHERE source IS NOT NULL""")
+def r36_passages(spark, sf_dir):
+    rows = docs_of(spark, sf_dir).filter("source IS NOT NULL").select("doc_id", F.concat(F.lit("Nota "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("heading"), F.coalesce("text", F.lit("")).alias("content"))
+    return r.passages(rows).select("doc_id", F.md5("passage").alias("passage"))
+
+
 MMR_BASE = f"SELECT query_id, chunk_id, c.doc_id, rank, cast(embedding AS DOUBLE[]) AS e, CASE WHEN max(fusion) OVER w = min(fusion) OVER w THEN 1.0 ELSE (fusion - min(fusion) OVER w) / (max(fusion) OVER w - min(fusion) OVER w) END AS rel FROM ({RANKED}) r JOIN ({v.CHUNK_VECTORS}) c USING (chunk_id) WINDOW w AS (PARTITION BY query_id)"
 
 
@@ -569,7 +633,7 @@ def r40_route(spark, sf_dir):
     return ro.route(asked(spark, sf_dir), sem, g.alias_index(v.frames(spark, sf_dir, NAMED)), edges).select("query_id", "mentions", "connected", "signals", "route")
 
 
-@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fusion, 9) DESC, chunk_id) AS place FROM ({FUSED}) f QUALIFY place <= 6 AND query_id % 3 <> 0),
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fusion, 9) DESC, chunk_id) AS place FROM ({FUSED}) f QUALIFY place <= 6),
   a AS (SELECT query_id, arg_min(cosine, place) FILTER (WHERE cosine IS NOT NULL) AS c, max(fusion) FILTER (WHERE place = 1) - max(fusion) FILTER (WHERE place = 2) AS m, max(coverage) AS v,
     avg(cast(cast(cosine IS NOT NULL AS INT) + cast(coverage IS NOT NULL AS INT) + cast(graph_score IS NOT NULL AS INT) >= 2 AS INT)) AS g, least(1.0, count(*) / 6.0) AS fl FROM s GROUP BY query_id),
   z AS (SELECT q.query_id, (coalesce(c * 0.3, 0) + coalesce(m * 0.15, 0) + coalesce(v * 0.15, 0) + coalesce(g * 0.15, 0) + coalesce(fl * 0.1, 0)) /
@@ -577,7 +641,7 @@ def r40_route(spark, sf_dir):
   SELECT query_id, round(conf, 6) AS confidence, coalesce(conf < 0.35, true) AS abstain FROM z""")
 def r41_abstention(spark, sf_dir):
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("fusion", 9)), "chunk_id")
-    sel = fused(spark, sf_dir).filter("query_id % 3 <> 0").withColumn("place", F.row_number().over(order)).filter("place <= 6").withColumn("rerank", F.lit(None).cast("double"))
+    sel = fused(spark, sf_dir).withColumn("place", F.row_number().over(order)).filter("place <= 6").withColumn("rerank", F.lit(None).cast("double"))
     return ro.abstention(v.frames(spark, sf_dir, v.QUERIES_V), sel).select("query_id", r6("confidence"), "abstain")
 
 
@@ -676,7 +740,7 @@ def r43_context(spark, sf_dir):
 
 # Evaluation
 
-EVAL = f"""WITH hits AS (SELECT query_id, rank, 'd' || cast(chunk_id % 40 AS STRING) AS path, chunk_id % 40 % 10 = floor(query_id / 20) % 10 AS good FROM ({TOP}) t WHERE query_id % 7 <> 1),
+EVAL = f"""WITH hits AS (SELECT query_id, rank, 'd' || cast(chunk_id % 40 AS STRING) AS path, chunk_id % 40 % 10 = floor(query_id / 20) % 10 AS good FROM ({TOP}) t WHERE score BETWEEN 0.3 AND 0.999),
   cases AS (SELECT query_id, floor(query_id / 20) % 10 AS k, query_id % 3 = 0 AS expect_abstention FROM ({v.QUERIES_V}) q),
   per AS (SELECT query_id, path, good, min(rank) AS rank, count(*) AS n FROM hits GROUP BY ALL),
   pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, path) AS place FROM per),
@@ -688,7 +752,7 @@ EVAL = f"""WITH hits AS (SELECT query_id, rank, 'd' || cast(chunk_id % 40 AS STR
 
 
 def evaluated(spark, sf_dir):
-    hits = semantic(spark, sf_dir).filter("query_id % 7 <> 1").select("query_id", "rank", F.concat(F.lit("d"), (F.col("chunk_id") % 40).cast("string")).alias("path"))
+    hits = semantic(spark, sf_dir).filter("score BETWEEN 0.3 AND 0.999").select("query_id", "rank", F.concat(F.lit("d"), (F.col("chunk_id") % 40).cast("string")).alias("path"))
     k = F.floor(F.col("query_id") / 20) % 10
     cases = v.frames(spark, sf_dir, v.QUERIES_V).select(
         "query_id", F.transform(F.array(*map(F.lit, range(4))), lambda i: F.concat(F.lit("d"), (i * 10 + k).cast("string"))).alias("expected"), F.array(F.lit("d7")).alias("forbidden"), (F.col("query_id") % 3 == 0).alias("expect_abstention")
@@ -734,7 +798,8 @@ def r47_calibrate(spark, sf_dir):
     return ev.calibrate(v.frames(spark, sf_dir, v.SCORES), 1.0, 2.0).select(F.round("threshold", 7).alias("threshold"), "tp", "fn", "tn", "fp", "cost", r6("balanced"))
 
 
-@query(f"""WITH w AS ({SWEEP}), s AS ({v.SCORES}) SELECT threshold, cost, balanced, round((SELECT min(score) FILTER (WHERE answerable) - max(score) FILTER (WHERE NOT answerable) FROM s), 6) AS margin, 'overlapping' AS verdict
+@query(f"""WITH w AS ({SWEEP}), s AS ({v.SCORES}) SELECT threshold, cost, balanced, round((SELECT min(score) FILTER (WHERE answerable) - max(score) FILTER (WHERE NOT answerable) FROM s), 6) AS margin,
+  (SELECT CASE WHEN m >= 0.08 THEN 'separable' WHEN m > 0 THEN 'narrow' ELSE 'overlapping' END FROM (SELECT min(score) FILTER (WHERE answerable) - max(score) FILTER (WHERE NOT answerable) AS m FROM s) y) AS verdict
   FROM w ORDER BY cost, balanced DESC, threshold LIMIT 1""")
 def r47_recommend(spark, sf_dir):
     scores = v.frames(spark, sf_dir, v.SCORES)

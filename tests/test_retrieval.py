@@ -122,3 +122,81 @@ def test_whole_retrieval(spark):
 
     got = __spark_entry__.entry(spark).collect()
     assert got and {x.origin for x in got} <= {"ranked", "linked", "neighbour"} and all(x.place <= 6 for x in got)
+
+
+def test_bm25_by_scan_and_by_join(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    words = ["uno", "dos", "tres", "árbol", "ARBOL", "información", "informacio\u0301n", "x_y", "7", "casa"]
+    chunks = spark.createDataFrame([(i, "T " + rng.choice(words), " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))) or None, "p/a.md") for i in range(120)], "chunk_id long, title string, content string, path string")
+    terms = spark.createDataFrame([(q, t) for q in range(5) for t in ("uno", "arbol", "informacion", "y", "nada")[q:]] + [(9, "nada")], "query_id long, term string")
+    passing = chunks.filter("chunk_id % 3 = 0").select("chunk_id")
+    found = []
+    for sent, pairs, room in ((1000, 2_000_000, 20), (1000, 3, 20), (0, 1, 20)):
+        monkeypatch.setattr(r, "SENT_TERMS", sent)
+        monkeypatch.setattr(r, "PAIRS_AT_ONCE", pairs)
+        found.append([sorted((x.query_id, x["rank"], x.chunk_id, round(x.bm25, 9)) for x in r.bm25_topk(terms, chunks, 20, passing=p).collect()) for p in (None, passing)])
+    assert found[0] == found[1] == found[2] and len(found[0][0]) > 60
+    assert all(x[2] % 3 == 0 for x in found[0][1]) and {x[3] for x in found[0][1]} & {x[3] for x in found[0][0]}
+    assert r.bm25_topk(terms.limit(0), chunks).count() == 0 == r.bm25_topk(terms, chunks.limit(0)).count()
+
+
+def test_questions_in_several_scans(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)] + [(900, [1.0]), (901, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame(rows[:30] + [(700, [0.0] * 8), (701, [1.0, 0.0]), (702, None)], "query_id long, embedding array<double>")
+    whole = sorted(map(tuple, r.semantic_topk(queries, chunks, 5, 0.1).collect()))
+    monkeypatch.setattr(r, "QUERY_BYTES", 8 * 8 * 7)
+    monkeypatch.setattr(r, "QUERY_BLOCK", 2)
+    assert [(q, c, k) for q, c, _, k in sorted(map(tuple, r.semantic_topk(queries, chunks, 5, 0.1).collect()))] == [(q, c, k) for q, c, _, k in whole]
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x in rows[:200]}
+    for q in range(30):
+        best = sorted(((-float(unit[q] @ u), i) for i, u in unit.items() if unit[q] @ u >= 0.1))[:5]
+        assert [c for a, c, _, _ in sorted((x for x in whole if x[0] == q), key=lambda x: x[3])] == [i for _, i in best]
+
+
+def test_coverage_counts_words(spark):
+    hits = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0), (2, 1, 1.0)], "query_id long, chunk_id long, bm25 double")
+    texts = spark.createDataFrame([(1, "Casa y árbol_"), (2, "casas arboleda")], "chunk_id long, text string")
+    terms = spark.createDataFrame([(1, ["casa", "arbol"]), (2, ["casa"])], "query_id long, terms array<string>")
+    got = {(x.query_id, x.chunk_id): x.coverage for x in r.coverage_gate(hits, texts, terms).collect()}
+    assert got == {(1, 1): 1.0, (2, 1): 1.0}
+
+
+def test_propagation_ends_and_refuses(spark):
+    import pytest
+
+    from notegrid.operators import graph as g
+
+    seeds = spark.createDataFrame([(1, 1, 1.0)], "query_id long, doc_id long, weight double")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 1)], "source long, target long")
+    got = {x.doc_id: (round(x.graph_score, 6), x.hop) for x in g.propagate(seeds, edges, 2, 0.5, 0.7).collect()}
+    assert got == {2: (0.5, 1), 3: (0.25, 2), 4: (0.35, 1)}
+    assert {x.doc_id: x.hop for x in g.propagate(seeds, edges, 5, 0.5, 0.7).collect()} == {2: 1, 3: 2, 4: 1}
+    with pytest.raises(ValueError):
+        g.propagate(seeds, edges, 6)
+
+
+def test_mentions_by_both_ways(spark, monkeypatch):
+    from notegrid.operators import routing as ro
+
+    queries = spark.createDataFrame([(1, "El árbol y la Casa grande"), (2, "de\u0301 casa grande, arboles"), (3, ""), (4, None)], "query_id long, question string")
+    aliases = spark.createDataFrame([("casa", 1), ("casa grande", 2), ("de\u0301a", 3), ("arbol", 4), ("la", 5), ("árbol", 6)], "alias string, doc_id long")
+    ways = []
+    for sent in (100_000, 0):
+        monkeypatch.setattr(ro, "SENT_ALIASES", sent)
+        ways.append({x.query_id: x.mentions for x in ro.mentioned_notes(queries, aliases).collect()})
+    assert ways[0] == ways[1] == {1: 3, 2: 3, 3: 0, 4: 0}
+
+
+def test_running_sums_over_ranges(spark):
+    from notegrid.shared import running
+
+    rows = [(float(i) / 7, i % 3) for i in range(500)]
+    got = running(spark.createDataFrame(rows, "v double, a long").repartition(7), "v", ("a",)).orderBy("v").collect()
+    assert [(x.v, x.a) for x in got] == rows and [x.a_before for x in got] == [sum(a for _, a in rows[:i]) for i in range(500)]
+    assert [x.prev for x in got] == [None, *[v for v, _ in rows[:-1]]] and [x.next for x in got] == [*[v for v, _ in rows[1:]], None] and {x.a_all for x in got} == {sum(a for _, a in rows)}
