@@ -24,9 +24,13 @@ def roots(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_components(spark, sent, monkeypatch):
+    from notegrid.llm import components as stars
     from notegrid.llm.common import shared_checkpoints
 
+    monkeypatch.setattr(stars, "SENT_NODES", sent)
+
     shared_checkpoints(spark)
     pairs = [(i, i + 1) for i in range(10, 40)] + [(100, i) for i in range(101, 130)] + [(5, 5), (7, 8), (8, 7), (130, 39)]
     pairs, loops = [p for p in pairs if p[0] != p[1]], [p for p in pairs if p[0] == p[1]]
