@@ -25,8 +25,8 @@ from .components import components
 
 #: Rows of a piece of an inverted list.
 LIST_ROWS = 4096
-#: Bounds of the sample of pivots; 16,384 vectors at most come to the driver and go to every executor.
-PIVOTS = (64, 1 << 14)
+#: Bounds of the sample of pivots, in vectors and in bytes; so many come to the driver and go to every executor.
+PIVOTS, PIVOT_BYTES = (64, 1 << 16), 128 << 20
 #: Pivots have a cosine below this with one another.
 PIVOTS_APART = 0.5
 OUT = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("head", pa.int64())])
@@ -63,7 +63,9 @@ def near_vectors(
     smallest id reachable; kept marks it. Vectors that are null, empty, zero or hold null or
     non-finite values link with nothing, as do vectors of other lengths with each other. Rows that
     repeat an id count as rows of their own. An empty table gives no rows; other columns are not
-    looked at. Recall is that of the index (see the tests and the README), precision is 1.
+    looked at. Recall is that of the index (see the tests and the README), precision is 1. Vectors that
+    all lie in one narrow cone have few pivots, so their lists are long: nothing is lost, but the time
+    grows with the square of such a group.
     """
     spark = vectors.sparkSession
     shared_checkpoints(spark)
@@ -81,8 +83,8 @@ def near_vectors(
         .filter(F.col("rep").isNotNull())
         .checkpoint()
     )
-    total = classes.count()
-    wanted = min(max(PIVOTS[0], math.ceil(4 * math.sqrt(total))), PIVOTS[1])
+    total, longest = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    wanted = min(max(PIVOTS[0], math.ceil(4 * math.sqrt(total))), PIVOTS[1], max(PIVOTS[0], PIVOT_BYTES // (8 * longest)))
     chosen = hash_sample(classes.select("v", "h1", "h2"), seed + 2, ["h1", "h2"], wanted)
     by_size: dict[int, list] = {}
     for r in chosen.select("v").toLocalIterator():

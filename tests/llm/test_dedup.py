@@ -163,6 +163,21 @@ def test_pivots_of_a_cone_and_of_few_rows(spark, limit, monkeypatch):
         assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (sum(a == i for a, _ in pairs), comp[i]) for i in range(len(case))}
 
 
+def test_pivots_where_all_vectors_are_alike(spark):
+    rng = np.random.default_rng(7)
+    x = np.eye(32)[0] * 1.1 + rng.normal(size=(1500, 32)) * 0.2  # cosines of about 0.5 and more
+    x[1200:] = x[:300] + rng.normal(size=(300, 32)) * 0.02
+    rare = [[1.0, 0.1, 0.0], [1.0, 0.12, 0.0], [0.0, 1.0], [0.1, 1.0], [0.0, 1.0, 0.0]]
+    case = x.tolist() + rare
+    got = {r.vec_id: r.n_links for r in pivots.near_vectors(spark.createDataFrame(list(enumerate(case)), "vec_id long, embedding array<double>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    near = (sims >= 0.95).sum(1) - 1
+    assert np.quantile(sims, 0.02) > 0.3 and near.sum() >= 500
+    assert 0.9 * near.sum() <= sum(got[i] for i in range(1500)) <= near.sum()
+    assert [got[i] for i in range(1500, 1505)] == [1, 1, 1, 1, 0]
+
+
 def test_groups_of_any_batching():
     import pyarrow as pa
 
