@@ -165,7 +165,7 @@ def test_pivots_of_a_cone_and_of_few_rows(spark, limit, monkeypatch):
 
 def test_pivots_where_all_vectors_are_alike(spark):
     rng = np.random.default_rng(7)
-    x = np.eye(32)[0] * 1.1 + rng.normal(size=(1500, 32)) * 0.2  # cosines of about 0.5 and more
+    x = np.eye(32)[0] * 1.6 + rng.normal(size=(1500, 32)) * 0.2  # cosines of about 0.5 and more
     x[1200:] = x[:300] + rng.normal(size=(300, 32)) * 0.02
     rare = [[1.0, 0.1, 0.0], [1.0, 0.12, 0.0], [0.0, 1.0], [0.1, 1.0], [0.0, 1.0, 0.0]]
     case = x.tolist() + rare
