@@ -13,7 +13,9 @@ variants, and over the whole document.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -50,28 +52,44 @@ MATCHES = pa.schema(
 )
 
 
-def word_codes(vocabulary: dict[str, int] | None) -> Remembered:
-    """token -> even code of its lower case, with bit 0 for a capital; words outside the vocabulary, if there is one, have code 0."""
+def code_of(token: str) -> int:
+    """Even code of the lower case of a token, with bit 0 for a capital."""
+    if token in ".!?\n":
+        return int(END)
+    if token[0].isdigit():
+        return int(NUM)
+    return xxhash.xxh64_intdigest(token.lower().encode("utf-8", "surrogatepass"), 7) >> 4 << 4 | 16 | CAPITAL * token[0].isupper()
 
-    def code_of(token: str) -> int:
-        if token in ".!?\n":
-            return int(END)
-        if token[0].isdigit():
-            return int(NUM)
-        lower = token.lower()
-        if vocabulary is not None:
-            code = vocabulary.get(lower, 0)
-        else:
-            code = xxhash.xxh64_intdigest(lower.encode("utf-8", "surrogatepass"), 7) >> 4 << 4 | 16
-        return code | CAPITAL * token[0].isupper()
 
-    return Remembered(code_of, REMEMBERED)
+def word_codes(vocabulary: dict[str, int] | None) -> Callable[[list[str]], np.ndarray]:
+    """tokens -> their codes; words outside the vocabulary (of lower-case words), if there is one, have code 0 but for the bit of a capital."""
+    if vocabulary is None:
+        every = Remembered(code_of, REMEMBERED)
+        return lambda tokens: np.fromiter(map(every.__getitem__, tokens), np.uint64, len(tokens))
+    find = (vocabulary | dict.fromkeys(".!?\n", int(END))).get
 
+    def of(tokens: list[str]) -> np.ndarray:
+        if not tokens:
+            return np.zeros(0, np.uint64)
+        lower = " ".join(tokens).lower().split(" ")
+        codes = np.fromiter(map(find, lower, repeat(0)), np.uint64, len(tokens))
+        firsts = np.frombuffer("".join(map(itemgetter(0), tokens)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes[(firsts >= ord("0")) & (firsts <= ord("9"))] = NUM
+        codes[(firsts >= ord("A")) & (firsts <= ord("Z"))] |= np.uint64(CAPITAL)
+        for i in np.flatnonzero(firsts > 127):
+            if tokens[i][0].isdigit():
+                codes[i] = NUM
+            elif tokens[i][0].isupper():
+                codes[i] |= np.uint64(CAPITAL)
+        return codes
 
-def template(text: str, codes: Remembered) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    return of
+
+
+def template(text: str, codes: Callable[[list[str]], np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Words of a text, their codes with numbers and units replaced, those with names inside a sentence replaced too, and those with all capitals."""
     tokens = TOKEN(text)
-    raw = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
+    raw = codes(tokens)
     ends = raw == END
     begins = np.concatenate([[True], ends[:-1]]) if len(raw) else ends
     kept = np.flatnonzero(~ends)
@@ -112,7 +130,7 @@ def windows(forms: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np
         yield at[fit], h
 
 
-def _found(text: str, codes: Remembered, sizes: list[int], wanted: np.ndarray | None, item: bool = False):
+def _found(text: str, codes: Callable[[list[str]], np.ndarray], sizes: list[int], wanted: np.ndarray | None, item: bool = False):
     """(start, size, number of windows less one, hash, slot values) of the windows of all forms that are wanted."""
     words, *forms = template(text, codes)
     for size in sizes:
@@ -199,8 +217,7 @@ def contaminated(
         hashes = np.unique(np.array([r[0] for r in known.select("hash").distinct().toLocalIterator()], np.int64).view(np.uint64))
         if not len(hashes):
             hashes = np.zeros(1, np.uint64)
-        codes = word_codes(None)
-        words = {t.lower(): c & ~1 for r in items.select("text").toLocalIterator() for t in TOKEN(r[0] or "") if (c := codes[t]) > int(NAME) + 1}
+        words = {t.lower(): c & ~1 for r in items.select("text").toLocalIterator() for t in TOKEN(r[0] or "") if (c := code_of(t)) > int(NAME) + 1}
         send = spark.sparkContext.broadcast
         found = template_windows(doc, "doc_id", "text", sizes, send(hashes), send(words))
         matched = found.join(F.broadcast(known), ["hash", "size"])
