@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import per_text
 
 #: Chunks and words that a worker remembers with their encoding, twice over at most.
-REMEMBERED, REMEMBERED_WORDS = 150_000, 75_000
-#: Longer chunks and words are not remembered, so the memories are bounded in bytes (about 100 MB).
+REMEMBERED, REMEMBERED_WORDS = 220_000, 110_000
+#: Longer chunks and words are not remembered, so the memories are bounded in bytes (about 150 MB).
 REMEMBERED_LENGTH = 48
 #: In place of a part that went into the one before it.
 GONE = -1
