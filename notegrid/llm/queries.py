@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, pii, pivots, rlz, secret_scan, sharding, simhash, toxicity
+from . import bpe, decontam, licenses, negatives, pii, pivots, rlz, secret_scan, sharding, simhash, toxicity
 from .common import table
 
 
@@ -65,8 +65,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pivots, op2_bpe, op3_licenses, op4_rlz, op5_pii, op6_simhash, op7_toxicity, op8_decontam, op9_secrets, op10_sharding]
+    found = [op1_pivots, op2_bpe, op3_licenses, op4_rlz, op5_pii, op6_simhash, op7_toxicity, op8_decontam, op9_secrets, op10_sharding, op11_negatives]
     return {f.__name__: f for f in found}
 
 
@@ -113,5 +119,22 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
 FROM docs d LEFT JOIN gone USING (doc_id)"""
 
 
+#: Rows that repeat an id are told apart by a number; vectors of one length are assumed.
+NEGATIVES_SQL = """
+WITH taking AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.rid, a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS mate, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM taking a JOIN taking r ON a.rid <> r.rid WHERE a.vec_id % 100 = 0),
+mates AS (SELECT * FROM scores WHERE mate QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.rid, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM mates p JOIN scores n ON n.rid = p.rid AND NOT n.mate AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivots": LINKS_SQL, "op3_licenses": _license_sql(), "op4_rlz": REPEATS_SQL}
+    return {"op1_pivots": LINKS_SQL, "op3_licenses": _license_sql(), "op4_rlz": REPEATS_SQL, "op11_negatives": NEGATIVES_SQL}
