@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, negatives, pii, pivots, rlz, secret_scan, sharding, simhash, toxicity
+from . import bpe, decontam, licenses, mixing, negatives, pii, pivots, rlz, secret_scan, sharding, simhash, toxicity, whitening
 from .common import table
 
 
@@ -71,8 +71,16 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pivots, op2_bpe, op3_licenses, op4_rlz, op5_pii, op6_simhash, op7_toxicity, op8_decontam, op9_secrets, op10_sharding, op11_negatives]
+    found = [op1_pivots, op2_bpe, op3_licenses, op4_rlz, op5_pii, op6_simhash, op7_toxicity, op8_decontam, op9_secrets, op10_sharding, op11_negatives, op12_mixing, op13_whitening]
     return {f.__name__: f for f in found}
 
 
@@ -136,5 +144,27 @@ FROM mates p JOIN scores n ON n.rid = p.rid AND NOT n.mate AND 80 * p.score <= 1
 QUALIFY rank <= 5"""
 
 
+#: A slot of rank r takes words r * 1024 to r * 1024 + 1023 of its source's stream, up to the target, so all slots take the stream up to there.
+MIXING_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS k, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source) q),
+shared(round, source, source_size, w, target, excess) AS (
+  SELECT 0, source, source_size, w, 0.0::DOUBLE, 1.5::DOUBLE * (SELECT CAST(sum(source_size) AS DOUBLE) FROM sources) FROM sources
+  UNION ALL SELECT round + 1, source, source_size, w, least(t, 2.0::DOUBLE * source_size), sum(greatest(t - 2.0::DOUBLE * source_size, 0)) OVER ()
+  FROM (SELECT *, target + CASE WHEN target < 2.0::DOUBLE * source_size THEN excess * w / sum(CASE WHEN target < 2.0::DOUBLE * source_size THEN w END) OVER () ELSE 0 END AS t
+    FROM shared WHERE excess > 1e-9) q),
+targets AS (SELECT source, source_size, target, CAST(round(target) AS BIGINT) AS quota FROM shared QUALIFY row_number() OVER (PARTITION BY source ORDER BY round DESC) = 1),
+passes AS (
+  SELECT d.k, d.size, t.quota, sum(d.size) OVER (PARTITION BY d.source ORDER BY part, md5('12:' || part || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.size), d.doc_id, d.size
+    ROWS UNBOUNDED PRECEDING) - d.size AS start
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) p(part) WHERE d.size > 0),
+taken AS (SELECT k, sum(greatest(least(start + size, quota) - start, 0)) AS n FROM passes GROUP BY k)
+SELECT d.doc_id, d.size, t.source_size, t.target, CAST(coalesce(n, 0) AS BIGINT) AS taken
+FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN taken USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivots": LINKS_SQL, "op3_licenses": _license_sql(), "op4_rlz": REPEATS_SQL, "op11_negatives": NEGATIVES_SQL}
+    return {"op1_pivots": LINKS_SQL, "op3_licenses": _license_sql(), "op4_rlz": REPEATS_SQL, "op11_negatives": NEGATIVES_SQL, "op12_mixing": MIXING_SQL}
