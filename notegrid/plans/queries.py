@@ -13,6 +13,7 @@ from ..functions import text as t
 from ..operators import chunking as ch
 from ..operators import conversations as cv
 from ..operators import evaluation as ev
+from ..operators import fulltext as ft
 from ..operators import graph as g
 from ..operators import index as ix
 from ..operators import notes as n
@@ -469,7 +470,9 @@ BM25 = f"""WITH terms AS ({TERMS}), lens AS ({LENGTHS}), tot AS (SELECT count(*)
 
 def bm25(spark, sf_dir, k=10):
     chunks = docs_of(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("heading"))
-    return r.bm25_topk(terms_of(spark, sf_dir).select("query_id", F.explode("terms").alias("term")), chunks, k)
+    dest = scratch(spark, "fulltext")
+    ft.write(ft.build(chunks), dest)
+    return ft.search(terms_of(spark, sf_dir).select("query_id", F.explode("terms").alias("term")), ft.load(spark, dest), k)
 
 
 @query(BM25)
