@@ -13,7 +13,6 @@ over spans: first the blocks, then the questions, and hands back at most k rows
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -31,11 +30,11 @@ from .retrieval import FIELDS, WORD
 #: Chunks of a span on average. Spans of neighbouring ids may hold UNEVEN times as many, else ids are hashed.
 SPAN, UNEVEN = 2048, 4
 #: Buckets of terms, and spans that share a file of a bucket.
-BUCKETS, SPANS_A_FILE = 64, 4096
+BUCKETS, SPANS_A_FILE = 32, 4096
 #: Bytes of a row group, so that a term is found without reading much else.
 ROW_GROUP = 4 << 20
-#: Postings that a task holds before it hands them on.
-HELD = 300_000
+#: Words of chunks that a task gathers at once, and different words that it remembers.
+HELD, KNOWN = 2_000_000, 500_000
 #: Spans of a question that are scored first, and what rounding may take from a bound.
 SEEDS, SLACK = 2, 1e-8
 #: Distinct terms up to which a filter names them, so that it reaches the files.
@@ -80,6 +79,63 @@ def _spans_of(chunks: DataFrame) -> tuple[int, int, int, int]:
     return (n, low, width, 0) if largest <= UNEVEN * SPAN else (n, 0, 1, -(-n // SPAN))
 
 
+class Terms(dict):
+    """Numbers for the terms of a task's texts, by stretches without white space. A stretch with no or several terms has a negative number."""
+
+    def __init__(self):
+        super().__init__()
+        self.names: list[str] = []
+        self.numbers: dict[str, int] = {}
+        self.several: list[list[int]] = []
+
+    def number(self, term: str) -> int:
+        if term not in self.numbers:
+            self.numbers[term] = len(self.names)
+            self.names.append(term)
+        return self.numbers[term]
+
+    def __missing__(self, stretch: str) -> int:
+        terms = [t for word in WORD(stretch.casefold()) for t in WORD(folded(word))]
+        if len(terms) == 1:
+            got = self.number(terms[0])
+        else:
+            self.several.append([self.number(t) for t in terms])
+            got = -len(self.several)
+        self[stretch] = got
+        return got
+
+    def of(self, text: str) -> np.ndarray:
+        words = text.split()
+        got = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if (got < 0).any():
+            got = np.array([n for x in got.tolist() for n in ([x] if x >= 0 else self.several[-x - 1])], np.int64)
+        return got
+
+    def shorten(self) -> None:
+        if len(self) > KNOWN:
+            self.__init__()
+            self.clear()
+
+
+def _posted(ids: np.ndarray, spans: np.ndarray, codes: list, where: list, gains: list, names: list[str]) -> pa.RecordBatch:
+    """Postings of some chunks by span and term, and a row without a term for each span: its chunks and their lengths."""
+    none = np.zeros(0, np.int64)
+    code, row, gain = (np.concatenate(x or [none]) for x in (codes, where, gains))
+    lengths = np.bincount(row, minlength=len(ids))
+    pair, of = np.unique(code * len(ids) + row, return_inverse=True)
+    tf = np.bincount(of, gain, len(pair))
+    code, row = pair // len(ids), pair % len(ids)
+    # every chunk once more, without a term
+    code, row, tf = np.append(code, np.full(len(ids), -1)), np.append(row, np.arange(len(ids))), np.append(tf, np.zeros(len(ids)))
+    order = np.lexsort((row, code, spans[row]))
+    code, row, tf = code[order], row[order], tf[order]
+    cuts = np.flatnonzero((code[1:] != code[:-1]) | (spans[row][1:] != spans[row][:-1])) + 1
+    first, ends = np.concatenate([[0], cuts]), np.concatenate([[0], cuts, [len(code)]]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids[row], tf, lengths[row].astype(np.int32))]
+    terms = pa.array([names[c] if c >= 0 else None for c in code[first].tolist()], pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(spans[row][first]), terms, *lists], names=["span", "term", "chunk_ids", "tfs", "lengths"])
+
+
 def build(chunks: DataFrame, fields: dict[str, float] = FIELDS) -> FullText:
     """The index of chunks (chunk_id, unique, and those of the fields that it has): one pass over the texts.
 
@@ -94,48 +150,28 @@ def build(chunks: DataFrame, fields: dict[str, float] = FIELDS) -> FullText:
     weights = [fields[f] for f in present]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
-
-        def terms_of(word: str) -> tuple[str, ...]:
-            got = known.get(word)
-            if got is None:
-                if len(known) > 200_000:
-                    known.clear()
-                plain = folded(word)
-                got = known[word] = (plain,) if plain.isalnum() else tuple(WORD(plain))
-            return got
-
-        def blocks(held: dict, members: dict) -> pa.RecordBatch:
-            groups = [*((span, term, rows) for (span, term), rows in held.items()), *((span, None, rows) for span, rows in members.items())]
-            ends = np.cumsum([0, *(len(rows) for _, _, rows in groups)]).astype(np.int32)
-            flat = [x for _, _, rows in groups for x in rows]
-            lists = [pa.ListArray.from_arrays(ends, pa.array([x[i] for x in flat], kind)) for i, kind in enumerate((pa.int64(), pa.float64(), pa.int32()))]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in groups], pa.int64()), pa.array([g[1] for g in groups], pa.string()), *lists], names=["span", "term", "chunk_ids", "tfs", "lengths"]
-            )
-
+        terms = Terms()
         for batch in batches:
-            held, members, size = {}, {}, 0
-            for chunk, span, *texts in zip(*(c.to_pylist() for c in batch.columns)):
-                tfs: dict[str, float] = {}
-                length = 0
-                for weight, text in zip(weights, texts):
-                    if not text:
-                        continue
-                    for word, times in Counter(WORD(text.casefold())).items():
-                        for term in terms_of(word):
-                            tfs[term] = tfs.get(term, 0.0) + weight * times
-                            length += times
-                members.setdefault(span, []).append((chunk, 0.0, length))
-                for term, tf in tfs.items():
-                    held.setdefault((span, term), []).append((chunk, tf, length))
-                size += len(tfs)
-                if size > HELD:
-                    yield blocks(held, members)
-                    held, members, size = {}, {}, 0
-            if members:
-                yield blocks(held, members)
-
+            ids, spans = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts = [c.to_pylist() for c in batch.columns[2:]]
+            at, held, codes, where, gains = 0, 0, [], [], []
+            for row in range(batch.num_rows):
+                for weight, column in zip(weights, texts):
+                    if column[row]:
+                        found = terms.of(column[row])
+                        codes.append(found)
+                        where.append(np.full(len(found), row - at))
+                        gains.append(np.full(len(found), weight))
+                        held += len(found)
+                if held > HELD or row + 1 == batch.num_rows:
+                    part = slice(at, row + 1)
+                    yield _posted(ids[part], spans[part], codes, where, gains, terms.names)
+                    at, held, codes, where, gains = row + 1, 0, [], [], []
+            terms.shorten()
+
+    cores = spark.sparkContext.defaultParallelism
+    if read.rdd.getNumPartitions() < cores:  # a few large row groups: texts are dealt to all cores
+        read = read.repartition(cores)
     located = read.filter("chunk_id IS NOT NULL").select("chunk_id", _span("chunk_id", base, width, spans).alias("span"), *present)
     raw = kept(located.mapInArrow(run, "span long, term string, chunk_ids array<long>, tfs array<double>, lengths array<int>"), "postings")
     parts = F.collect_list(F.struct("chunk_ids", "tfs", "lengths"))
@@ -241,7 +277,9 @@ def _best_of_spans(batches: Iterator[pa.RecordBatch], k: int, k1: float, b: floa
     parts: list[tuple[str, np.ndarray, np.ndarray]] = []
 
     def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        """Offsets from 0, and the values of a stretch of a list column."""
+        at = column.offsets.to_numpy()
+        return at - at[0], column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
 
     for batch in batches:
         spans, kinds = batch.column("span").to_numpy(), batch.column("kind").to_numpy()
@@ -258,7 +296,7 @@ def _best_of_spans(batches: Iterator[pa.RecordBatch], k: int, k1: float, b: floa
                 parts += [(t, chunk[x:y], weight[x:y]) for t, x, y in zip(part.column("term").to_pylist(), at, at[1:])]
             elif kinds[lo] == 1:
                 at, chunk = lists(part.column("chunk_ids"))
-                passes = chunk[at[0] : at[-1]]
+                passes = chunk
             elif parts or posts:
                 if parts:
                     ids = np.unique(np.concatenate([p[1] for p in parts]))

@@ -170,7 +170,7 @@ def merge_branches(
 FIELDS = {"title": 5.0, "heading": 3.0, "content": 1.0, "path": 2.0}
 
 
-WORD = re.compile(r"(?:[^\W_]|[\u0300-\u036f])+").findall
+WORD = re.compile(r"(?:[^\W_]+|[\u0300-\u036f]+)+").findall
 
 
 def _weighted(field: str, weight: float) -> Column:
