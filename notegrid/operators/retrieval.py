@@ -17,8 +17,8 @@ from ..functions.text import folded, index_tokens, tokens
 from ..params import DEFAULTS
 from ..shared import kept
 
-#: Bytes of question vectors that are sent to all tasks for one scan of the chunks; more take a further scan each.
-QUERY_BYTES = 128 << 20
+#: Bytes of question vectors that are sent to all tasks; with more, blocks of at most TILE_BYTES meet blocks of chunks.
+QUERY_BYTES, TILE_BYTES = 64 << 20, 32 << 20
 #: Questions that a task compares with a batch of chunks at once.
 QUERY_BLOCK = 2000
 #: (question, term) pairs that are sent to all tasks; with more, postings and terms are joined.
@@ -69,63 +69,123 @@ class BestOf:
             yield pa.RecordBatch.from_arrays([pa.array(ids[question]), pa.array(chunk), pa.array(score)], names=["query_id", "chunk_id", score_name])
 
 
+class Questions:
+    """Questions of a task, by the size of their vectors, and the best chunks that each has met."""
+
+    def __init__(self, ids: np.ndarray, lists: pa.Array, k: int, min_similarity: float):
+        self.k, self.min_similarity, self.groups = k, min_similarity, {}
+        for d, at, q in _matrices(lists):
+            norm = np.linalg.norm(q, axis=1)
+            at, q, norm = at[norm > 0], q[norm > 0], norm[norm > 0]
+            if len(at):
+                self.groups[d] = (ids[at], q / norm[:, None], BestOf(k, 20 * k * min(len(at), QUERY_BLOCK) + k * len(at)))
+
+    def meet(self, chunk: np.ndarray, lists: pa.Array) -> None:
+        for d, at, x in _matrices(lists):
+            if d not in self.groups:
+                continue
+            _, q, found = self.groups[d]
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            for a in range(0, len(q), QUERY_BLOCK):
+                sims = q[a : a + QUERY_BLOCK] @ x.T
+                cut = np.full(len(sims), self.min_similarity)
+                if sims.shape[1] > self.k:
+                    cut = np.maximum(cut, np.partition(sims, -self.k, axis=1)[:, -self.k])
+                i, j = np.nonzero(sims >= cut[:, None])
+                found.add(i + a, chunk[at[j]], sims[i, j])
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for ids, _, found in self.groups.values():
+            yield from found.batch(ids, "score")
+
+
+def _matrices(lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, rows, vectors) of a column of lists; null and empty ones are left out."""
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(offsets)
+    for d in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == d)
+        yield int(d), at, flat[offsets[at][:, None] + np.arange(d)].astype(np.float64)
+
+
 def semantic_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, min_similarity: float = DEFAULTS.min_similarity) -> DataFrame:
     """query_id, chunk_id, score, rank: exact cosine of every question against all chunks.
 
-    queries: query_id, embedding; chunks: chunk_id, embedding. Questions are the stated query set: as
-    many as fit in QUERY_BYTES go to the tasks for one scan, and each task keeps its k best of each, so
-    the shuffle is k rows for each question and task. Zero or odd-sized questions find nothing. Ties:
-    lowest chunk_id.
+    queries: query_id, embedding; chunks: chunk_id, embedding. The questions are counted. If their vectors
+    fit in QUERY_BYTES they go to all tasks and the chunks stay where they are; if not, blocks of questions
+    meet blocks of chunks, and neither passes through the driver. A task keeps its k best of each question,
+    so what is shuffled after that is k rows for each question and task. Questions that are zero, not finite or of another size
+    than all chunks find nothing. Ties: lowest chunk_id.
     """
     spark = queries.sparkSession
-    scans: list[DataFrame] = []
-
-    def search(ids: list[int], rows: list[np.ndarray]) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array(ids), np.array(rows)))
+    v = F.col("embedding").cast("array<double>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    good = queries.filter(F.coalesce(finite, F.lit(False))).select(F.col("query_id").cast("long").alias("query_id"), v.alias("embedding"))
+    held = F.forall("embedding", lambda x: x.isNotNull())
+    found_in = chunks.filter(F.coalesce(held, F.lit(False))).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding"))
+    n, size = good.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)) * 8).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
+    if size <= QUERY_BYTES:
+        sent = spark.sparkContext.broadcast(good.toArrow().combine_chunks())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, q = sent.value
-            found = BestOf(k, 20 * k * min(len(q), QUERY_BLOCK) + k * len(q))
+            questions = Questions(sent.value["query_id"].to_numpy(), sent.value["embedding"].combine_chunks(), k, min_similarity)
             for batch in batches:
-                fits = np.diff(batch.column(1).offsets.to_numpy()) == q.shape[1]
-                if not fits.any():
-                    continue
-                part = batch.filter(pa.array(fits))
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                chunk = part.column(0).to_numpy()
-                for a in range(0, len(q), QUERY_BLOCK):
-                    sims = q[a : a + QUERY_BLOCK] @ x.T
-                    cut = np.full(len(sims), min_similarity)
-                    if sims.shape[1] > k:
-                        cut = np.maximum(cut, np.partition(sims, -k, axis=1)[:, -k])
-                    i, j = np.nonzero(sims >= cut[:, None])
-                    found.add(i + a, chunk[j], sims[i, j])
-            yield from found.batch(qid, "score")
-
-        return chunks.select(F.col("chunk_id").cast("long"), F.col("embedding")).mapInArrow(run, "query_id long, chunk_id long, score double")
-
-    ids: list[int] = []
-    rows: list[np.ndarray] = []
-    for r in queries.select(F.col("query_id").cast("long"), "embedding").toLocalIterator():
-        v = np.array(r.embedding or [], float)
-        if not np.isfinite(v).all() or not (norm := np.linalg.norm(v)):
-            continue
-        if ids and (len(rows[0]) != len(v) or (len(ids) + 1) * v.nbytes > QUERY_BYTES):
-            scans.append(search(ids, rows))
-            ids, rows = [], []
-        ids.append(r.query_id)
-        rows.append(v / norm)
-    if ids:
-        scans.append(search(ids, rows))
-    if not scans:
-        return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    found = scans[0]
-    for s in scans[1:]:
-        found = found.unionByName(s)
+                questions.meet(batch.column(0).to_numpy(), batch.column(1))
+            yield from questions.batches()
+
+        found = found_in.mapInArrow(run, "query_id long, chunk_id long, score double")
+    else:
+        found = _tiled(good, found_in, size, k, min_similarity)
     return found.withColumn("rank", F.row_number().over(_best(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= k)
 
 
+def _tiled(queries: DataFrame, chunks: DataFrame, size: int, k: int, min_similarity: float) -> DataFrame:
+    """Every block of questions meets every block of chunks in a task of its own, which holds the questions and streams over the chunks.
+
+    Blocks of questions are bounded by TILE_BYTES; there are as many blocks of chunks as keep all cores
+    busy. So a question is copied for each block of chunks and a chunk for each block of questions.
+    """
+    down = -(-size // TILE_BYTES)
+    across = max(1, -(-2 * queries.sparkSession.sparkContext.defaultParallelism // down))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.withColumn("across", each(across)).select(
+        (own("query_id", down) * across + F.col("across")).alias("tile"), F.lit(0).alias("kind"), F.col("query_id").alias("id"), "embedding"
+    )
+    kept_in = chunks.withColumn("down", each(down)).select(
+        (F.col("down") * across + own("chunk_id", across)).alias("tile"), F.lit(1).alias("kind"), F.col("chunk_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, waiting, questions = None, [], None
+        for batch in batches:
+            tiles, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((tiles[1:] != tiles[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(tiles)], strict=True):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if tiles[lo] != tile:
+                    if questions:
+                        yield from questions.batches()
+                    tile, waiting, questions = tiles[lo], [], None
+                if kinds[lo] == 0:
+                    waiting.append(part)
+                    continue
+                if waiting:
+                    t = pa.Table.from_batches(waiting).combine_chunks()
+                    questions, waiting = Questions(t["id"].to_numpy(), t["embedding"].combine_chunks(), k, min_similarity), []
+                if questions:
+                    questions.meet(part.column(2).to_numpy(), part.column(3))
+        if questions:
+            yield from questions.batches()
+
+    dealt = asked.unionByName(kept_in).repartition("tile").sortWithinPartitions("tile", "kind")
+    return dealt.mapInArrow(run, "query_id long, chunk_id long, score double")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two array<double> columns of one size, in the JVM."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-import pandas as pd
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import fold_letters, lexical_terms
@@ -15,7 +17,7 @@ from ..shared import kept
 from . import graph as g
 from . import retrieval as r
 
-#: Aliases that are sent to all tasks; with more, questions are joined with them by their words' trigrams.
+#: Names that are sent to all tasks, and that a shard holds if there are more.
 SENT_ALIASES = 100_000
 
 
@@ -24,50 +26,81 @@ def _holds(text: Column, words: tuple[str, ...]) -> list[Column]:
 
 
 def mentioned_notes(queries: DataFrame, aliases: DataFrame, minimum: int = 4, most: int = 3) -> DataFrame:
-    """query_id, mentions: how many distinct notes a question names (folded alias of `minimum` characters, four at least), `most` at the most.
+    """query_id, mentions: how many distinct notes a question names (folded alias of `minimum` characters), `most` at the most.
 
-    The aliases are counted first. A bounded number goes to all tasks as one alternation that is looked
-    for in Arrow batches of questions. With more, each alias is keyed by its first four characters and
-    joined with the four-character pieces of the questions.
+    Names are looked for by an automaton (Aho-Corasick), in one pass over a question whatever their number.
+    They are counted first. A bounded number goes to all tasks; more are dealt to shards by a hash of the name, each
+    with an automaton of its own that all questions pass. A name stands for `most` of its notes: more cannot count.
     """
-    minimum = max(4, minimum)  # both ways look names up by their first four characters
-    named = aliases.select(fold_letters(F.col("alias")).alias("name"), "doc_id").filter(F.length("name") >= minimum)
+    named = aliases.select(fold_letters(F.col("alias")).alias("name"), F.col("doc_id").cast("long").alias("doc_id")).filter(F.length("name") >= minimum).distinct()
+    by_name = Window.partitionBy("name").orderBy("doc_id")
+    few = named.withColumn("__r", F.row_number().over(by_name)).filter(F.col("__r") <= most).groupBy("name").agg(F.collect_list("doc_id").alias("docs"))
+    names = kept(few, "names")
     asked = queries.select("query_id", fold_letters(F.col("question")).alias("q"))
-    if named.count() <= SENT_ALIASES:
-        by_name: dict[str, set] = {}
-        for row in named.toLocalIterator():
-            by_name.setdefault(row.name, set()).add(row.doc_id)
-        sent = queries.sparkSession.sparkContext.broadcast(by_name)
-
-        @F.pandas_udf("int")
-        def count(questions: pd.Series) -> pd.Series:
-            names = sent.value
-            if not names:
-                return questions.map(lambda _: 0).astype("int32")
-            starts: dict[str, list[str]] = {}
-            for n in names:
-                starts.setdefault(n[:4], []).append(n)
-            heads = re.compile("(?=(" + "|".join(re.escape(s) for s in sorted(starts, key=len, reverse=True)) + "))")
-
-            def one(q):
-                found = set()
-                for m in heads.finditer(q or ""):
-                    for n in starts[m[1]]:
-                        if q.startswith(n, m.start()):
-                            found |= names[n]
-                return min(most, len(found))
-
-            return questions.map(one).astype("int32")
-
-        return asked.select("query_id", count("q").alias("mentions"))
-    pieces = asked.select(
-        "query_id", "q", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("q") - 3)), lambda i: F.substring(F.col("q"), i, F.lit(4))))).alias("p")
-    )
-    hits = pieces.join(named.withColumn("p", F.substring("name", 1, 4)), "p").filter(F.contains("q", F.col("name")))
-    counts = hits.groupBy("query_id").agg(F.least(F.countDistinct("doc_id"), F.lit(most)).cast("int").alias("m"))
+    n = names.count()
+    if n <= SENT_ALIASES:
+        sent = queries.sparkSession.sparkContext.broadcast([(r.name, r.docs) for r in names.toLocalIterator()])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(sent.value)
+            for batch in batches:
+                mentions = [len(_noted(automaton, q, most)) for q in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mentions, pa.int32())], names=["query_id", "mentions"])
+
+        return asked.mapInArrow(count, StructType([asked.schema["query_id"], StructField("mentions", IntegerType())]))
+    shards = -(-n // max(1, SENT_ALIASES))
+    slices = max(1, -(-2 * queries.sparkSession.sparkContext.defaultParallelism // shards))
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    own = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
+    none = F.lit(None).cast("array<long>")
+    rows = names.withColumn("s", each(slices)).select(
+        (own("name", shards) * slices + F.col("s")).alias("cell"), F.lit(0).alias("kind"), F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), F.col("name").alias("text"), "docs"
+    ).unionByName(
+        asked.withColumn("s", each(shards)).select((F.col("s") * slices + own("query_id", slices)).alias("cell"), F.lit(1).alias("kind"), "query_id", F.col("q").alias("text"), none.alias("docs"))
+    )
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, automaton = None, [], None
+        for batch in batches:
+            ids, found = [], []
+            for at, (own_cell, kind, text, docs) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)))):
+                if own_cell != cell:
+                    cell, held, automaton = own_cell, [], None
+                if kind == 0:
+                    held.append((text, docs))
+                    continue
+                if automaton is None:
+                    automaton, held = _automaton(held), []
+                if got := _noted(automaton, text, most):
+                    ids.append(at)
+                    found.append(sorted(got))
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(ids, pa.int64())), pa.array(found, pa.list_(pa.int64()))], names=["query_id", "docs"])
+
+    dealt = rows.repartition("cell").sortWithinPartitions("cell", "kind")
+    hits = dealt.mapInArrow(look, StructType([asked.schema["query_id"], StructField("docs", ArrayType(LongType()))]))
+    counts = hits.groupBy("query_id").agg(F.least(F.size(F.array_distinct(F.flatten(F.collect_list("docs")))), F.lit(most)).alias("m"))  # `most` of each shard
     return asked.join(counts, "query_id", "left").select("query_id", F.coalesce("m", F.lit(0)).alias("mentions"))
 
 
+def _automaton(names: list[tuple[str, list[int]]]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for name, docs in names:
+        out.add_word(name, docs)
+    out.make_automaton()
+    return out
+
+
+def _noted(automaton: ahocorasick.Automaton, question: str | None, most: int) -> set[int]:
+    """At most `most` notes whose names the question holds."""
+    found: set[int] = set()
+    if question and len(automaton):
+        for _, docs in automaton.iter(question):
+            found.update(docs)
+            if len(found) >= most:
+                return set(sorted(found)[:most])
+    return found
+
+
 def route(queries: DataFrame, semantic: DataFrame, aliases: DataFrame, edges: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """query_id, relational, mentions, connected, structural, signals, route, confidence, graph_weight, graph_hops.
 

@@ -142,7 +142,7 @@ def test_bm25_by_scan_and_by_join(spark, monkeypatch):
     assert r.bm25_topk(terms.limit(0), chunks).count() == 0 == r.bm25_topk(terms, chunks.limit(0)).count()
 
 
-def test_questions_in_several_scans(spark, monkeypatch):
+def test_questions_as_tiles(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(2)
@@ -151,7 +151,10 @@ def test_questions_in_several_scans(spark, monkeypatch):
     queries = spark.createDataFrame(rows[:30] + [(700, [0.0] * 8), (701, [1.0, 0.0]), (702, None)], "query_id long, embedding array<double>")
     whole = sorted(map(tuple, r.semantic_topk(queries, chunks, 5, 0.1).collect()))
     monkeypatch.setattr(r, "QUERY_BYTES", 8 * 8 * 7)
+    monkeypatch.setattr(r, "TILE_BYTES", 8 * 8 * 5)
     monkeypatch.setattr(r, "QUERY_BLOCK", 2)
+    plan = r.semantic_topk(queries, chunks, 5, 0.1)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and plan.count("Union\n") <= 4  # one union in each of four printed plans
     assert [(q, c, k) for q, c, _, k in sorted(map(tuple, r.semantic_topk(queries, chunks, 5, 0.1).collect()))] == [(q, c, k) for q, c, _, k in whole]
     unit = {i: np.array(x) / np.linalg.norm(x) for i, x in rows[:200]}
     for q in range(30):
@@ -193,6 +196,18 @@ def test_mentions_by_both_ways(spark, monkeypatch):
     assert ways[0] == ways[1] == {1: 3, 2: 3, 3: 0, 4: 0}
 
 
+def test_many_names_equal_contains(spark, monkeypatch):
+    from notegrid.operators import routing as ro
+
+    aliases = [(f"Nota {i}", i) for i in range(500)] + [("nota 7", 900), ("nota 7", 901), ("nota 7", 902), ("ota 1", 903), ("nota", 904)]
+    questions = [(i, f"¿qué dicen la nota {i * 7} y la NOTA {i}7, o la notá 3?" if i % 3 else f"ota {i}") for i in range(120)]
+    want = {q: min(3, len({d for a, d in aliases if a.lower() in text.lower().replace("á", "a")})) for q, text in questions}
+    args = spark.createDataFrame(questions, "query_id int, question string"), spark.createDataFrame(aliases, "alias string, doc_id long")
+    for sent in (100_000, 60):
+        monkeypatch.setattr(ro, "SENT_ALIASES", sent)
+        assert {x.query_id: x.mentions for x in ro.mentioned_notes(*args).collect()} == want
+
+
 def test_running_sums_over_ranges(spark):
     from notegrid.shared import running
 
