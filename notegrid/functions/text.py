@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 from ..params import STOPWORDS
 
+#: White space, as Python's str.strip() takes it.
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def folded(text: str) -> str:
@@ -55,9 +57,18 @@ def fold_letters(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(letters, FOLDED, FOLDS))
 
 
+def stripped(c: Column | str) -> Column:
+    """Without the white space of Unicode at both ends."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def right_stripped(c: Column | str) -> Column:
+    return F.regexp_replace(c, f"{SPACE}+$", "")
+
+
 def norm_path(c: Column) -> Column:
     """Slashes turned, trimmed, lower case; accents stay."""
-    return F.lower(F.trim(F.translate(c, "\\", "/")))
+    return F.lower(stripped(F.translate(c, "\\", "/")))
 
 
 def stem(path: Column) -> Column:
@@ -67,7 +78,7 @@ def stem(path: Column) -> Column:
 
 def est_tokens(c: Column) -> Column:
     """0 for blank text, else a quarter of its characters, one at least."""
-    return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(F.length(c) / 4))).cast("int")
+    return F.when(stripped(F.coalesce(c, F.lit(""))) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(F.length(c) / 4))).cast("int")
 
 
 def tokens(c: Column) -> Column:
@@ -89,7 +100,7 @@ def lexical_terms(c: Column, limit: int = 32) -> Column:
 
 def parse_date(c: Column) -> Column:
     """Y-M-D, D-M-Y, Y-M, Y, with - or /, or an ISO datetime; null for anything else."""
-    t = F.replace(F.trim(c), F.lit("/"), F.lit("-"))
+    t = F.replace(stripped(c), F.lit("/"), F.lit("-"))
     return F.coalesce(
         F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(t, "yyyy-M-d")),
         F.when(t.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.try_to_date(t, "d-M-yyyy")),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import est_tokens
+from ..functions.text import est_tokens, right_stripped, stripped
 from ..params import DEFAULTS
 
 
@@ -17,7 +17,7 @@ def memory_status(keys: DataFrame, turns: DataFrame, memory: DataFrame, key: str
     total = F.coalesce("total_turns", F.lit(0))
     return keys.select(key).join(counts, key, "left").join(memory, key, "left").select(
         key, total.alias("total_turns"), done.alias("summarized_turns"), F.greatest(F.lit(0), total - done).alias("pending"),
-        (F.coalesce(F.trim("summary"), F.lit("")) != "").alias("has_summary"),
+        (F.coalesce(stripped("summary"), F.lit("")) != "").alias("has_summary"),
     )
 
 
@@ -59,8 +59,8 @@ def advance_mark(old: DataFrame, new: DataFrame, key: str = "conversation_id") -
 
 
 def _cut(c: Column, limit: Column) -> Column:
-    t = F.trim(F.coalesce(c, F.lit("")))
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, F.lit(1), (limit - 1).cast("int"))), F.lit("…")))
+    t = stripped(F.coalesce(c, F.lit("")))
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(right_stripped(F.substring(t, F.lit(1), (limit - 1).cast("int"))), F.lit("…")))
 
 
 def format_memory(recent: DataFrame, memory: DataFrame, budget: int = DEFAULTS.memory_context_chars, key: str = "conversation_id") -> DataFrame:
@@ -79,21 +79,24 @@ def format_memory(recent: DataFrame, memory: DataFrame, budget: int = DEFAULTS.m
     )
 
 
-ROLE = "struct<status:string,total_tokens:double,prompt_tokens:double,completion_tokens:double,context_window_tokens:double>"
-
-
 def role_usage(turns: DataFrame) -> DataFrame:
-    """project_id, turn_id, role, ok, usage (percent to two places), tokens from agent_metrics, a JSON object by role."""
-    parsed = turns.select("project_id", "turn_id", F.from_json("agent_metrics", f"verifier {ROLE}, writer {ROLE}").alias("m"))
-    rows = parsed.filter(F.col("m").isNotNull()).select(
-        "project_id",
-        "turn_id",
-        F.explode(F.array(*[F.struct(F.lit(k).alias("role"), F.col(f"m.{k}").alias("r")) for k in ("verifier", "writer")])).alias("x"),
+    """project_id, turn_id, role, ok, usage (percent to two places), tokens from agent_metrics, a JSON object by role.
+
+    Two rows for each turn whose metrics are a JSON object (null or empty: an object without roles); other turns do not count.
+    """
+    parsed = F.try_parse_json(F.coalesce(F.nullif("agent_metrics", F.lit("")), F.lit("{}")))
+    rows = (
+        turns.select("project_id", "turn_id", F.try_variant_get(parsed, "$", "map<string,variant>").alias("m"))
+        .filter(F.col("m").isNotNull())
+        .select("project_id", "turn_id", F.explode(F.array(F.lit("verifier"), F.lit("writer"))).alias("role"), "m")
+        .select("project_id", "turn_id", "role", F.col("m")[F.col("role")].alias("x"))
     )
-    tokens = F.coalesce("x.r.total_tokens", F.coalesce("x.r.prompt_tokens", F.lit(0.0)) + F.coalesce("x.r.completion_tokens", F.lit(0.0)))
-    ok = F.coalesce(F.col("x.r.status").isin("completed", "degraded") & (F.col("x.r.context_window_tokens") > 0), F.lit(False))
-    usage = F.when(ok, F.bround(F.least(F.lit(100.0), tokens / F.col("x.r.context_window_tokens") * 100), 2))
-    return rows.select("project_id", "turn_id", F.col("x.role").alias("role"), ok.alias("ok"), usage.alias("usage"), F.when(ok, tokens).alias("tokens"))
+    part = lambda name: F.coalesce(F.floor(F.try_variant_get("x", f"$.{name}", "double")), F.lit(0)).cast("double")
+    tokens = F.coalesce(F.nullif(part("total_tokens"), F.lit(0.0)), part("prompt_tokens") + part("completion_tokens"))
+    window = part("context_window_tokens")
+    ok = F.coalesce(F.try_variant_get("x", "$.status", "string").isin("completed", "degraded") & (window > 0) & (tokens >= 0), F.lit(False))
+    usage = F.when(ok, F.bround(F.least(F.lit(100.0), tokens / window * 100), 2))
+    return rows.select("project_id", "turn_id", "role", ok.alias("ok"), usage.alias("usage"), F.when(ok, tokens).alias("tokens"))
 
 
 def context_usage(turns: DataFrame) -> DataFrame:
@@ -104,6 +107,22 @@ def context_usage(turns: DataFrame) -> DataFrame:
     )
 
 
+def context_totals(turns: DataFrame) -> DataFrame:
+    """project_id, latest, max_usage, avg_usage, samples over both roles: the larger of the latest, the largest, and the mean of all."""
+    by_role = role_usage(turns).groupBy("project_id", "role").agg(
+        F.max_by("usage", "turn_id").alias("latest"), F.max("usage").alias("most"), F.sum("usage").alias("total"), F.count("usage").alias("n")
+    )
+    return by_role.groupBy("project_id").agg(
+        F.max("latest").alias("latest"), F.max("most").alias("max_usage"), F.round(F.try_divide(F.sum("total"), F.sum("n")), 2).alias("avg_usage"), F.sum("n").alias("samples")
+    )
+
+
+def last_inference(turns: DataFrame, key: str = "conversation_id") -> DataFrame:
+    """key, last_percent: the larger usage of the two roles in the last turn of each key that has any; it is never summed."""
+    rows = role_usage(turns.withColumnRenamed(key, "project_id")).filter("ok").groupBy("project_id", "turn_id").agg(F.max("usage").alias("usage"))
+    return rows.groupBy(F.col("project_id").alias(key)).agg(F.max_by("usage", "turn_id").alias("last_percent"))
+
+
 def context_overview(turns: DataFrame, recent: DataFrame, memory: DataFrame, key: str = "conversation_id") -> DataFrame:
     """key, stored_tokens, recent_tokens, summary_tokens: estimates of what a conversation holds and of what is sent."""
     size = est_tokens(F.col("question")) + est_tokens(F.col("answer"))
@@ -115,30 +134,36 @@ def context_overview(turns: DataFrame, recent: DataFrame, memory: DataFrame, key
     )
 
 
+# A mark of a source, and what a model thinks aloud.
+CITATION = r"\[([0-9]{1,3})\]"
 THINK = r"(?is)<think>.*?</think>"
 
 
 def audit_citations(turns: DataFrame) -> DataFrame:
-    """turns with total, valid, invalid (sorted distinct), unused, uncited, clean (invalid marks become [?], think blocks go) and sufficiency.
+    """turns with total, valid, invalid (sorted distinct), unused_sources and their number unused, uncited, clean (invalid marks become [?], think blocks go) and sufficiency.
 
-    turns: answer, n_sources, abstained, report. An abstained turn has no sources.
+    turns: answer, n_sources, abstained, report. An abstained turn has no sources, and a blank answer has nothing to report.
     """
     answer = F.regexp_replace(F.coalesce("answer", F.lit("")), THINK, "")
-    cited = F.transform(F.regexp_extract_all(answer, F.lit(r"\[([0-9]{1,3})\]"), F.lit(1)), lambda x: x.cast("int"))
-    n = F.when(F.col("abstained"), 0).otherwise(F.coalesce("n_sources", F.lit(0)))
-    out = turns.withColumn("answer_text", answer).withColumn("cited", cited).withColumn("n", n)
+    marks = F.when(stripped(answer) != "", F.regexp_extract_all(answer, F.lit(CITATION), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    n = F.when(F.col("abstained") | (stripped(answer) == ""), 0).otherwise(F.coalesce("n_sources", F.lit(0)))
+    out = turns.withColumn("answer_text", answer).withColumn("marks", marks).withColumn("n", n)
+    number = lambda mark: F.regexp_extract(mark, CITATION, 1).cast("int")
     good = lambda x: (x >= 1) & (x <= F.col("n"))
     sources = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn("invalid", F.array_sort(F.array_distinct(F.filter("cited", lambda x: ~good(x)))))
-    clean = F.aggregate("invalid", F.col("answer_text"), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"\[0*"), x.cast("string"), F.lit(r"\]")), F.lit("[?]")))
-    first = F.get(F.filter(F.split(F.coalesce("report", F.lit("")), "\n"), lambda x: F.trim(x) != ""), F.lit(0))
-    label = F.regexp_extract(F.lower(F.trim(first)), r"^suficiencia\s*:\s*(suficiente|parcial|insuficiente)$", 1)
+    out = out.withColumn("cited", F.transform("marks", number))
+    wrong = F.array_distinct(F.filter("marks", lambda m: ~good(number(m))))
+    clean = F.aggregate(wrong, F.col("answer_text"), lambda t, mark: F.replace(t, mark, F.lit("[?]")))
+    first = F.get(F.filter(F.split(F.coalesce("report", F.lit("")), "\n"), lambda x: stripped(x) != ""), F.lit(0))
+    label = F.regexp_extract(F.lower(stripped(first)), r"^suficiencia\s*:\s*(suficiente|parcial|insuficiente)$", 1)
     return (
         out.withColumn("total", F.size("cited"))
         .withColumn("valid", F.size(F.filter("cited", good)))
-        .withColumn("unused", F.size(F.array_except(sources, "cited")))
+        .withColumn("invalid", F.array_sort(F.array_distinct(F.filter("cited", lambda x: ~good(x)))))
+        .withColumn("unused_sources", F.array_except(sources, "cited"))
+        .withColumn("unused", F.size("unused_sources"))
         .withColumn("uncited", (F.col("n") > 0) & (F.col("valid") == 0))
         .withColumn("clean", clean)
         .withColumn("sufficiency", F.nullif(F.coalesce(label, F.lit("")), F.lit("")))
-        .drop("answer_text", "cited", "n")
+        .drop("answer_text", "cited", "marks", "n")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import norm_path, stem
+from ..functions.text import norm_path, stem, stripped
 from ..params import DEFAULTS
 from ..shared import kept
 
@@ -19,7 +19,7 @@ def _no_suffix(c: Column) -> Column:
 
 def _claims(docs: DataFrame) -> DataFrame:
     path = norm_path(F.col("path"))
-    names = F.array_distinct(F.array(F.lower(F.trim("title")), _no_suffix(path), F.lower(stem(path))))
+    names = F.array_distinct(F.array(F.lower(stripped("title")), _no_suffix(path), F.lower(stem(path))))
     return docs.select("doc_id", F.explode(F.filter(names, lambda a: a != "")).alias("alias"))
 
 
@@ -36,13 +36,13 @@ def resolve_links(links: DataFrame, aliases: DataFrame) -> DataFrame:
     """links (source, pos, target, ...) with target_id: the target as it is, without .md, its stem; the first that is an alias, else null."""
     t = norm_path(F.col("target"))
     tries = F.array_distinct(F.array(t, _no_suffix(t), F.lower(stem(t))))
-    keyed = links.filter(F.trim("target") != "").select("source", "pos", F.posexplode(tries).alias("try", "alias"))
+    keyed = links.filter(stripped("target") != "").select("source", "pos", F.posexplode(tries).alias("try", "alias"))
     hit = (
         keyed.join(aliases.select("alias", F.col("doc_id").alias("found")), "alias")
         .groupBy("source", "pos")
         .agg(F.min_by("found", "try").alias("target_id"))
     )
-    return links.filter(F.trim("target") != "").join(hit, ["source", "pos"], "left")
+    return links.filter(stripped("target") != "").join(hit, ["source", "pos"], "left")
 
 
 def reresolve(edges: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def expand_links(
     )
     new = found.join(selected.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti")
     once = new.groupBy("query_id", "doc_id").agg(F.min_by(F.struct("rank", "pos", "section", "score", "fusion"), F.struct("rank", "pos")).alias("l"))
-    section, heading = F.lower(F.trim("l.section")), F.lower(F.trim("heading"))
+    section, heading = F.lower(stripped("l.section")), F.lower(stripped("heading"))
     unlike = F.when((section != "") & ((heading == section) | F.contains(heading, section)), 0).otherwise(1)
     best = once.join(chunks.select("doc_id", "chunk_id", "chunk_index", "heading"), "doc_id").groupBy("query_id", "doc_id", "l").agg(
         F.min_by("chunk_id", F.struct(unlike, "chunk_index")).alias("chunk_id")

@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import stripped
+
 
 def diff_notes(new: DataFrame, old: DataFrame) -> DataFrame:
     """path and change (new, changed, unchanged, deleted) by path and sha256: one outer join."""
@@ -87,7 +89,7 @@ def index_stats(tables: Mapping[str, DataFrame], vectors: DataFrame) -> DataFram
 
 
 def status_counts(notes: DataFrame) -> DataFrame:
-    return notes.filter(F.trim("status") != "").groupBy("status").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "status")
+    return notes.filter(stripped("status") != "").groupBy("status").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "status")
 
 
 def tag_counts(notes: DataFrame, key: str = "doc_id") -> DataFrame:

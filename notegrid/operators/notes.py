@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markdown import blocks_meta
-from ..functions.text import est_tokens, fold_letters, parse_date, stem
+from ..functions.text import est_tokens, fold_letters, parse_date, stem, stripped
 from ..params import DEPRECATION_CALLOUTS, REVIEW_KEYS, VALID_FROM_KEYS, VALID_UNTIL_KEYS
 
 # Patterns that define the note format.
 FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)"
 LINK = r"(!?)\[\[([^\]]+)\]\]"
 TAG = r"(?<![\p{L}\p{N}_&])#([A-Za-zÀ-ɏ][\p{L}\p{N}_À-ɏ/-]*)"
+# Escapes in double quotes.
+ESCAPES = (("\\\\", "\u0002"), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\/", "/"), ("\u0002", "\\"))
 #: Separates the items of a list while lines are taken apart.
 ITEM = "\u0001"
 # Prefixes that embedding models expect before a text.
@@ -24,15 +26,18 @@ PREFIX_RULES = (("nomic-embed", "nomic"), ("multilingual-e5", "e5"), ("intfloat/
 
 def _scalar(c: Column) -> Column:
     """A value as YAML reads it: quotes taken off, comments dropped from what is not quoted, '' for null."""
-    t = F.trim(c)
-    double, single = F.regexp_extract(t, r'^"([^"]*)"', 1), F.replace(F.regexp_extract(t, r"^'((?:[^']|'')*)'", 1), F.lit("''"), F.lit("'"))
-    plain = F.trim(F.regexp_replace(t, r"(?:^|\s)#.*$", ""))
+    t = stripped(c)
+    double = F.regexp_extract(t, r'^"((?:[^"\\]|\\.)*)"', 1)
+    for mark, to in ESCAPES:  # a backslash of its own waits behind a mark until the others are done
+        double = F.replace(double, F.lit(mark), F.lit(to))
+    single = F.replace(F.regexp_extract(t, r"^'((?:[^']|'')*)'", 1), F.lit("''"), F.lit("'"))
+    plain = stripped(F.regexp_replace(t, r"(?:^|\s)#.*$", ""))
     return F.when(t.startswith('"'), double).when(t.startswith("'"), single).when(F.lower(plain).isin("null", "~"), "").otherwise(plain)
 
 
 def _items(c: Column) -> Column:
     """The items of `[a, b]` (commas in quotes are not borders) or of lines that begin with a hyphen."""
-    t = F.trim(c)
+    t = stripped(c)
     inner = F.regexp_replace(t, r"^\[(.*)\]\s*(?:#.*)?$", "$1")
     flow = F.split(inner, r""",(?=(?:[^"']*["'][^"']*["'])*[^"']*$)""")
     parts = F.when(F.contains(t, F.lit(ITEM)), F.split(t, ITEM)).otherwise(flow)
@@ -43,12 +48,12 @@ def parse_frontmatter(notes: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds metadata (map; lists as a comma-joined string), lists (map of the keys that have lists) and body.
 
     Flat `key: value`, `key: [a, b]` and `- item` lines under a key; lines that are comments do not
-    count. Text without a block at its very start is all body with empty maps; a line that is none of
-    these gives the key _yaml_error. Of keys that repeat the last counts.
+    count. Text without a block at its very start is all body with empty maps; a block with a line that is none of
+    these has the key _yaml_error and no other. Of keys that repeat the last counts.
     """
     front = F.regexp_extract(raw, FRONT, 1)
     has = F.col(raw).rlike(FRONT)
-    spoken = F.array_join(F.filter(F.split(front, "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^\s*#")), "\n")
+    spoken = F.array_join(F.filter(F.split(front, "\n"), lambda x: (stripped(x) != "") & ~x.rlike(r"^\s*#")), "\n")
     lines = F.split(F.regexp_replace(spoken, r"\n[ \t]*-[ \t]+", ITEM), "\n")  # items join the line of their key
     keyed = r"^([^:\x01]+):(?=[\s\x01]|$)"
     good = F.filter(lines, lambda x: x.rlike(keyed))
@@ -64,20 +69,21 @@ def parse_frontmatter(notes: DataFrame, raw: str = "raw") -> DataFrame:
     )
     latest = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     odd = F.filter(lines, lambda x: (x != "") & ~x.rlike(keyed))
-    error = F.when(F.size(odd) > 0, F.create_map(F.lit("_yaml_error"), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>"))
+    broken = F.size(odd) > 0
+    error = F.create_map(F.lit("_yaml_error"), F.lit("true"))
     entries = lambda p, field: F.map_from_entries(F.transform(p, lambda x: F.struct(x["key"].alias("key"), x[field].alias("value"))))
     with_items = F.filter("__latest", lambda p: p["items"].isNotNull())
     return (
         notes.withColumn("__latest", latest)
-        .withColumn("metadata", F.when(has, F.map_concat(entries("__latest", "value"), error)).otherwise(F.create_map().cast("map<string,string>")))
-        .withColumn("lists", F.when(has, entries(with_items, "items")).otherwise(F.create_map().cast("map<string,array<string>>")))
+        .withColumn("metadata", F.when(has & broken, error).when(has, entries("__latest", "value")).otherwise(F.create_map().cast("map<string,string>")))
+        .withColumn("lists", F.when(has & ~broken, entries(with_items, "items")).otherwise(F.create_map().cast("map<string,array<string>>")))
         .withColumn("body", F.when(has, F.regexp_replace(raw, FRONT, "")).otherwise(F.coalesce(F.col(raw), F.lit(""))))
         .drop("__latest")
     )
 
 
 def _meta(key: str) -> Column:
-    return F.nullif(F.trim(F.col("metadata")[key]), F.lit(""))
+    return F.nullif(stripped(F.col("metadata")[key]), F.lit(""))
 
 
 def with_title_status(notes: DataFrame) -> DataFrame:
@@ -85,7 +91,7 @@ def with_title_status(notes: DataFrame) -> DataFrame:
     heading = F.nullif(F.regexp_extract("body", r"(?m)^#[ \t]+(.+?)[ \t]*$", 1), F.lit(""))
     own = F.when(F.map_contains_key("metadata", F.lit("estado")), F.col("metadata")["estado"]).otherwise(F.col("metadata")["status"])
     return notes.withColumn("title", F.coalesce(_meta("titulo"), _meta("title"), _meta("nombre"), heading, stem(F.col("path")))).withColumn(
-        "status", F.lower(F.trim(F.coalesce(own, F.lit(""))))
+        "status", F.lower(stripped(F.coalesce(own, F.lit(""))))
     )
 
 
@@ -102,7 +108,7 @@ def extract_blocks_meta(notes: DataFrame) -> DataFrame:
 
 
 def _clean_tag(c: Column) -> Column:
-    return F.regexp_replace(fold_letters(F.trim(c)), "^[/#-]+|[/#-]+$", "")
+    return F.regexp_replace(fold_letters(stripped(c)), "^[/#-]+|[/#-]+$", "")
 
 
 def extract_tags(notes: DataFrame) -> DataFrame:
@@ -116,22 +122,18 @@ def extract_tags(notes: DataFrame) -> DataFrame:
     return notes.withColumn("tags", F.filter(F.array_distinct(F.transform(both, _clean_tag)), lambda t: t != ""))
 
 
-def _stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
 def extract_links(notes: DataFrame) -> DataFrame:
     """links: array<struct<target, section, alias, embedded>>, distinct in order, outside code. Needs no_code."""
     whole = F.regexp_extract_all("no_code", F.lit(LINK), F.lit(0))
 
     def link(x: Column) -> Column:
-        inner = F.replace(_stripped(F.regexp_extract(x, LINK, 2)), F.lit("\\|"), F.lit("|"))
+        inner = F.replace(stripped(F.regexp_extract(x, LINK, 2)), F.lit("\\|"), F.lit("|"))
         parts = F.split(inner, r"\|", 2)
         place = F.split(parts[0], "#", 2)
         return F.struct(
-            _stripped(place[0]).alias("target"),
-            _stripped(F.coalesce(F.get(place, F.lit(1)), F.lit(""))).alias("section"),
-            _stripped(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("alias"),
+            stripped(place[0]).alias("target"),
+            stripped(F.coalesce(F.get(place, F.lit(1)), F.lit(""))).alias("section"),
+            stripped(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("alias"),
             F.startswith(x, F.lit("!")).alias("embedded"),
         )
 

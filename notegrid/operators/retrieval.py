@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import folded, index_tokens, tokens
+from ..functions.text import folded, index_tokens, stripped, tokens
 from ..params import DEFAULTS
 from ..shared import kept
 
@@ -34,7 +34,7 @@ def _best(*order) -> Window:
 def filtered(chunks: DataFrame, status: str | None = None, validity: str | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
     """Chunks that pass: status equal (folded), validity equal or `no_caducada`, all tags present. An empty filter is none."""
     if status and status.strip():
-        chunks = chunks.filter(F.lower(F.trim("status")) == status.strip().casefold())
+        chunks = chunks.filter(F.lower(stripped("status")) == status.strip().casefold())
     if validity and validity.strip():
         chunks = chunks.filter(F.col("validity") != "caducada" if validity == "no_caducada" else F.col("validity") == validity)
     if tags:

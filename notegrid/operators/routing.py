@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.text import fold_letters, lexical_terms
+from ..functions.text import fold_letters, lexical_terms, right_stripped, stripped
 from ..params import DEFAULTS, RELATIONAL_PATTERNS, STRUCTURAL_NOUNS, Params
 from ..shared import kept
 from . import graph as g
@@ -170,7 +170,7 @@ def abstention(queries: DataFrame, selected: DataFrame, top_k: int = DEFAULTS.to
 
 def cut_content(content: Column, focus: Column, limit: Column) -> Column:
     """content if it fits, else a stretch of it around focus (a third of the room before it), with … at cut ends."""
-    text, mark = F.trim(F.coalesce(content, F.lit(""))), F.trim(F.coalesce(focus, F.lit("")))
+    text, mark = stripped(F.coalesce(content, F.lit(""))), stripped(F.coalesce(focus, F.lit("")))
     at = F.when(mark == "", -1).otherwise(F.position(mark, text) - 1)
     room = limit - 2
     lead = F.floor((room - F.least(F.length(mark), room)) / 3)
@@ -179,10 +179,10 @@ def cut_content(content: Column, focus: Column, limit: Column) -> Column:
     start = F.greatest(F.lit(0), end - room)
     around = F.concat(
         F.when(start > 0, "…").otherwise(""),
-        F.trim(F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))),
+        stripped(F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))),
         F.when(end < F.length(text), "…").otherwise(""),
     )
-    head = F.concat(F.rtrim(F.substring(text, F.lit(1), (limit - 1).cast("int"))), F.lit("…"))
+    head = F.concat(right_stripped(F.substring(text, F.lit(1), (limit - 1).cast("int"))), F.lit("…"))
     return F.when(F.length(text) <= limit, text).when(at < 0, head).otherwise(around)
 
 

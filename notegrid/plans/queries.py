@@ -728,11 +728,11 @@ def r42_retrieve(spark, sf_dir):
 
 
 @query(f"""SELECT query_id, md5(string_agg('[' || cast(place AS STRING) || '] Documento: T' || cast(doc_id AS STRING) || chr(10) || 'Ruta: p' || chr(10) || 'Sección: Uno' || chr(10) || 'Recuperación: semantic' || chr(10) || 'Metadatos: lang=' || lang || chr(10)
-  || 'Contenido:' || chr(10) || CASE WHEN length(x) <= greatest(240, 1200 // n) THEN x ELSE rtrim(substr(x, 1, greatest(240, 1200 // n) - 1)) || '…' END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS md5
+  || 'Contenido:' || chr(10) || CASE WHEN length(x) <= greatest(240, 1200 // n) THEN x ELSE regexp_replace(substr(x, 1, greatest(240, 1200 // n) - 1), '\\s+$', '') || '…' END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS md5
   FROM (SELECT cast(floor(doc_id / 4) AS BIGINT) AS query_id, doc_id % 4 AS place, doc_id, lang, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS x, count(*) OVER (PARTITION BY floor(doc_id / 4)) AS n FROM {{documents}}) q GROUP BY query_id""")
 def r43_context(spark, sf_dir):
     d = docs_of(spark, sf_dir)
-    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    text = F.concat(F.lit("\n\t "), F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), F.lit(" \n"))
     hits = d.select(
         F.floor(F.col("doc_id") / 4).cast("long").alias("query_id"), (F.col("doc_id") % 4).alias("place"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"),
         F.lit("p").alias("path"), F.lit("Uno").alias("heading"), F.lit("semantic").alias("reason"), F.create_map(F.lit("lang"), "lang", F.lit("_x"), F.lit("y")).alias("metadata"),
@@ -829,16 +829,26 @@ def turns_of(spark, sf_dir):
     return v.frames(spark, sf_dir, v.TURNS)
 
 
+BARE = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 KEYS = "SELECT DISTINCT conv_id AS conversation_id FROM {conversations}"
-MEMORY = f"SELECT conversation_id, CASE WHEN conversation_id % 2 = 0 THEN 'resumen' ELSE ' ' END AS summary, conversation_id % 3 AS summarized_count, conversation_id * 100000 + 1 AS summarized_until_turn_id, conversation_id % 7 <> 0 AS memory_enabled FROM ({KEYS}) k WHERE conversation_id % 4 <> 3"
+MEMORY = f"SELECT conversation_id, CASE WHEN conversation_id % 2 = 0 THEN chr(10) || 'resumen' || chr(9) WHEN conversation_id % 3 = 0 THEN chr(10) ELSE ' ' END AS summary, conversation_id % 3 AS summarized_count, conversation_id * 100000 + 1 AS summarized_until_turn_id, conversation_id % 7 <> 0 AS memory_enabled FROM ({KEYS}) k WHERE conversation_id % 4 <> 3"
 
 
-@query(f"""SELECT k.conversation_id, coalesce(n, 0) AS total_turns, coalesce(summarized_count, 0) AS summarized_turns, greatest(0, coalesce(n, 0) - coalesce(summarized_count, 0)) AS pending, coalesce(trim(summary), '') <> '' AS has_summary
+@query(f"""SELECT k.conversation_id, coalesce(n, 0) AS total_turns, coalesce(summarized_count, 0) AS summarized_turns, greatest(0, coalesce(n, 0) - coalesce(summarized_count, 0)) AS pending, coalesce({BARE.format("summary")}, '') <> '' AS has_summary
   FROM ({KEYS}) k LEFT JOIN (SELECT conversation_id, count(*) AS n FROM ({v.TURNS}) t GROUP BY ALL) t USING (conversation_id) LEFT JOIN ({MEMORY}) m USING (conversation_id)""")
 def r49_memory_status(spark, sf_dir):
     return cv.memory_status(v.frames(spark, sf_dir, KEYS), turns_of(spark, sf_dir), v.frames(spark, sf_dir, MEMORY))
 
 
+#: Turns with white space of several kinds at their ends, some of them blank.
+SPACED = f"SELECT conversation_id, project_id, turn_id, chr(10) || question || chr(9) || ' ' AS question, CASE WHEN turn_id % 7 = 3 THEN chr(10) || chr(9) || ' ' ELSE answer || chr(10) END AS answer FROM ({v.TURNS}) s"
+
+
+def spaced(spark, sf_dir):
+    return v.frames(spark, sf_dir, SPACED)
+
+
+RECENT_SPACED = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_id DESC) AS r FROM ({SPACED}) t) x WHERE r <= 2"
 RECENT = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_id DESC) AS r FROM ({v.TURNS}) t) x WHERE r <= 2"
 
 
@@ -853,46 +863,65 @@ def r49_pending_batches(spark, sf_dir):
     return cv.pending_batches(turns_of(spark, sf_dir), v.frames(spark, sf_dir, MEMORY), 2)
 
 
-@query(f"""WITH rec AS ({RECENT}), c AS (SELECT rec.*, summary, trim(coalesce(summary, '')) AS s, count(*) OVER (PARTITION BY conversation_id) AS n FROM rec LEFT JOIN ({MEMORY}) m USING (conversation_id)),
-  l AS (SELECT *, cast(greatest(200, floor((900 - length(s)) / (2 * n))) AS INT) AS room, trim(question) AS q, trim(answer) AS a FROM c)
-  SELECT conversation_id, md5(CASE WHEN max(s) <> '' THEN 'Resumen: ' || max(s) || chr(10) || chr(10) ELSE '' END || string_agg('Usuario: ' || CASE WHEN length(q) <= room THEN q ELSE rtrim(substr(q, 1, room - 1)) || '…' END || chr(10) || 'Asistente: '
-    || CASE WHEN length(a) <= room THEN a ELSE rtrim(substr(a, 1, room - 1)) || '…' END, chr(10) || chr(10) ORDER BY turn_id)) AS md5 FROM l GROUP BY conversation_id""")
+@query(f"""WITH rec AS ({RECENT_SPACED}), c AS (SELECT rec.*, summary, {BARE.format("coalesce(summary, '')")} AS s, count(*) OVER (PARTITION BY conversation_id) AS n FROM rec LEFT JOIN ({MEMORY}) m USING (conversation_id)),
+  l AS (SELECT *, cast(greatest(200, floor((900 - length(s)) / (2 * n))) AS INT) AS room, {BARE.format("question")} AS q, {BARE.format("answer")} AS a FROM c)
+  SELECT conversation_id, md5(CASE WHEN max(s) <> '' THEN 'Resumen: ' || max(s) || chr(10) || chr(10) ELSE '' END || string_agg('Usuario: ' || CASE WHEN length(q) <= room THEN q ELSE regexp_replace(substr(q, 1, room - 1), '\\s+$', '') || '…' END || chr(10) || 'Asistente: '
+    || CASE WHEN length(a) <= room THEN a ELSE regexp_replace(substr(a, 1, room - 1), '\\s+$', '') || '…' END, chr(10) || chr(10) ORDER BY turn_id)) AS md5 FROM l GROUP BY conversation_id""")
 def r49_format_memory(spark, sf_dir):
-    recent = cv.recent_turns(turns_of(spark, sf_dir), 2)
+    recent = cv.recent_turns(spaced(spark, sf_dir), 2)
     return cv.format_memory(recent, v.frames(spark, sf_dir, MEMORY), 900).select("conversation_id", F.md5("text").alias("md5"))
 
 
-METRICS = """SELECT user_id % 5 AS project_id, event_id AS turn_id, CASE WHEN event_id % 40 = 7 THEN 'roto' ELSE chr(123) || '"' || CASE WHEN event_type IN ('view', 'error') THEN 'writer' ELSE 'verifier' END || '":' || chr(123) || '"status":"'
-  || CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END || '","total_tokens":' || cast(event_id % 97 * 100 AS STRING) || ',"context_window_tokens":8192' || chr(125) || chr(125) END AS agent_metrics, event_type, event_id % 97 * 100 AS k FROM {events}"""
+METRICS = """SELECT user_id % 5 AS project_id, event_id AS turn_id, bad, CASE bad WHEN 1 THEN 'roto' WHEN 2 THEN '[1]' WHEN 3 THEN '' ELSE chr(123) || '"' || CASE WHEN event_type IN ('view', 'error') THEN 'writer' ELSE 'verifier' END || '":' || chr(123) || '"status":"'
+  || CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END || '","total_tokens":' || cast(event_id % 97 * 100 AS STRING) || ',"context_window_tokens":8192' || chr(125) || chr(125) END AS agent_metrics, event_type, event_id % 97 * 100 AS k
+  FROM (SELECT *, CASE WHEN n <= user_id % 5 OR event_id % 40 = 7 THEN 1 + n % 2 WHEN event_id % 40 = 9 THEN 3 ELSE 0 END AS bad
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id DESC) AS n FROM {events}) o) e"""
+USED = f"""SELECT project_id, turn_id, role, CASE WHEN bad = 0 AND (role = 'writer') = (event_type IN ('view', 'error')) AND event_type <> 'error' THEN round_even(least(100.0, k / 8192.0 * 100), 2) END AS usage FROM ({METRICS}) m, (VALUES ('writer'), ('verifier')) x(role) WHERE bad IN (0, 3)"""
 
 
-@query(f"""WITH m AS ({METRICS}), r AS (SELECT project_id, turn_id, role, CASE WHEN (role = 'writer') = (event_type IN ('view', 'error')) AND event_type <> 'error' THEN round_even(least(100.0, k / 8192.0 * 100), 2) END AS usage FROM m, (VALUES ('writer'), ('verifier')) x(role) WHERE agent_metrics <> 'roto')
-  SELECT project_id, role, round(arg_max_null(usage, turn_id), 2) AS latest, max(usage) AS max_usage, round(avg(usage), 4) AS avg_usage, count(usage) AS samples FROM r GROUP BY ALL""")
+def metrics(spark, sf_dir):
+    """The last rows of most projects are broken JSON or no object."""
+    return v.frames(spark, sf_dir, METRICS).select("project_id", "turn_id", "agent_metrics")
+
+
+@query(f"""SELECT project_id, role, round(arg_max_null(usage, turn_id), 2) AS latest, max(usage) AS max_usage, round(avg(usage), 4) AS avg_usage, count(usage) AS samples FROM ({USED}) r GROUP BY ALL""")
 def r50_context_usage(spark, sf_dir):
-    m = v.frames(spark, sf_dir, METRICS).select("project_id", "turn_id", "agent_metrics")
-    return cv.context_usage(m.filter("agent_metrics <> 'roto'").unionByName(m.filter("agent_metrics = 'roto'"))).withColumn("avg_usage", F.round("avg_usage", 4))
+    return cv.context_usage(metrics(spark, sf_dir)).withColumn("avg_usage", F.round("avg_usage", 4))
+
+
+@query(f"""SELECT project_id, max(latest) AS latest, max(most) AS max_usage, round(sum(total) / sum(n), 2) AS avg_usage, cast(sum(n) AS BIGINT) AS samples
+  FROM (SELECT project_id, role, arg_max_null(usage, turn_id) AS latest, max(usage) AS most, sum(usage) AS total, count(usage) AS n FROM ({USED}) r GROUP BY ALL) t GROUP BY project_id""")
+def r50_context_totals(spark, sf_dir):
+    return cv.context_totals(metrics(spark, sf_dir))
 
 
-EST = "CASE WHEN trim(coalesce({0}, '')) = '' THEN 0 ELSE greatest(1, ceil(length({0}) / 4.0)) END"
+@query(f"""SELECT project_id, arg_max(usage, turn_id) AS last_percent FROM (SELECT project_id, turn_id, max(usage) AS usage FROM ({USED}) r GROUP BY ALL) t WHERE usage IS NOT NULL GROUP BY project_id""")
+def r50_last_inference(spark, sf_dir):
+    return cv.last_inference(metrics(spark, sf_dir), "project_id")
 
 
-@query(f"""SELECT conversation_id, cast(s AS BIGINT) AS stored_tokens, cast(coalesce(rt, 0) AS BIGINT) AS recent_tokens, cast(coalesce(st, 0) AS INT) AS summary_tokens FROM (SELECT conversation_id, sum({EST.format("question")} + {EST.format("answer")}) AS s FROM ({v.TURNS}) t GROUP BY ALL) a
-  LEFT JOIN (SELECT conversation_id, sum({EST.format("question")} + {EST.format("answer")}) AS rt FROM ({RECENT}) t GROUP BY ALL) b USING (conversation_id) LEFT JOIN (SELECT conversation_id, {EST.format("summary")} AS st FROM ({MEMORY}) m) c USING (conversation_id)""")
+EST = "CASE WHEN NOT regexp_matches(coalesce({0}, ''), '\\S') THEN 0 ELSE greatest(1, ceil(length({0}) / 4.0)) END"
+
+
+@query(f"""SELECT conversation_id, cast(s AS BIGINT) AS stored_tokens, cast(coalesce(rt, 0) AS BIGINT) AS recent_tokens, cast(coalesce(st, 0) AS INT) AS summary_tokens FROM (SELECT conversation_id, sum({EST.format("question")} + {EST.format("answer")}) AS s FROM ({SPACED}) t GROUP BY ALL) a
+  LEFT JOIN (SELECT conversation_id, sum({EST.format("question")} + {EST.format("answer")}) AS rt FROM ({RECENT_SPACED}) t GROUP BY ALL) b USING (conversation_id) LEFT JOIN (SELECT conversation_id, {EST.format("summary")} AS st FROM ({MEMORY}) m) c USING (conversation_id)""")
 def r50_context_overview(spark, sf_dir):
-    turns = turns_of(spark, sf_dir)
+    turns = spaced(spark, sf_dir)
     return cv.context_overview(turns, cv.recent_turns(turns, 2), v.frames(spark, sf_dir, MEMORY))
 
 
-CITED = f"""SELECT conversation_id, turn_id, '<think>nada [9]</think>Según [1] y [' || cast(turn_id % 6 AS STRING) || '], no [12].' AS answer, cast(turn_id % 4 AS INT) AS n_sources, conversation_id % 5 = 0 AS abstained,
-  CASE WHEN turn_id % 2 = 0 THEN chr(10) || ' SUFICIENCIA: Parcial' || chr(10) || 'x' ELSE 'Suficiencia alta' END AS report FROM ({v.TURNS}) t"""
+CITED = f"""SELECT conversation_id, turn_id, CASE WHEN turn_id % 11 = 4 THEN chr(10) || ' <think>[1]</think>' || chr(9) ELSE '<think>nada [9]</think>Según [1] y [' || cast(turn_id % 6 AS STRING) || '], no [12] ni [0012] ni [012].' END AS answer,
+  turn_id % 11 = 4 AS blank, cast(turn_id % 4 AS INT) AS n_sources, conversation_id % 5 = 0 AS abstained, CASE WHEN turn_id % 2 = 0 THEN chr(10) || chr(9) || chr(10) || ' SUFICIENCIA: Parcial' || chr(9) || chr(10) || 'x' ELSE 'Suficiencia alta' END AS report FROM ({v.TURNS}) t"""
 
 
-@query(f"""SELECT conversation_id, turn_id, 3 AS total, cast(1 <= n AS INT) + cast(k BETWEEN 1 AND n AS INT) AS valid, CASE WHEN n < 1 AND k <> 1 THEN array_to_string(list_sort([1, k, 12]), ',') WHEN n < 1 THEN '1,12' WHEN k BETWEEN 1 AND n THEN '12' ELSE array_to_string(list_sort([k, 12]), ',') END AS invalid,
-  n - CASE WHEN n < 1 THEN 0 WHEN k BETWEEN 2 AND n THEN 2 ELSE 1 END AS unused, false AS uncited, 'Según ' || CASE WHEN n >= 1 THEN '[1]' ELSE '[?]' END || ' y ' || CASE WHEN k BETWEEN 1 AND n THEN '[' || cast(k AS STRING) || ']' ELSE '[?]' END || ', no [?].' AS clean,
-  CASE WHEN turn_id % 2 = 0 THEN 'parcial' END AS sufficiency FROM (SELECT *, cast(turn_id % 6 AS INT) AS k, CASE WHEN abstained THEN 0 ELSE n_sources END AS n FROM ({CITED}) c) x""")
+@query(f"""SELECT conversation_id, turn_id, CASE WHEN blank THEN 0 ELSE 4 END AS total, CASE WHEN blank THEN 0 ELSE cast(1 <= n AS INT) + cast(k BETWEEN 1 AND n AS INT) END AS valid,
+  CASE WHEN blank THEN '' WHEN n < 1 AND k <> 1 THEN array_to_string(list_sort([1, k, 12]), ',') WHEN n < 1 THEN '1,12' WHEN k BETWEEN 1 AND n THEN '12' ELSE array_to_string(list_sort([k, 12]), ',') END AS invalid,
+  array_to_string(list_filter(range(1, n + 1), lambda x: x <> 1 AND x <> k), ',') AS unused, false AS uncited, CASE WHEN blank THEN chr(10) || ' ' || chr(9) ELSE 'Según ' || CASE WHEN n >= 1 THEN '[1]' ELSE '[?]' END || ' y ' || CASE WHEN k BETWEEN 1 AND n THEN '[' || cast(k AS STRING) || ']' ELSE '[?]' END || ', no [?] ni [0012] ni [?].' END AS clean,
+  CASE WHEN turn_id % 2 = 0 THEN 'parcial' END AS sufficiency FROM (SELECT *, cast(turn_id % 6 AS INT) AS k, CASE WHEN abstained OR blank THEN 0 ELSE n_sources END AS n FROM ({CITED}) c) x""")
 def r51_citations(spark, sf_dir):
     out = cv.audit_citations(v.frames(spark, sf_dir, CITED))
-    return out.select("conversation_id", "turn_id", "total", "valid", F.array_join(F.col("invalid").cast("array<string>"), ",").alias("invalid"), "unused", "uncited", "clean", "sufficiency")
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return out.select("conversation_id", "turn_id", "total", "valid", text("invalid").alias("invalid"), text("unused_sources").alias("unused"), "uncited", "clean", "sufficiency")
 
 
 BATCHES = f"""SELECT conversation_id, batch, min(turn_id) AS first_turn, max(turn_id) AS last_turn, cast(count(*) AS INT) AS n FROM (SELECT conversation_id, turn_id, cast(floor((row_number() OVER (PARTITION BY conversation_id ORDER BY turn_id) - 1) / 2) AS INT) AS batch FROM ({v.TURNS}) t) x
@@ -911,3 +940,19 @@ def r52_turn_batches_stream(spark, sf_dir):
     stream = spark.readStream.schema("conversation_id long, turn_id long").parquet(f"{dest}/in")
     run_turn_batches(stream, f"{dest}/out", f"{dest}/state", 2)
     return spark.read.schema("conversation_id long, batch int, first_turn long, last_turn long, n int").parquet(f"{dest}/out")
+
+
+#: Turns beyond the marks of conversations whose memory is on; a batch comes out once a turn with evidence is at its end or beyond.
+MARKED = f"""WITH t AS (SELECT t.conversation_id, turn_id FROM ({v.TURNS}) t LEFT JOIN ({MEMORY}) m USING (conversation_id) WHERE coalesce(memory_enabled, true) AND turn_id > coalesce(summarized_until_turn_id, -1)),
+  b AS (SELECT conversation_id, batch, min(turn_id) AS first_turn, max(turn_id) AS last_turn, cast(count(*) AS INT) AS n FROM (SELECT *, cast(floor((row_number() OVER (PARTITION BY conversation_id ORDER BY turn_id) - 1) / 2) AS INT) AS batch FROM t) x GROUP BY conversation_id, batch HAVING count(*) = 2)
+  SELECT * FROM b WHERE EXISTS (SELECT 1 FROM t WHERE t.conversation_id = b.conversation_id AND t.turn_id >= b.last_turn AND t.turn_id % 3 <> 0)"""
+
+
+@query(MARKED)
+def r52_stream_from_marks(spark, sf_dir):
+    dest = scratch(spark, "turns")
+    turns = turns_of(spark, sf_dir).select("conversation_id", "turn_id", (F.col("turn_id") % 3 != 0).alias("evidence"))
+    turns.unionByName(turns.filter("turn_id % 4 = 1")).write.parquet(f"{dest}/in")  # some turns twice
+    stream = spark.readStream.schema("conversation_id long, turn_id long, evidence boolean").parquet(f"{dest}/in")
+    run_turn_batches(stream, f"{dest}/out", f"{dest}/state", 2, v.frames(spark, sf_dir, MEMORY))
+    return spark.read.schema("conversation_id long, batch int, first_turn long, last_turn long, n int").parquet(f"{dest}/out")

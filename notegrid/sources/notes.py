@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_path
+from ..functions.text import norm_path, stripped
 from ..operators.index import validate_index
 
 EXCLUDED = (".obsidian", "_plantillas", "_templates")
@@ -54,15 +54,15 @@ def split_cases(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Trims and completes cases, and parts those that break a rule from the others; one aggregation finds repeated ids."""
     empty = F.array().cast("array<string>")
     groups = F.coalesce(F.from_json("expected_terms", "array<string>"), empty)  # inner arrays stay as text here
-    as_group = lambda t: F.when(F.startswith(F.trim(t), F.lit("[")), F.from_json(t, "array<string>")).otherwise(F.array(t))
+    as_group = lambda t: F.when(F.startswith(stripped(t), F.lit("[")), F.from_json(t, "array<string>")).otherwise(F.array(t))
     clean = cases.select(
-        F.trim("id").alias("id"),
-        F.trim("question").alias("question"),
+        stripped("id").alias("id"),
+        stripped("question").alias("question"),
         F.transform(F.coalesce("expected_paths", empty), norm_path).alias("expected_paths"),
         F.transform(F.coalesce("forbidden_paths", empty), norm_path).alias("forbidden_paths"),
         F.coalesce("expect_abstention", F.lit(False)).alias("expect_abstention"),
         F.transform(groups, as_group).alias("expected_terms"),
-        F.lower(F.trim("query_type")).alias("query_type"),
+        F.lower(stripped("query_type")).alias("query_type"),
         *[c for c in ("tags", "status", "vigencia", "expand_links", "requires_semantic") if c in cases.columns],
     ).withColumn("query_type", F.coalesce(F.nullif("query_type", F.lit("")), F.when(F.col("expect_abstention"), "out_of_domain").otherwise("factual")))
     repeated = clean.groupBy("id").agg(F.count("*").alias("__n"))

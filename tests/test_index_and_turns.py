@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import pytest
 
 from notegrid.operators import conversations as cv
@@ -60,3 +61,60 @@ def test_stream_equals_batches(spark, turns, tmp_path):
     # a second run finds nothing new and repeats no batch
     run_turn_batches(spark.readStream.schema("conversation_id long, turn_id long").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), 2)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(want)
+
+
+def brute_batches(turns, marks, size):
+    """turns: (key, id, evidence, use) in the order of arrival; pending batches taken again and again after each turn that releases them."""
+    state, out = {}, []
+    for key, turn, evidence, use in turns:
+        s = state.setdefault(key, {"mark": marks.get(key, (-1, True))[0], "on": marks.get(key, (-1, True))[1], "ids": set(), "done": 0})
+        s["on"] = s["on"] if use is None else use
+        s["ids"].add(turn)
+        while evidence and s["on"] and len(next_ := sorted(i for i in s["ids"] if i > s["mark"])[:size]) == size:
+            out.append((key, s["done"], next_[0], next_[-1], size))
+            s["mark"], s["done"] = next_[-1], s["done"] + 1
+    return sorted(out)
+
+
+def test_stream_from_marks_over_several_runs(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    seen, schema = [], "conversation_id long, turn_id long, evidence boolean, use_memory boolean"
+    marks = {1: (4, True), 2: (-1, False), 3: (7, True)}
+    memory = spark.createDataFrame([(k, m if m >= 0 else None, on) for k, (m, on) in marks.items()], "conversation_id long, summarized_until_turn_id long, memory_enabled boolean")
+    for run in range(3):
+        part = [(key, run * 10 + i, rng.random() < 0.4, rng.choice([None, None, None, True, False])) for key in (1, 2, 3, 4) for i in range(10)]
+        part += [(1, 2, True, None), (4, run * 10, False, None)]  # not beyond the mark; a repeated turn
+        seen += sorted(part, key=lambda r: r[1])
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run_turn_batches(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), 3, memory)
+        got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+        assert got == brute_batches(seen, marks, 3)
+    assert {r[0] for r in got} >= {1, 3, 4} and max(r[1] for r in got) >= 4
+
+
+def test_usage_of_broken_and_odd_rows(spark):
+    ok = '{"writer":{"status":"completed","total_tokens":%d,"context_window_tokens":1000},"verifier":{"status":"completed","prompt_tokens":"300","context_window_tokens":1000.0}}'
+    rows = [(1, 1, ok % 100), (1, 2, "roto"), (2, 1, ok % 500), (2, 2, None), (3, 1, ok % 0), (3, 2, "[1]"), (3, 3, '"x"'), (4, 1, "{roto"), (5, 1, '{"writer": 3, "verifier": {"status": "completed"}}')]
+    df = spark.createDataFrame(rows, "project_id long, turn_id long, agent_metrics string")
+    got = {(r.project_id, r.role): (r.latest, r.max_usage, r.samples) for r in cv.context_usage(df).collect()}
+    assert got == {(1, "writer"): (10.0, 10.0, 1), (1, "verifier"): (30.0, 30.0, 1), (2, "writer"): (None, 50.0, 1), (2, "verifier"): (None, 30.0, 1), (3, "writer"): (0.0, 0.0, 1), (3, "verifier"): (30.0, 30.0, 1), (5, "writer"): (None, None, 0), (5, "verifier"): (None, None, 0)}
+    totals = {r.project_id: (r.latest, r.max_usage, r.avg_usage, r.samples) for r in cv.context_totals(df).collect()}
+    assert totals == {1: (30.0, 30.0, 20.0, 2), 2: (None, 50.0, 40.0, 2), 3: (30.0, 30.0, 15.0, 2), 5: (None, None, None, 0)}
+    assert {r.conversation_id: r.last_percent for r in cv.last_inference(df.withColumnRenamed("project_id", "conversation_id")).collect()} == {1: 30.0, 2: 50.0, 3: 30.0}
+
+
+def test_blank_answers_and_long_marks(spark):
+    df = spark.createDataFrame([("\n\t ", 2, False, None), ("<think>[1]</think>\n", 2, False, None), ("a [0012] [012] [2]", 2, False, None)], "answer string, n_sources int, abstained boolean, report string")
+    a, b, c = cv.audit_citations(df).collect()
+    assert all((x.total, x.valid, x.invalid, x.unused_sources, x.uncited) == (0, 0, [], [], False) for x in (a, b))
+    assert (c.clean, c.invalid, c.unused_sources, c.total) == ("a [0012] [?] [2]", [12], [1], 2)
+
+
+def test_white_space_of_all_kinds(spark):
+    from notegrid.functions.text import est_tokens, stripped
+    from notegrid.operators.routing import cut_content
+
+    df = spark.createDataFrame([("\n\t ",), (" a ",), ("\n\nabc\x1c",), (None,)], "t string")
+    assert [tuple(r) for r in df.select(stripped("t"), est_tokens(F.col("t")), cut_content(F.col("t"), F.lit("\n"), F.lit(100))).collect()] == [("", 0, ""), ("a", 1, "a"), ("abc", 2, "abc"), (None, 0, "")]

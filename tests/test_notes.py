@@ -47,7 +47,7 @@ def test_note_without_frontmatter(spark):
     r = note(spark, "sin nada\n---\nx: 1\n---\n", "b/Mi nota.md").first()
     assert (r.title, r.status, r.metadata, r.validity) == ("Mi nota", "", {}, "desconocida")
     bad = note(spark, "---\nsin dos puntos\nlista:\n- uno\n- dos\n---\n# H\n").first()
-    assert bad.metadata == {"lista": "uno, dos", "_yaml_error": "true"} and bad.title == "H"
+    assert bad.metadata == {"_yaml_error": "true"} and bad.title == "H"
     assert note(spark, None).first().body == ""
 
 
