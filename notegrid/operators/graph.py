@@ -114,12 +114,16 @@ def seeds_of(semantic: DataFrame, n: int = DEFAULTS.graph_seeds) -> DataFrame:
     return first.withColumn("place", place).filter(F.col("place") <= n).select("query_id", "doc_id", (F.lit(1.0) / F.col("place")).alias("weight"))
 
 
-def graph_candidates(semantic: DataFrame, edges: DataFrame, similarities: DataFrame, n: int = DEFAULTS.graph_max_candidates, **how) -> DataFrame:
+def graph_candidates(
+    semantic: DataFrame, edges: DataFrame, similarities: DataFrame, n: int = DEFAULTS.graph_max_candidates, reached: DataFrame | None = None, **how
+) -> DataFrame:
     """For each document reached its most similar chunk; the best n of a query by (graph score, similarity).
 
-    similarities: query_id, chunk_id, doc_id, score of the chunks of reached documents.
+    similarities: query_id, chunk_id, doc_id, score of the chunks of reached documents. reached: what
+    `propagate` gave, if it has been called before.
     """
-    reached = propagate(seeds_of(semantic), edges, **how)
+    if reached is None:
+        reached = propagate(seeds_of(semantic), edges, **how)
     chunk = similarities.join(reached, ["query_id", "doc_id"]).groupBy("query_id", "doc_id", "graph_score", "hop").agg(
         F.max_by(F.struct("chunk_id", "score"), F.struct("score", -F.col("chunk_id"))).alias("c")
     )

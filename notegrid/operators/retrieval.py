@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import folded, index_tokens, stripped, tokens
+from ..functions.text import folded, index_tokens, right_stripped, stripped, tokens
 from ..params import DEFAULTS
 from ..shared import kept
 
@@ -452,9 +452,11 @@ def collapse_parents(rows: DataFrame) -> DataFrame:
 
 
 def passages(rows: DataFrame, chars: int = DEFAULTS.rerank_passage_chars) -> DataFrame:
-    """Adds passage, the text that a reranker reads: title, heading, and content cut to what is left (120 at least)."""
-    head = F.concat("title", F.lit(" — "), "heading", F.lit("\n"))
-    return rows.withColumn("passage", F.concat(head, F.substring(F.col("content"), F.lit(1), F.greatest(F.lit(120), chars - F.length(head)))))
+    """Adds passage, the text that a reranker reads: title, heading if there is one, and content cut to what is left (120 at least), with … at a cut."""
+    head = F.concat(F.coalesce("title", F.lit("")), F.when(F.coalesce("heading", F.lit("")) == "", "").otherwise(F.concat(F.lit(" — "), "heading")), F.lit("\n"))
+    text, room = F.coalesce("content", F.lit("")), F.greatest(F.lit(120), chars - F.length(head))
+    cut = F.concat(right_stripped(F.substring(text, F.lit(1), room - 1)), F.lit("…"))
+    return rows.withColumn("passage", F.concat(head, F.when(F.length(text) <= room, text).otherwise(cut)))
 
 
 def blend_rerank(rows: DataFrame, scores: DataFrame, n: int = DEFAULTS.rerank_candidates, weight: float = DEFAULTS.rerank_weight) -> DataFrame:
@@ -469,7 +471,7 @@ def blend_rerank(rows: DataFrame, scores: DataFrame, n: int = DEFAULTS.rerank_ca
     marked = joined.withColumn("__ok", usable & head).withColumn(
         "combined", F.when(F.col("__ok"), weight * F.col("rerank") + (1 - weight) * F.col("fusion"))
     )
-    order = _best(F.when(head, 0).otherwise(1), F.desc_nulls_last("combined"), "rank")
+    order = _best(F.when(head, 0).otherwise(1), F.desc_nulls_last(F.round("combined", 12)), "rank")
     return marked.withColumn("new_rank", F.row_number().over(order)).drop("rank", "__ok").withColumnRenamed("new_rank", "rank")
 
 

@@ -16,6 +16,8 @@ from ..params import DEFAULTS, RELATIONAL_PATTERNS, STRUCTURAL_NOUNS, Params
 from ..shared import kept
 from . import graph as g
 from . import retrieval as r
+from .fulltext import FullText, search
+from .scoring import scored
 
 #: Names that are sent to all tasks, and that a shard holds if there are more.
 SENT_ALIASES = 100_000
@@ -205,10 +207,25 @@ def build_context(hits: DataFrame, budget: int) -> DataFrame:
     return cut.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda s: s["block"]), "\n\n---\n\n").alias("context"))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, links: DataFrame, p: Params = DEFAULTS, expand: bool = True, **filters) -> tuple[DataFrame, DataFrame, DataFrame]:
+def retrieve(
+    queries: DataFrame,
+    chunks: DataFrame,
+    docs: DataFrame,
+    links: DataFrame,
+    p: Params = DEFAULTS,
+    expand: bool = True,
+    scorer: str | None = None,
+    fulltext: FullText | None = None,
+    parents: DataFrame | None = None,
+    **filters,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(selected, routes, abstained) for a batch of questions.
 
-    queries: query_id, question, embedding, context_embedding (may be null). chunks: chunk_id, doc_id,
+    queries: query_id, question, embedding, context_embedding (may be null) and, if it is there, context_question (may be null).
+    Words are those of the question itself; routing, links and reranking go by the contextual question and vector where there
+    is one. scorer names a scorer of passages (`scoring`) that sorts the first candidates again. With fulltext, words are looked up in that
+    index and no text is read for them. With parents (doc_id, parent_index, content), selected also has the texts that `build_context` needs, and
+    docs must have status and metadata. Questions that abstain return nothing. chunks: chunk_id, doc_id,
     parent_index, chunk_index, heading, content, embedding, with title, path, status, validity, tags of
     the note. docs: doc_id, title, path. links: source, pos, target_id, section. Questions without a
     semantic hit stop there: neither words nor links bring them back.
@@ -225,27 +242,33 @@ def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, links: Data
     semantic = sem_docs.drop("doc_id")
     alive = semantic.select("query_id").distinct()
     edges = links.filter(F.col("target_id").isNotNull()).select("source", F.col("target_id").alias("target"))
-    routes = kept(route(queries.join(alive, "query_id", "left_semi"), sem_docs, g.alias_index(docs), edges, p), "routes")
+    own = F.col("question")
+    meant = queries.withColumn("question", F.coalesce("context_question", own) if "context_question" in queries.columns else own).select("query_id", "question")
+    routes = kept(route(meant.join(alive, "query_id", "left_semi"), sem_docs, g.alias_index(docs), edges, p), "routes")
 
     terms = queries.join(alive, "query_id", "left_semi").select("query_id", lexical_terms(F.col("question")).alias("terms"))
     exploded = terms.select("query_id", F.explode("terms").alias("term"))
     # words weigh as they do in the whole index; of the filters only the status holds before the limit
-    bm = r.bm25_topk(exploded, chunks, 2 * limit, p.bm25_k1, p.bm25_b, passing=r.filtered(chunks, status=filters.get("status")))
+    status = filters.get("status")
+    passing = r.filtered(chunks, status=status) if status and status.strip() else None
+    if fulltext is None:
+        bm = r.bm25_topk(exploded, chunks, 2 * limit, p.bm25_k1, p.bm25_b, passing=passing)
+    else:
+        bm = search(exploded, fulltext, 2 * limit, p.bm25_k1, p.bm25_b, passing)
     bm = bm.join(where.select("chunk_id"), "chunk_id", "left_semi")
     texts = pool.select("chunk_id", F.concat_ws(" ", "title", "heading", "content", "path").alias("text"))
     lexical = kept(r.coverage_gate(bm, texts, terms).filter(F.col("rank") <= limit), "lexical")
 
-    one_hop = edges
-    reached = g.propagate(g.seeds_of(sem_docs, p.graph_seeds), one_hop, 1, p.graph_decay, p.graph_backlink)
+    on = routes.filter("graph_weight > 0").select("query_id", "graph_weight")
+    starts = g.seeds_of(sem_docs.join(on, "query_id", "left_semi"), p.graph_seeds)
+    reached = kept(g.propagate(starts, edges, 1, p.graph_decay, p.graph_backlink), "reached")
     vector = F.coalesce("context_embedding", "embedding").cast("array<double>")
     sims = (
         reached.join(pool.select("doc_id", "chunk_id", F.col("embedding").cast("array<double>").alias("v")), "doc_id")
         .join(queries.select("query_id", vector.alias("q")), "query_id")
         .select("query_id", "doc_id", "chunk_id", r.cosine(F.col("q"), F.col("v")).alias("score"))
     )
-    on = routes.filter("graph_weight > 0").select("query_id", "graph_weight")
-    reach = g.graph_candidates(sem_docs, one_hop, sims, p.graph_max_candidates, hops=1, decay=p.graph_decay, backlink=p.graph_backlink)
-    graph = kept(reach.join(on, "query_id", "left_semi"), "graph")
+    graph = kept(g.graph_candidates(sem_docs, edges, sims, p.graph_max_candidates, reached), "graph")
 
     # the weight of the links depends on the route, so questions are fused by class
     classes = []
@@ -256,11 +279,21 @@ def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, links: Data
     fused = kept(classes[0].unionByName(classes[1]).unionByName(classes[2]), "fused")
     rows = fused.join(pool.select("chunk_id", "doc_id", "parent_index", F.col("embedding").cast("array<double>").alias("embedding")), "chunk_id")
     collapsed = r.collapse_parents(rows.select("query_id", "chunk_id", "doc_id", "parent_index", "rank", "fusion", "embedding"))
-    reranked = collapsed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    picked = r.diversify(reranked, p.top_k, p.mmr_lambda, p.max_chunks_per_document)
-    chosen = picked.join(fused.drop("rank"), ["query_id", "chunk_id"]).join(where, "chunk_id")
-    selected = kept(chosen.withColumn("rerank", F.lit(None).cast("double")), "selected")
-    decided = abstention(queries, selected, p.top_k, p.posterior_threshold)
+    ordered = collapsed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    if scorer is None:
+        picked = r.diversify(ordered, p.top_k, p.mmr_lambda, p.max_chunks_per_document).withColumn("rerank", F.lit(None).cast("double"))
+    else:
+        ordered = kept(ordered.drop("embedding"), "ordered")
+        head = ordered.filter(F.col("rank") <= p.rerank_candidates).select("query_id", "chunk_id").join(pool.select("chunk_id", "title", "heading", "content"), "chunk_id")
+        scores = kept(scored(r.passages(head, p.rerank_passage_chars).join(meant, "query_id"), scorer), "scores")
+        blended = kept(r.blend_rerank(ordered, scores, p.rerank_candidates, p.rerank_weight), "blended")
+        vectors = pool.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        used = F.when(F.col("combined").isNotNull(), F.round("rerank", 4)).alias("rerank")  # a question with one candidate is not reranked
+        picked = r.diversify(blended.join(vectors, "chunk_id"), p.top_k, p.mmr_lambda, p.max_chunks_per_document)
+        picked = picked.join(blended.select("query_id", "chunk_id", used), ["query_id", "chunk_id"])
+    chosen = kept(picked.join(fused.drop("rank"), ["query_id", "chunk_id"]).join(where, "chunk_id"), "chosen")
+    decided = kept(abstention(queries, chosen, p.top_k, p.posterior_threshold), "decided")
+    selected = chosen.join(decided.filter("NOT abstain").select("query_id"), "query_id", "left_semi")
     if expand:
         base = selected.withColumn("rank", F.col("place"))
         more_links = g.expand_links(base, links, pool.select("doc_id", "chunk_id", "chunk_index", "heading"), p.max_linked, p.linked_factor)
@@ -270,4 +303,6 @@ def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, links: Data
         selected = selected.withColumn("origin", F.lit("ranked")).unionByName(linked.unionByName(hop), allowMissingColumns=True)
     else:
         selected = selected.withColumn("origin", F.lit("ranked"))
+    if parents is not None:
+        selected = r.hydrate(selected.drop("doc_id"), pool.select("chunk_id", "doc_id", "parent_index", "heading", "content"), parents, docs, **filters)
     return selected, routes, decided

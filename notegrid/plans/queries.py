@@ -552,7 +552,8 @@ def r36_rerank(spark, sf_dir):
     return r.blend_rerank(rows, scores).select("query_id", "chunk_id", "rank")
 
 
-@query("""SELECT doc_id, md5('Nota ' || cast(doc_id AS STRING) || ' — ' || source || chr(10) || substr(coalesce(text, ''), 1, cast(greatest(120, 900 - length('Nota ' || cast(doc_id AS STRING) || ' — ' || source || chr(10))) AS BIGINT))) AS passage FROM {documents} WHERE source IS NOT NULL""")
+@query("""SELECT doc_id, md5('Nota ' || cast(doc_id AS STRING) || ' — ' || source || chr(10) || CASE WHEN length(coalesce(text, '')) <= room THEN coalesce(text, '') ELSE regexp_replace(substr(text, 1, cast(room - 1 AS BIGINT)), '\\s+$', '') || '…' END) AS passage
+  FROM (SELECT *, greatest(120, 900 - length('Nota ' || cast(doc_id AS STRING) || ' — ' || source || chr(10))) AS room FROM {documents} WHERE source IS NOT NULL) d""")
 def r36_passages(spark, sf_dir):
     rows = docs_of(spark, sf_dir).filter("source IS NOT NULL").select("doc_id", F.concat(F.lit("Nota "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("heading"), F.coalesce("text", F.lit("")).alias("content"))
     return r.passages(rows).select("doc_id", F.md5("passage").alias("passage"))
@@ -707,11 +708,37 @@ RETRIEVED = f"""WITH pool AS MATERIALIZED (SELECT v.*, n.title, n.path, coalesce
   hop AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, chunk_id, doc_id, sim * 0.85 AS score FROM graph g WHERE NOT EXISTS (SELECT 1 FROM chosen o WHERE o.query_id = g.query_id AND o.doc_id = g.doc_id) QUALIFY place <= 3),
   every AS (SELECT query_id, 'ranked' AS origin, place, chunk_id, doc_id, score FROM chosen UNION ALL SELECT query_id, 'neighbour', place, chunk_id, doc_id, score FROM hop
     UNION ALL SELECT query_id, 'linked', row_number() OVER (PARTITION BY query_id ORDER BY r) AS place, (SELECT min(chunk_id) FROM pool WHERE pool.doc_id = linked.doc_id), doc_id, score FROM linked QUALIFY place <= 3)
-  SELECT query_id, origin, cast(place AS INT) AS place, chunk_id, doc_id, round(score, 6) AS score, route, abstain FROM every LEFT JOIN routes USING (query_id) JOIN verdict USING (query_id)"""
+  SELECT query_id, origin, cast(place AS INT) AS place, chunk_id, doc_id, round(score, 6) AS score, route, abstain FROM every LEFT JOIN routes USING (query_id) JOIN verdict USING (query_id) WHERE NOT abstain"""
+
+
+def _reranked(sql: str) -> str:
+    """RETRIEVED with a scorer, and with a contextual question for the questions that say nothing."""
+    changes = (
+        (f"({ASKED.replace('{q}', v.QUERIES_V)})", f"(SELECT *, CASE WHEN question = 'Nada' THEN '{CONTEXTUAL}' ELSE question END AS meant FROM ({ASKED.replace('{q}', v.QUERIES_V)}) a)"),
+        (FOLD.format("q.question") + ", a.alias", FOLD.format("q.meant") + ", a.alias"),
+        ("cast(floor(query_id / 20) % 4 IN (0, 2) AS INT)", "cast(floor(query_id / 20) % 4 IN (0, 2, 3) AS INT)"),
+        ("families AS (", "gathered AS ("),
+        ("= 1), s1 AS MATERIALIZED", f"""= 1),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS o, count(*) OVER (PARTITION BY query_id) AS many FROM gathered),
+  read AS (SELECT placed.*, q.meant, title || ' — Uno' || chr(10) AS head, content, greatest(120, 900 - length(title || ' — Uno' || chr(10))) AS room FROM placed JOIN pool USING (chunk_id) JOIN q ON q.query_id = placed.query_id WHERE o <= 12),
+  marked AS (SELECT *, list_distinct({WORDS_OF.format("meant")}) AS asked, {WORDS_OF.format("head || CASE WHEN length(content) <= room THEN content ELSE regexp_replace(substr(content, 1, cast(room - 1 AS BIGINT)), '\\s+$', '') || '…' END")} AS held FROM read),
+  scores AS (SELECT query_id, chunk_id, len(list_filter(asked, lambda w: list_contains(held, w))) / len(asked) AS rerank FROM marked WHERE many > 1),
+  families AS MATERIALIZED (SELECT p.query_id, p.chunk_id, fusion, round(rerank, 4) AS rerank, row_number() OVER (PARTITION BY p.query_id ORDER BY o > 12, round(0.7 * rerank + 0.3 * fusion, 12) DESC NULLS LAST, o) AS rank FROM placed p LEFT JOIN scores s ON s.query_id = p.query_id AND s.chunk_id = p.chunk_id), s1 AS MATERIALIZED"""),
+        ("f.gs FROM picked p JOIN fused f USING (query_id, chunk_id))", "f.gs, k.rerank FROM picked p JOIN fused f USING (query_id, chunk_id) JOIN families k USING (query_id, chunk_id))"),
+        ("AS a, least(1.0, count(*) / 6.0) AS l FROM chosen", "AS a, least(1.0, count(*) / 6.0) AS l, avg(rerank) AS k FROM chosen"),
+        ("+ a * 0.15 + l * 0.1)", "+ a * 0.15 + l * 0.1 + coalesce(k * 0.15, 0))"),
+        ("ELSE 0.15 END + 0.25) < 0.35", "ELSE 0.15 END + 0.25 + CASE WHEN k IS NULL THEN 0 ELSE 0.15 END) < 0.35"),
+    )
+    for old, new in changes:
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
 
 
-@query(RETRIEVED)
-def r42_retrieve(spark, sf_dir):
+CONTEXTUAL = "Cómo afecta la NOTA 77 a la nota 12"
+
+
+def retrieve(spark, sf_dir, contextual=False, **how):
     ctx = v.frames(spark, sf_dir, v.CONTEXT_V).select("query_id", F.col("embedding").alias("context_embedding"))
     queries = asked(spark, sf_dir).join(v.frames(spark, sf_dir, v.QUERIES_V).select("query_id", "embedding"), "query_id").join(ctx, "query_id", "left")
     named = v.frames(spark, sf_dir, NAMED)
@@ -721,12 +748,24 @@ def r42_retrieve(spark, sf_dir):
         .select("*", (F.col("chunk_id") % 5).alias("chunk_index"), F.lit("Uno").alias("heading"), F.lit("vigente").alias("validity"), F.array("status").alias("tags"))
     )
     # an index is a table: written once, as publish_index does
-    picked, routes, decided = ro.retrieve(kept(queries, "questions"), kept(chunks, "chunks"), named, kept(v.frames(spark, sf_dir, LINKED), "links"))
+    if contextual:
+        queries = queries.withColumn("context_question", F.when(F.col("question") == "Nada", CONTEXTUAL))
+    picked, routes, decided = ro.retrieve(kept(queries, "questions"), kept(chunks, "chunks"), named, kept(v.frames(spark, sf_dir, LINKED), "links"), **how)
     return picked.join(routes.select("query_id", "route"), "query_id", "left").join(decided.select("query_id", "abstain"), "query_id").select(
         "query_id", "origin", "place", "chunk_id", "doc_id", r6("score"), "route", "abstain"
     )
 
 
+@query(RETRIEVED)
+def r42_retrieve(spark, sf_dir):
+    return retrieve(spark, sf_dir)
+
+
+@query(_reranked(RETRIEVED))
+def r42_reranked(spark, sf_dir):
+    return retrieve(spark, sf_dir, contextual=True, scorer="overlap")
+
+
 @query(f"""SELECT query_id, md5(string_agg('[' || cast(place AS STRING) || '] Documento: T' || cast(doc_id AS STRING) || chr(10) || 'Ruta: p' || chr(10) || 'Sección: Uno' || chr(10) || 'Recuperación: semantic' || chr(10) || 'Metadatos: lang=' || lang || chr(10)
   || 'Contenido:' || chr(10) || CASE WHEN length(x) <= greatest(240, 1200 // n) THEN x ELSE regexp_replace(substr(x, 1, greatest(240, 1200 // n) - 1), '\\s+$', '') || '…' END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS md5
   FROM (SELECT cast(floor(doc_id / 4) AS BIGINT) AS query_id, doc_id % 4 AS place, doc_id, lang, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS x, count(*) OVER (PARTITION BY floor(doc_id / 4)) AS n FROM {{documents}}) q GROUP BY query_id""")
