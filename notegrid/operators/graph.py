@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,8 +48,49 @@ def resolve_links(links: DataFrame, aliases: DataFrame) -> DataFrame:
     return links.filter(stripped("target") != "").join(hit, ["source", "pos"], "left")
 
 
-def reresolve(edges: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Tries broken edges again; edges that have a target keep it."""
+#: Bits of a Bloom filter for each alias, hash functions, and the most bits (8 MB).
+BLOOM_BITS, BLOOM_HASHES, BLOOM_MOST = 12, 4, 1 << 26
+
+
+def _bloom(names: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(bits, 64-bit words) of a Bloom filter over the column name; words are put together by bit_or, at most BLOOM_MOST / 64 rows."""
+    bits = min(BLOOM_MOST, max(64, 1 << (BLOOM_BITS * n).bit_length()))
+    at = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(seed), "name"), F.lit(bits)) for seed in range(BLOOM_HASHES)))).alias("at")
+    held = names.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[held["word"].to_numpy()] = held["bits"].to_numpy()
+    return bits, words
+
+
+def _may_hold(names: Column, bits: int, words: Broadcast) -> Column:
+    """Whether one of the names may be in the filter."""
+    places = F.transform(names, lambda x: F.array(*(F.pmod(F.xxhash64(F.lit(seed), x), F.lit(bits)) for seed in range(BLOOM_HASHES))))
+
+    @F.pandas_udf("boolean")
+    def hit(rows: pd.Series) -> pd.Series:
+        held = words.value
+        return rows.map(lambda tries: any(all(held[p >> 6] >> (p & 63) & 1 for p in np.asarray(one).tolist()) for one in tries))
+
+    return hit(places)
+
+
+def reresolve(edges: DataFrame, aliases: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """Tries broken edges again; edges that have a target keep it.
+
+    With added (alias, doc_id), the aliases that a change set brought, only they are looked up: what was broken had no other.
+    A Bloom filter of them leaves out the edges that cannot have a hit before anything is shuffled.
+    """
+    if added is not None:
+        named = added.select("alias", "doc_id").distinct()
+        n = named.count()
+        if not n:
+            return edges
+        bits, words = _bloom(named.select(F.col("alias").alias("name")), n)
+        t = norm_path(F.col("target"))
+        possible = F.col("target_id").isNull() & _may_hold(F.array(t, _no_suffix(t), F.lower(stem(t))), bits, edges.sparkSession.sparkContext.broadcast(words))
+        marked = edges.withColumn("__possible", F.coalesce(possible, F.lit(False)))
+        tried = resolve_links(marked.filter("__possible").drop("__possible", "target_id"), named)
+        return marked.filter("NOT __possible").drop("__possible").unionByName(tried.select(*edges.columns))
     broken = edges.filter(F.col("target_id").isNull()).drop("target_id")
     return edges.filter(F.col("target_id").isNotNull()).unionByName(resolve_links(broken, aliases).select(*edges.columns))
 

@@ -56,6 +56,12 @@ def validate_index(tables: Mapping[str, DataFrame], expected: Mapping[str, int])
         children = tables["chunks"].filter(F.col("parent_index").isNotNull())
         lost = children.join(tables["parents"].select("path", "parent_index"), ["path", "parent_index"], "left_anti")
         checks.append(lost.agg(F.count("*").alias("actual")).select(F.lit("orphan children").alias("check"), F.lit(0).cast("long").alias("expected"), "actual"))
+    if {"chunks", "fulltext_members"} <= tables.keys() and "chunk_id" in tables["chunks"].columns:
+        chunks, members = tables["chunks"].select("chunk_id"), tables["fulltext_members"].select("chunk_id")
+        zero = F.lit(0).cast("long").alias("expected")
+        checks.append(members.agg(F.count("*").alias("actual")).join(chunks.agg(F.count("*").alias("expected"))).select(F.lit("full-text rows").alias("check"), "expected", "actual"))  # one row each
+        checks.append(chunks.join(members, "chunk_id", "left_anti").agg(F.count("*").alias("actual")).select(F.lit("chunks without full text").alias("check"), zero, "actual"))
+        checks.append(members.join(chunks, "chunk_id", "left_anti").agg(F.count("*").alias("actual")).select(F.lit("full text without chunks").alias("check"), zero, "actual"))
     out = checks[0]
     for c in checks[1:]:
         out = out.unionByName(c)

@@ -21,6 +21,7 @@ from ..operators import retrieval as r
 from ..operators import routing as ro
 from ..shared import kept, scratch
 from ..sources import notes as src
+from ..sources import store
 from ..streaming.turns import run_turn_batches
 from . import views as v
 
@@ -53,15 +54,15 @@ def r6(c: str) -> F.Column:
 
 # Sources and sinks
 
-FILES = "SELECT *, CASE doc_id % 10 WHEN 3 THEN '.obsidian/' WHEN 4 THEN '_Plantillas/' WHEN 5 THEN '.x/' ELSE 'notas/' END || path AS file FROM (" + v.NOTES + ") q"
+FILES = "SELECT *, CASE doc_id % 10 WHEN 3 THEN '.obsidian/' WHEN 4 THEN '_Plantillas/' WHEN 5 THEN '.x/' WHEN 6 THEN '_a/_b/' ELSE 'notas/' END || path AS file FROM (" + v.NOTES + ") q"
 
 
 @query(f"SELECT file AS path, sha256(raw) AS sha256, md5(raw) AS raw_md5 FROM ({FILES}) f WHERE doc_id % 10 NOT IN (3, 4, 5)")
 def r01_read_notes(spark, sf_dir):
-    files = v.frames(spark, sf_dir, FILES).select(
-        F.col("file").alias("path"), F.replace("raw", F.lit("\n"), F.lit("\r\n")).cast("binary").alias("windows"), F.col("raw").cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("mtime")
-    )
-    return src.note_rows(files).select("path", "sha256", F.md5("raw").alias("raw_md5"))
+    files = v.frames(spark, sf_dir, FILES).select(F.col("file").alias("path"), F.col("raw").cast("binary").alias("content"))
+    dest = scratch(spark, "notes")
+    src.write_notes(files, dest)
+    return src.read_notes(spark, dest).select("path", "sha256", F.md5("raw").alias("raw_md5"))
 
 
 CASES = """SELECT cast(doc_id AS STRING) AS id, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE 'q' || cast(doc_id AS STRING) END AS question, doc_id,
@@ -283,6 +284,27 @@ def r16_diff_counts(spark, sf_dir):
     return ix.diff_counts(ix.diff_notes(*both_versions(spark, sf_dir)))
 
 
+@query(f"SELECT 'notes' AS name, path, sha256 AS value FROM ({NEW}) n UNION ALL SELECT 'chunks', path, sha256 || '-0' FROM ({NEW}) n UNION ALL SELECT 'chunks', path, sha256 || '-1' FROM ({NEW}) n")
+def r16_upsert(spark, sf_dir):
+    """A change set goes into a stored index of two tables, of which only the buckets it touches are written."""
+    new, old = both_versions(spark, sf_dir)
+    cut = lambda notes: notes.select("path", F.explode(F.array(F.concat("sha256", F.lit("-0")), F.concat("sha256", F.lit("-1")))).alias("piece"))
+    dest = scratch(spark, "store")
+    store.create_index(spark, {"notes": old, "chunks": cut(old)}, dest, 16)
+    store.upsert_index(spark, {"notes": new, "chunks": cut(new)}, ix.diff_notes(new, old), dest, 16)
+    now = store.open_index(spark, dest)
+    return now["notes"].select(F.lit("notes").alias("name"), "path", F.col("sha256").alias("value")).unionByName(now["chunks"].select(F.lit("chunks").alias("name"), "path", F.col("piece").alias("value")))
+
+
+@query("""SELECT 'full-text rows' AS "check", count(*) AS expected, count(*) FILTER (WHERE doc_id % 10 <> 3) AS actual, count(*) FILTER (WHERE doc_id % 10 = 3) = 0 AS ok FROM {documents}
+  UNION ALL SELECT 'chunks without full text', 0, count(*) FILTER (WHERE doc_id % 10 = 3), count(*) FILTER (WHERE doc_id % 10 = 3) = 0 FROM {documents} UNION ALL SELECT 'full text without chunks', 0, 0, true""")
+def r17_fulltext(spark, sf_dir):
+    """An index whose full text misses the chunks that came after it."""
+    chunks = docs_of(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"))
+    index = ft.build(chunks.filter("chunk_id % 10 <> 3"))
+    return ix.validate_index({"chunks": chunks.select("chunk_id"), **index.tables()}, {})
+
+
 @query("""SELECT 'count chunks' AS "check", count(*) AS expected, count(*) AS actual, true AS ok FROM {embeddings}
   UNION ALL SELECT 'count parents', 1, count(DISTINCT floor(vec_id / 5)), 1 = count(DISTINCT floor(vec_id / 5)) FROM {embeddings} WHERE floor(vec_id / 5) % 7 <> 0
   UNION ALL SELECT 'orphan children', 0, count(*), count(*) = 0 FROM {embeddings} WHERE floor(vec_id / 5) % 7 <> 0 AND floor((vec_id % 5) / 2) <> 0""")
@@ -358,6 +380,16 @@ def r23_reresolve(spark, sf_dir):
     return g.reresolve(edges, g.alias_index(v.frames(spark, sf_dir, NAMED)))
 
 
+@query(f"""SELECT l.source, l.pos, l.target, l.section, coalesce(a.doc_id, b.doc_id) AS target_id FROM ({LINKS}) l LEFT JOIN (SELECT alias, min(doc_id) AS doc_id FROM ({CLAIMS}) q WHERE doc_id % 5 <> 0 GROUP BY alias) a ON lower(l.target) = a.alias
+  LEFT JOIN (SELECT alias, min(doc_id) AS doc_id FROM ({CLAIMS}) q WHERE doc_id % 5 = 0 GROUP BY alias) b ON lower(l.target) = b.alias""")
+def r23_reresolve_added(spark, sf_dir):
+    """Notes come to an index; only edges that their aliases may mend are looked up."""
+    named = v.frames(spark, sf_dir, NAMED)
+    edges = g.resolve_links(v.frames(spark, sf_dir, LINKS), g.alias_index(named.filter("doc_id % 5 <> 0"))).select("source", "pos", "target", "section", "target_id")
+    added = g.alias_index(named.filter("doc_id % 5 = 0"))
+    return g.reresolve(edges, added, added)
+
+
 @query(f"""WITH e AS ({RESOLVED}) SELECT (SELECT count(*) FROM e) AS total, (SELECT count(target_id) FROM e) AS resolved, (SELECT count(*) FROM e WHERE target_id IS NULL) AS broken,
   (SELECT count(*) FROM {{documents}} WHERE doc_id NOT IN (SELECT source FROM e WHERE target_id IS NOT NULL UNION SELECT target_id FROM e WHERE target_id IS NOT NULL)) AS orphans,
   (SELECT count(*) FROM (SELECT alias FROM ({CLAIMS}) q GROUP BY alias HAVING count(DISTINCT doc_id) > 1) x) AS ambiguous""")
