@@ -1,17 +1,15 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
 Both dictionaries end in the same running ordinary text. Before it, one holds what zstandard trains on
-windows of toxic texts, the other, of the same length, what it trains on windows of ordinary texts. A
-window is a dozen words of running text, windows overlap by a third, and the gain of a window is the
-number of bytes that the toxic dictionary saves against the ordinary one. What ordinary text has is
-found in the long shared part by both and gains nothing.
-
-Most windows of a toxic text are ordinary, and labels mark texts, not windows. So training goes in
-rounds over two halves of the toxic texts: windows of one half that gain by the dictionary of the
-other, more than nearly all windows of ordinary texts set aside, are what the next dictionary is
-trained on, cut to the stretch that gains most. What is not common to both halves drops out. Ordinary
-windows that gain by chance train the next ordinary dictionary. A logistic model, calibrated on the
-gains that each half has by the other's dictionary, turns the gains of a text into a score.
+what marks toxic texts, the other, of the same length, what it trains on windows of ordinary texts. A
+text is measured window by window; a window is a word with the blanks around it. Its gain is the
+number of bytes that the toxic dictionary saves against the ordinary one. What both have gains nothing.
+
+Most words of a toxic text are ordinary, and labels mark texts, not words. So strings of a few bytes are counted by text:
+those in a far larger share of toxic than of ordinary texts mark what the toxic dictionary is trained on, and ordinary words
+with them are left out of the shared part, so that a string which ordinary texts also have now and then still gains. How much
+of a text gains then tells the two apart, in any language and script: a logistic model turns the gains of
+a text into a score. It is calibrated on texts that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -35,19 +33,25 @@ SAMPLE = (1500, 4000)
 SAMPLE_TEXT_BYTES = 40_000
 #: A score from here on is toxic.
 THRESHOLD = 0.7
-#: Words of a window and from one window to the next; longer words count as several.
-WINDOW, STEP, WORD_BYTES = 12, 8, 64
+#: Words of a piece of ordinary text for the dictionaries, and from one to the next; longer words count as several.
+PIECE, STEP, WORD_BYTES = 12, 8, 64
 #: Bytes of the part that both dictionaries share and of their trained parts.
-SHARED_BYTES, TRAINED_BYTES = 3_500_000, 32 << 10
+SHARED_BYTES, TRAINED_BYTES = 300_000, 64 << 10
 SEGMENT_BYTES = 24
-#: Words of the stretches of windows that each further round of training takes.
-NARROWED = (6, 6)
-#: Windows that a dictionary is trained on, at most.
+#: Strings of so many bytes are counted by text; they mark toxic texts if they are in TIMES the share of ordinary texts, and surely so (standard errors).
+STRINGS, TIMES, SURE, LEAST_TEXTS = (5, 6, 7), 3.0, 5.0, 4
+#: Words of a run of marked words.
+RUN = 8
+#: Kinds of texts that are told apart by their bytes, at most, and texts of either label that a kind has at least.
+KINDS, KIND_TEXTS = 8, 12
+#: Pieces that a dictionary is trained on, at most.
 SAMPLES = 40_000
-#: Share of the windows of ordinary texts that a toxic window has to beat to train the next dictionary.
-BEATEN = 0.998
+#: Around a window, so that what is compressed is never stored as it is and matches are looked for up to its end.
+BEFORE, AFTER = b"\0" * 48 + b" ", b" " + b"\0" * 24
+#: Words whose gains a task remembers, at least, and words that are compressed at once.
+REMEMBERED, AT_ONCE = 200_000, 20_000
 #: Gains from which windows are counted for a score.
-LEVELS = (1, 3, 5)
+LEVELS = (1, 2, 3)
 
 
 @dataclass(frozen=True)
@@ -55,6 +59,7 @@ class Model:
     shared: bytes
     ordinary: bytes
     toxic: bytes
+    centres: np.ndarray
     weights: tuple[float, ...]
 
 
@@ -62,7 +67,7 @@ def lowered(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass")
 
 
-def windows(raw: bytes, size: int = WINDOW, step: int = STEP) -> np.ndarray:
+def windows(raw: bytes, size: int = PIECE, step: int = STEP) -> np.ndarray:
     """(offset, length), as uint64, of the windows over the words of a text; words are runs without white space."""
     blank = np.frombuffer(raw, np.uint8) <= 32
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
@@ -81,7 +86,7 @@ def windows(raw: bytes, size: int = WINDOW, step: int = STEP) -> np.ndarray:
 
 def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_LAZY2, min_match=5, window_log=23, hash_log=20, chain_log=22, search_log=5,
+        strategy=zstandard.STRATEGY_LAZY2, min_match=5, window_log=20, hash_log=18, chain_log=19, search_log=5,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -90,39 +95,46 @@ def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
 
 
 class Distances:
-    """Gains of the windows of texts under two dictionaries; holds about 50 MB."""
+    """Gains of the words of texts under two dictionaries; holds a few MB, and the gains of the words that it met last."""
 
     def __init__(self, shared: bytes, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = _compressor(ordinary + shared), _compressor(toxic + shared)
+        self.known: dict[bytes, int] = {}
 
-    def gains(self, raw: bytes, at: np.ndarray) -> np.ndarray:
-        if not len(at):
-            return np.zeros(0, np.int64)
-        source = zstandard.BufferWithSegments(raw, at.tobytes())
+    def of_words(self, words: list[bytes]) -> np.ndarray:
+        pieces = [BEFORE + w + AFTER for w in words]
+        sizes = np.array([len(p) for p in pieces], np.uint64)
+        source = zstandard.BufferWithSegments(b"".join(pieces), np.stack([np.cumsum(sizes) - sizes, sizes], 1).tobytes())
 
-        def sizes(compressor):
+        def lengths(compressor):
             out = compressor.multi_compress_to_buffer(source, threads=1)
             return np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
 
-        return sizes(self.ordinary) - sizes(self.toxic)
+        return lengths(self.ordinary) - lengths(self.toxic)
 
-    def best(self, piece: bytes, size: int) -> list[bytes]:
-        """The stretch of size words of a window that gains most."""
-        at = windows(piece, size, 1)
-        gains = self.gains(piece, at)
-        a, n = at[int(gains.argmax())].tolist()
-        return [piece[a : a + n]] if gains.max() > 0 else []
-
-    def features(self, text: str) -> list[float]:
-        raw = lowered(text)
-        return features(self.gains(raw, windows(raw)))
+    def gains(self, raw: bytes) -> np.ndarray:
+        """The gain of each word of a text."""
+        words = [raw[a : a + n] for a, n in windows(raw, 1, 1).tolist()]
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        own: dict[bytes, int] = {}
+        for k in range(0, len(new), AT_ONCE):
+            own.update(zip(new[k : k + AT_ONCE], self.of_words(new[k : k + AT_ONCE]).tolist()))
+        got = np.fromiter((known[w] if w in known else own[w] for w in words), np.int64, len(words))
+        if len(known) > REMEMBERED:
+            known.clear()
+        if len(own) <= REMEMBERED:
+            known.update(own)
+        return got
 
 
 def features(gains: np.ndarray) -> list[float]:
     if not len(gains):
         gains = np.zeros(1, np.int64)
+    total = float(np.maximum(gains, 0).sum())
     shares = [math.log1p(100 * float(np.mean(gains >= k))) for k in LEVELS]
-    return [1.0, float(gains.max()) / 5, math.log1p(float(np.maximum(gains, 0).sum())), *shares, math.log1p(float((gains >= 4).sum()))]
+    counts = [math.log1p(float((gains >= k).sum())) for k in LEVELS]
+    return [1.0, float(gains.max()) / 5, math.log1p(total), math.log1p(100 * total / len(gains)), *shares, *counts]
 
 
 def _trained(samples: list[bytes], rng: random.Random) -> bytes:
@@ -145,48 +157,131 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(map(float, w))
 
 
+def _codes(raw: bytes, n: int) -> np.ndarray:
+    """The distinct strings of n bytes (at most 8) within the words of a text, as numbers; a blank before a word counts as its first byte."""
+    held = np.frombuffer(b" " + raw, np.uint8).copy()
+    held[held <= 32] = 32
+    if len(held) < n:
+        return np.zeros(0, np.uint64)
+    stretch = np.lib.stride_tricks.sliding_window_view(held, n)
+    inside = (stretch[:, 1:] != 32).all(1)
+    out = np.zeros(int(inside.sum()), np.uint64)
+    for k in range(n):
+        out = out << np.uint64(8) | stretch[inside, k].astype(np.uint64)
+    return np.unique(out)
+
+
+def _marks(marked: list[bytes], plain: list[bytes]) -> frozenset[bytes]:
+    """Strings that many more of the toxic texts hold than of the ordinary ones."""
+    out: set[bytes] = set()
+    m, o = len(marked), len(plain)
+    for n in STRINGS if m and o else ():
+        codes = [np.concatenate([np.zeros(0, np.uint64), *(_codes(t, n) for t in g)]) for g in (marked, plain)]
+        names, at = np.unique(np.concatenate(codes), return_inverse=True)
+        a, c = np.bincount(at[: len(codes[0])], minlength=len(names)), np.bincount(at[len(codes[0]) :], minlength=len(names))
+        mean = (a + c) / (m + o)
+        z = (a / m - c / o) / np.sqrt(mean * (1 - mean) * (1 / m + 1 / o) + 1e-12)
+        chosen = names[(a >= LEAST_TEXTS) & (a / m >= TIMES * (c + 0.5) / o) & (z >= SURE)]
+        out.update(int(x).to_bytes(n, "big") for x in chosen)
+    return frozenset(out)
+
+
+def profile(raw: bytes) -> np.ndarray:
+    """How often a text has each byte, white space aside, on a unit sphere: texts of one script and alphabet are alike."""
+    held = np.bincount(np.frombuffer(raw, np.uint8), minlength=256).astype(float)
+    held[:33] = 0
+    held = np.sqrt(held)
+    return held / max(np.linalg.norm(held), 1e-12)
+
+
+def _kinds(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
+    """Centres of kinds of texts that are alike by profile (spherical k-means); kinds of too few texts are given up."""
+    x = np.array([profile(t) for t in texts])
+    centres = x[:1]
+    for _ in range(KINDS - 1):  # the text that is least like any centre so far, among those of some length
+        far = np.where(np.array([len(t) for t in texts]) >= 200, (x @ centres.T).max(1), 2.0)
+        centres = np.vstack([centres, x[int(far.argmin())]])
+    while True:
+        for _ in range(15):
+            own = (x @ centres.T).argmax(1)
+            sums = np.stack([x[own == k].sum(0) for k in range(len(centres))])
+            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        own = (x @ centres.T).argmax(1)
+        few = [k for k in range(len(centres)) if toxic[own == k].sum() < KIND_TEXTS or (~toxic[own == k]).sum() < KIND_TEXTS]
+        if not few or len(centres) == 1:
+            return centres
+        centres = np.delete(centres, min(few, key=lambda k: (own == k).sum()), axis=0)
+
+
+def kind_of(raw: bytes, centres: np.ndarray) -> int:
+    return int((centres @ profile(raw)).argmax())
+
+
+class Marked(dict):
+    """Whether a word holds a string of a set."""
+
+    def __init__(self, strings: frozenset[bytes]):
+        super().__init__()
+        self.strings = strings
+
+    def __missing__(self, word: bytes) -> bool:
+        held = b" " + word
+        got = self[word] = any(held[i : i + n] in self.strings for n in STRINGS for i in range(len(held) - n + 1))
+        return got
+
+
+def _stretches(texts: list[bytes], marked: Marked) -> list[bytes]:
+    """The words of toxic texts that hold a marked string, in runs of a few."""
+    out = []
+    for raw in texts:
+        words = [w[:WORD_BYTES] for w in raw.split() if marked[w]]
+        out += [b" " + b" ".join(words[k : k + RUN]) + b" " for k in range(0, len(words), RUN)]
+    return out
+
+
+def _without(texts: list[bytes], marked: Marked) -> list[bytes]:
+    return [b" ".join(w for w in raw.split() if not marked[w]) for raw in texts]
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 5) -> Model | None:
     """A model from labelled texts; None unless there are texts of both kinds with words.
 
-    Half of the ordinary texts go into the dictionaries, the others are set aside to measure what
-    ordinary windows gain; with a single one it does both.
+    Texts are parted in kinds by their bytes (script and alphabet); what marks toxic texts, and how much gain tells them apart, is found
+    for each kind. Two thirds of the texts of a kind make the dictionaries, the last third calibrates the score.
     """
     rng = random.Random(seed)
-    marked = [lowered(t) for t, y in zip(texts, toxic, strict=True) if y]
-    plain = [lowered(t) for t, y in zip(texts, toxic, strict=True) if not y]
-    rng.shuffle(plain)
-    rng.shuffle(marked)
-    cut = lambda raw, at: [raw[a : a + n] for a, n in at.tolist()]
-    placed = lambda group: [(raw, windows(raw)) for raw in group]
-    pieces = [p for raw, at in placed(plain[::2]) for p in cut(raw, at)]
-    rng.shuffle(pieces)
-    shared = b"\n".join(pieces)[:SHARED_BYTES]
-    folds = [placed(marked[k::2] or marked) for k in (0, 1)]
-    aside = plain[1::2] or plain
-    asides = [placed(aside[k::2] or aside) for k in (0, 1)]
-    hard = [[p for raw, at in fold for p in cut(raw, at)] for fold in folds]
-    lucky = [pieces[: SAMPLES // 2]] * 2
-    if not pieces or not all(hard):
+    rows = [(lowered(t), bool(y)) for t, y in zip(texts, toxic, strict=True)]
+    rng.shuffle(rows)
+    cut = lambda raw: [raw[a : a + n] for a, n in windows(raw).tolist()]
+    if len({y for raw, y in rows if raw.split()}) < 2:
         return None
-    for width in (*NARROWED, None):
-        of_plain, of_marked = [], []
-        better, unlucky = [[], []], [[], []]
-        for k in (0, 1):
-            distances = Distances(shared, _trained(lucky[1 - k], rng), _trained(hard[1 - k], rng))
-            low = [distances.gains(raw, at) for raw, at in asides[k]]
-            high = [distances.gains(raw, at) for raw, at in folds[k]]
-            of_plain, of_marked = of_plain + low, of_marked + high
-            if width:
-                least = max(1.0, float(np.quantile(np.concatenate(low), BEATEN)))
-                best = lambda group, keep: [q for (raw, at), ok in zip(group, keep) for p in cut(raw, at[ok]) for q in distances.best(p, width)]  # noqa: B023, E731
-                better[k] = best(folds[k], [g > least for g in high])
-                unlucky[k] = best(asides[k], [g >= least for g in low])
-        if not width or not all(better):
-            break
-        hard, lucky = better, [u + pieces[: SAMPLES // 20] for u in unlucky]
-    x = np.array([features(g) for g in of_marked + of_plain])
-    y = np.array([1.0] * len(of_marked) + [0.0] * len(of_plain))
-    return Model(shared, _trained(lucky[0] + lucky[1], rng), _trained(hard[0] + hard[1], rng), _fit(x, y))
+    centres = _kinds([raw for raw, _ in rows], np.array([y for _, y in rows]))
+    kinds: list[tuple[list[bytes], list[bytes]]] = [([], []) for _ in centres]
+    for raw, y in rows:
+        kinds[kind_of(raw, centres)][0 if y else 1].append(raw)
+    pieces, hard = [], []
+    seen = lambda group: [t for k, t in enumerate(group) if k % 3 < 2] if len(group) > 2 else group
+    for bad, good in kinds:
+        known = Marked(_marks(seen(bad), seen(good)))
+        pieces += [p for raw in _without(seen(good), known) for p in cut(raw)]
+        hard += _stretches(seen(bad), known)
+    rng.shuffle(pieces)
+    hard = hard or [p for bad, _ in kinds for raw in seen(bad) for p in cut(raw)]
+    parts = b"\n".join(pieces)[:SHARED_BYTES], _trained(pieces, rng), _trained(hard, rng)
+    distances, x, y = Distances(*parts), [], []
+    for k, groups in enumerate(kinds):
+        for label, group in zip((1.0, 0.0), groups):
+            for raw in group[2::3] or group:  # what the dictionaries have not seen
+                x.append(by_kind(features(distances.gains(raw)), k, len(centres)))
+                y.append(label)
+    return Model(*parts, centres, _fit(np.array(x), np.array(y)))
+
+
+def by_kind(values: list[float], kind: int, kinds: int) -> list[float]:
+    """Features of a text for the logistic model: common ones, and for its kind a level and a slope of its own."""
+    own = [0.0] * (2 * kinds)
+    own[2 * kind : 2 * kind + 2] = [1.0, values[3]]
+    return values + own
 
 
 def held_out(id_col: str) -> F.Column:
@@ -239,7 +334,13 @@ def _scorer(model: Model | None):
     if model is None:
         return lambda text: 0.0
     distances = Distances(model.shared, model.ordinary, model.toxic)
-    return lambda text: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(distances.features(text), model.weights))))))
+
+    def score(text: str) -> float:
+        raw = lowered(text)
+        values = by_kind(features(distances.gains(raw)), kind_of(raw, model.centres), len(model.centres))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(values, model.weights))))))
+
+    return score
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -238,7 +238,21 @@ def test_toxicity(spark):
     assert toxicity.windows(b"").shape == (0, 2) and toxicity.windows(b" \t\n ").shape == (0, 2)
     long = b" uno " * 3 + b"x" * 1000 + b" dos"
     at = toxicity.windows(long)
-    assert at[0, 0] == 1 and int(at[-1].sum()) == len(long) and int(at[:, 1].max()) <= toxicity.WINDOW * (toxicity.WORD_BYTES + 2)
+    assert at[0, 0] == 1 and int(at[-1].sum()) == len(long) and int(at[:, 1].max()) <= toxicity.PIECE * (toxicity.WORD_BYTES + 2)
+
+
+def test_toxicity_on_the_given_table_by_language(spark):
+    from notegrid.llm import queries
+
+    got = queries.op7_toxicity(spark, "/root/testdata/sf0.1").filter("held_out")
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    truth = read("labels").groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "toxic").filter("toxic IS NOT NULL")
+    rows = got.join(truth, "doc_id").join(read("documents").select("doc_id", "lang"), "doc_id").collect()
+    for lang, recall in ((None, 0.82), ("en", 0.82), ("de", 0.8), ("fr", 0.8), ("es", 0.5)):  # 21 toxic texts in Spanish to learn from
+        own = [r for r in rows if lang in (None, r.lang)]
+        hit = sum(r.predicted and r.toxic for r in own)
+        assert hit >= recall * sum(r.toxic for r in own), lang
+        assert hit >= 0.9 * sum(r.predicted for r in own) > 0, lang
 
 
 @pytest.mark.parametrize("sent", [200_000, 0])
