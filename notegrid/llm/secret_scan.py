@@ -1,7 +1,8 @@
 """Secrets in texts, also inside nested encodings.
 
-A worklist holds layers: the text itself, then every percent, backslash-u, base64 (on one line or
-wrapped over several) and compressed run that decodes. Each layer is scanned by the same patterns and searched for further runs, until
+A worklist holds layers: the text itself, then every percent, backslash, base64 (on one line or
+wrapped over several) and compressed run that decodes, whatever it decodes to: bytes are read as Latin-1, which keeps all of ASCII in its place,
+and without their NULs too, which is how the ASCII of UTF-16 and UTF-32 comes out. Each layer is scanned by the same patterns and searched for further runs, until
 no new layer comes up; a layer seen before (same content, same place) ends its branch. What is
 found in a decoded layer is reported at the run of the original text that holds it.
 """
@@ -38,7 +39,9 @@ RUN = re.compile(r"[^\x20\x09-\x0D]+")
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]{4,}+)++={0,2}+(?![A-Za-z0-9+/_=-])")
-ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
+ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,8})\}|U([0-9A-Fa-f]{8})|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+#: A percent sign that is encoded over and over; it is unwrapped at once, and counts as one layer.
+NESTED = re.compile(r"%(?:25){4,}([0-9A-Fa-f]{2})")
 
 
 def scan(text: str):
@@ -54,11 +57,17 @@ def scan(text: str):
         yield "hex", m.start(), m.end()
 
 
-def as_text(raw: bytes) -> str | None:
-    """Text of bytes that are UTF-8 and printable but for a tenth; bad bytes are replaced."""
-    text = raw.decode("utf-8", "replace")
-    odd = sum(1 for c in text if c == "\ufffd" or (not c.isprintable() and c not in "\t\n\r"))
-    return text if text and odd * 10 <= len(text) else None
+def readings(raw: bytes) -> Iterator[str]:
+    """Bytes as text, and without NULs if there are any."""
+    if raw:
+        yield raw.decode("latin-1")
+        if b"\0" in raw:
+            yield raw.replace(b"\0", b"").decode("latin-1")
+
+
+def unescaped(m: re.Match) -> str:
+    code = int(m[m.lastindex], 16)
+    return chr(code) if code <= 0x10FFFF else m[0]
 
 
 def compressed(head: bytes) -> bool:
@@ -98,11 +107,10 @@ def pieces(blocks: Iterator[bytes]) -> Iterator[str]:
     held, kept, seen = bytearray(), 0, set()
 
     def piece(raw: bytes):
-        text = raw.decode("utf-8", "replace")
         mark = xxhash.xxh3_128_intdigest(raw)
         if mark not in seen:
             seen.add(mark)
-            yield text
+            yield from readings(raw)
 
     for block in blocks:
         held += block
@@ -134,13 +142,8 @@ def unwrapped(run: str) -> Iterator[str]:
     except (binascii.Error, ValueError):
         return
     if not compressed(raw):
-        if text := as_text(raw):
-            yield text
-            return
-        blocks = inflated(iter((raw,)), -15)
-        first = next(blocks, b"")
-        if as_text(first[:4096]):
-            yield from pieces(itertools.chain((first,), blocks))
+        yield from readings(raw)
+        yield from pieces(inflated(iter((raw,)), -15))
         return
     blocks, head, seen = iter((raw,)), raw, set()
     while compressed(head) and head not in seen:
@@ -160,14 +163,15 @@ def decoded_runs(text: str):
     """(start, end, text) of every run of a layer that decodes to something else."""
     if "%" in text:
         for m in RUN.finditer(text):
-            if PERCENT.search(m[0]) and (inner := unquote_to_bytes(m[0]).decode("utf-8", "replace")) != m[0]:
-                yield m.start(), m.end(), inner
-    if "\\u" in text:
+            if PERCENT.search(m[0]):
+                for inner in readings(unquote_to_bytes(NESTED.sub(r"%\1", m[0]).encode("latin-1", "replace"))):
+                    yield m.start(), m.end(), inner
+    if "\\" in text:
         for m in RUN.finditer(text):
-            units = ESCAPE.sub(lambda x: chr(int(x[1], 16)), m[0])
-            inner = units.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-            if inner != m[0]:
+            if (inner := ESCAPE.sub(unescaped, m[0])) != m[0]:
                 yield m.start(), m.end(), inner
+                if "\0" in inner:
+                    yield m.start(), m.end(), inner.replace("\0", "")
     for m in BASE64.finditer(text):
         for inner in unwrapped(m[0]):
             yield m.start(), m.end(), inner
