@@ -110,20 +110,20 @@ def _first_in_batch(same: list[np.ndarray], place: list[np.ndarray]) -> tuple[np
     return first, later
 
 
-BLOCKS = "key long, block long, d long, start int, n int, kind int, src long, at int"
+BLOCKS = "key long, block long, d long, start int, n int, kind int, src long, at int, t long"
 
 
 def _dealt(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Rows of BLOCKS from (key, block, d, start, n); rows known to come later in the corpus have their source and are dealt by their id."""
+    """Rows of BLOCKS from (key, block, d, start, n, t); rows known to come later in the corpus have their source and are dealt by their id."""
     if not parts:
         return
-    key, block, d, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, block, d, start, n, t = (np.concatenate(x) for x in zip(*parts, strict=True))
     if not len(key):
         return
     first, later = _first_in_batch([key, block], [d, start])
     dealt = np.where(later, _mixed(d.view(np.uint64)), key).view(np.int64)
-    cols = [dealt, block.view(np.int64), d, start.astype(np.int32), n.astype(np.int32), np.where(later, LATER, FIRST).astype(np.int32), d[first], start[first].astype(np.int32)]
-    names = ["key", "block", "d", "start", "n", "kind", "src", "at"]
+    cols = [dealt, block.view(np.int64), d, start.astype(np.int32), n.astype(np.int32), np.where(later, LATER, FIRST).astype(np.int32), d[first], start[first].astype(np.int32), t]
+    names = ["key", "block", "d", "start", "n", "kind", "src", "at", "t"]
     for a in range(0, len(key), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in cols], names=names)
 
@@ -133,24 +133,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = word_hashes()
     for batch in batches:
         parts = []
-        for ids, texts, _ in _parts(batch):
+        for ids, texts, (marks,) in _parts(batch):
             owner, start, window, picked, phrase = windows_of(texts, hashes)
             if not len(owner):
                 continue
             lo = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
             hi = np.append(lo[1:], len(owner)) - 1
             block = _mixed(window[lo] * _power(2) + window[hi] * _power(1) + (hi - lo).astype(np.uint64))
-            parts.append((phrase[lo], block, ids[owner[lo]], start[lo], hi - lo + 1))
+            parts.append((phrase[lo], block, ids[owner[lo]], start[lo], hi - lo + 1, marks.to_numpy()[owner[lo]]))
         yield from _dealt(parts)
     pa.default_memory_pool().release_unused()
 
 
-SPANS = "d long, start int, n int, kind int, src long, at int"
+SPANS = "d long, start int, n int, kind int, src long, at int, t long"
 
 
-def _spans(d, start, n, kind, src, at) -> pa.RecordBatch:
-    cols = [d, start, n, np.asarray(kind, np.int32), src, at]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["d", "start", "n", "kind", "src", "at"])
+def _spans(d, start, n, kind, src, at, t) -> pa.RecordBatch:
+    cols = [d, start, n, np.asarray(kind, np.int32), src, at, t]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["d", "start", "n", "kind", "src", "at", "t"])
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if known.any():
             yield _spans(*(c[known] for c in cols[2:]))
             cols = [c[~known] for c in cols]
-        keys, blocks, d, start, n = cols[:5]
+        keys, blocks, d, start, n, t = *cols[:5], cols[8]
         if not len(keys):
             continue
         new_key = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
@@ -186,18 +186,19 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if many[0] and waiting is not None:
                 yield waiting
                 waiting = None
-        boundary = new_block & many[run]
+        # rows of other texts under the same id, at the same place, are first ones too; they are always taken apart
+        boundary = (new_block & many[run]) | (~new_block & ~later)
         kind = np.where(later, LATER, BOUNDARY)[later | boundary]
         if len(kind):
             pick = later | boundary
-            yield _spans(d[pick], start[pick], n[pick], kind, head_d[of][pick], head_start[of][pick])
+            yield _spans(d[pick], start[pick], n[pick], kind, head_d[of][pick], head_start[of][pick], t[pick])
         if new_key.any():
             waiting = None
         several = bool(many[run[-1]])
         last_run_heads = heads[run[heads] == run[-1]]
         if not several and len(last_run_heads):
             i = last_run_heads[0]
-            waiting = _spans(d[i : i + 1], start[i : i + 1], n[i : i + 1], [BOUNDARY], d[i : i + 1], start[i : i + 1])
+            waiting = _spans(d[i : i + 1], start[i : i + 1], n[i : i + 1], [BOUNDARY], d[i : i + 1], start[i : i + 1], t[i : i + 1])
         key, block, first = keys[-1], blocks[-1], (head_d[of[-1]], head_start[of[-1]])
 
 
@@ -206,12 +207,12 @@ def _boundary_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     hashes = word_hashes()
     for batch in batches:
         parts = []
-        for ids, texts, (spans,) in _parts(batch):
+        for ids, texts, (spans, marks) in _parts(batch):
             owner, start, window, _, phrase = windows_of(texts, hashes)
             if not len(owner):
                 continue
             at = np.flatnonzero(_covered(spans, np.bincount(owner, minlength=len(spans))))
-            parts.append((window[at], phrase[at], ids[owner[at]], start[at], np.ones(len(at), np.int32)))
+            parts.append((window[at], phrase[at], ids[owner[at]], start[at], np.ones(len(at), np.int32), marks.to_numpy()[owner[at]]))
         yield from _dealt(parts)
     pa.default_memory_pool().release_unused()
 
@@ -249,17 +250,19 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text_col).cast("string").alias("text"))
+    """d, text and t, a hash of the text: rows that repeat an id have spans of their own, and equal rows have equal ones."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), text.alias("text"), F.xxhash64(text).alias("t"))
 
 
 def _copies(texts: DataFrame) -> DataFrame:
-    """d, start, n, src, at: n windows of d in a row from start on that stand earlier, in src from at on."""
-    dealt = texts.mapInArrow(_blocks, BLOCKS).repartition("key")
+    """d, t, start, n, src, at: n windows of the text t of d in a row from start on that stand earlier, in src from at on."""
+    dealt = texts.select("d", "text", "t").mapInArrow(_blocks, BLOCKS).repartition("key")
     found = saved(dealt.sortWithinPartitions("key", "block", "d", "start").mapInArrow(_looked_up, SPANS), "blocks")
-    asked = found.filter(F.col("kind") == BOUNDARY).groupBy("d").agg(_as_list())
+    asked = found.filter(F.col("kind") == BOUNDARY).groupBy("d", "t").agg(_as_list())
     ends = (
-        texts.join(asked, "d")
-        .select("d", "text", "spans")
+        texts.join(asked, ["d", "t"])
+        .select("d", "text", "spans", "t")
         .mapInArrow(_boundary_windows, BLOCKS)
         .repartition("key")
         .sortWithinPartitions("key", "block", "d", "start")
@@ -272,45 +275,51 @@ def _as_list():
     return F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))).alias("spans")
 
 
+def _factors(copies: DataFrame) -> DataFrame:
+    """d, t, start, n_words, src, source_start: copies that go on at the same distance from their source, joined."""
+    shifted = copies.distinct().withColumn("shift", F.col("at") - F.col("start"))
+    order = Window.partitionBy("d", "t", "src", "shift").orderBy("start")
+    new = F.coalesce(F.col("start") > F.lag(F.col("start") + F.col("n")).over(order), F.lit(True))
+    joined = (
+        shifted.withColumn("new", new.cast("int"))
+        .withColumn("factor", F.sum("new").over(order))
+        .groupBy("d", "t", "src", "shift", "factor")
+        .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
+    )
+    return joined.select(
+        "d", "t", F.col("start").cast("long").alias("start"), (F.col("end") - F.col("start") + WINDOW - 1).cast("long").alias("n"),
+        "src", (F.col("start") + F.col("shift")).cast("long").alias("source_start"),
+    )
+
+
 def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, n_words, source_id, source_start: the factors of 20 words or more, in words from 0 on.
 
     The n_words words from start on stand in the same order in the source (a document of a smaller id,
     or an earlier place of the same one) from source_start on. Factors may overlap by up to 19 words. Null
-    and empty texts have none; texts of any length are parsed whole; rows that repeat an id are one
-    document; null ids come before all others. An empty table gives no rows.
+    and empty texts have none; texts of any length are parsed whole; each row that repeats an id has factors
+    of its own, equal rows once; null ids come before all others. An empty table gives no rows. Ids are cast to long.
     """
-    copies = _copies(_named(docs, id_col, text_col)).distinct().withColumn("shift", F.col("at") - F.col("start"))
-    order = Window.partitionBy("d", "src", "shift").orderBy("start")
-    new = F.coalesce(F.col("start") > F.lag(F.col("start") + F.col("n")).over(order), F.lit(True))
-    joined = (
-        copies.withColumn("new", new.cast("int"))
-        .withColumn("factor", F.sum("new").over(order))
-        .groupBy("d", "src", "shift", "factor")
-        .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
-    )
     kind = docs.schema[id_col].dataType
     id_of = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).cast(kind)
-    return joined.select(
-        id_of("d").alias("doc_id"), F.col("start").cast("long").alias("start"), (F.col("end") - F.col("start") + WINDOW - 1).cast("long").alias("n_words"),
-        id_of("src").alias("source_id"), (F.col("start") + F.col("shift")).cast("long").alias("source_start"),
-    )
+    return _factors(_copies(_named(docs, id_col, text_col))).select(
+        id_of("d").alias("doc_id"), "start", F.col("n").alias("n_words"), id_of("src").alias("source_id"), "source_start"
+    )
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by a space) for every row of docs.
 
-    A word goes if a window of 20 words that covers it also starts earlier: in a document of a
+    A word goes if a factor covers it, which is to say: if a window of 20 words that covers it also starts earlier, in a document of a
     smaller id, or before it in the same one; windows are those of the input. Null and empty texts
-    have no words; texts of any length are looked at whole. Rows that repeat an id count as one document, whose spans apply to each of them; a
-    null id comes before all others. An empty table gives no rows; other columns are not looked at.
+    have no words; texts of any length are looked at whole. Rows that repeat an id are texts of their own, of which none is earlier
+    than the other at the same place; a null id comes before all others. Ids are cast to long. An empty table gives no rows; other columns are not looked at.
     """
     texts = _named(docs, id_col, text_col)
-    # a window that starts earlier takes its 20 words with it
-    spans = _copies(texts).withColumn("n", F.col("n") + WINDOW - 1).groupBy("d").agg(_as_list())
+    spans = _factors(_copies(texts)).groupBy("d", "t").agg(_as_list())
     none = F.array().cast("array<struct<start:bigint,n:bigint>>")
     out = (
-        texts.join(spans, "d", "left")
+        texts.join(spans, ["d", "t"], "left")
         .select("d", "text", F.coalesce("spans", none).alias("spans"))
         .mapInArrow(_kept, "d long, n_words long, n_removed long, kept string")
     )

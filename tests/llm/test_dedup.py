@@ -252,3 +252,43 @@ def test_repeats_awkward(spark):
     got = rlz.drop_repeats(frame(spark, [(5, long, *[None] * 8), (5, long, *[None] * 8), (None, long, *[None] * 8)])).collect()
     assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (5, 30), (5, 30)]
     assert rlz.drop_repeats(frame(spark, [])).count() == 0
+
+
+def brute_by_row(rows):
+    """Rows (id, text) of which ids may repeat: windows at (id, start), null before all."""
+    key = lambda i, a: (i is not None, i or 0, a)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    first = {}
+    for (i, _), w in zip(rows, words):
+        for a in range(len(w) - 19):
+            k = tuple(w[a : a + 20])
+            first[k] = min(first.get(k, key(i, a)), key(i, a))
+    out = []
+    for (i, _), w in zip(rows, words):
+        gone = set()
+        for a in range(len(w) - 19):
+            if first[tuple(w[a : a + 20])] < key(i, a):
+                gone.update(range(a, a + 20))
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("batch", ["10000", "1"])
+def test_rows_that_repeat_an_id_keep_what_is_theirs(spark, batch):
+    import random
+
+    rng = random.Random(6)
+    a, unique = prose(rng, 30), " ".join(f"u{i}" for i in range(60))
+    rows = []
+    for i in (None, 9):
+        rows += [(i, f"{a} {a}"), (i, unique if i is None else unique.replace("u", "v"))]
+    base = prose(rng, 60).split()
+    for i in (12, 12, 12, 20, None):  # texts of one id that begin alike and part later
+        rows.append((i, " ".join([*base[: rng.choice([25, 31, 40])], *prose(rng, 30).split(), *base[30:]])))
+    rows += [(12, rows[-3][1]), (30, ""), (30, None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = rlz.drop_repeats(frame(spark, [(*r, *[None] * 8) for r in rows]).repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=repr) == brute_by_row(rows)
