@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import ahocorasick
 import pyarrow as pa
@@ -244,31 +245,36 @@ def retrieve(
     edges = links.filter(F.col("target_id").isNotNull()).select("source", F.col("target_id").alias("target"))
     own = F.col("question")
     meant = queries.withColumn("question", F.coalesce("context_question", own) if "context_question" in queries.columns else own).select("query_id", "question")
-    routes = kept(route(meant.join(alive, "query_id", "left_semi"), sem_docs, g.alias_index(docs), edges, p), "routes")
-
-    terms = queries.join(alive, "query_id", "left_semi").select("query_id", lexical_terms(F.col("question")).alias("terms"))
-    exploded = terms.select("query_id", F.explode("terms").alias("term"))
-    # words weigh as they do in the whole index; of the filters only the status holds before the limit
-    status = filters.get("status")
-    passing = r.filtered(chunks, status=status) if status and status.strip() else None
-    if fulltext is None:
-        bm = r.bm25_topk(exploded, chunks, 2 * limit, p.bm25_k1, p.bm25_b, passing=passing)
-    else:
-        bm = search(exploded, fulltext, 2 * limit, p.bm25_k1, p.bm25_b, passing)
-    bm = bm.join(where.select("chunk_id"), "chunk_id", "left_semi")
-    texts = pool.select("chunk_id", F.concat_ws(" ", "title", "heading", "content", "path").alias("text"))
-    lexical = kept(r.coverage_gate(bm, texts, terms).filter(F.col("rank") <= limit), "lexical")
-
-    on = routes.filter("graph_weight > 0").select("query_id", "graph_weight")
-    starts = g.seeds_of(sem_docs.join(on, "query_id", "left_semi"), p.graph_seeds)
-    reached = kept(g.propagate(starts, edges, 1, p.graph_decay, p.graph_backlink), "reached")
-    vector = F.coalesce("context_embedding", "embedding").cast("array<double>")
-    sims = (
-        reached.join(pool.select("doc_id", "chunk_id", F.col("embedding").cast("array<double>").alias("v")), "doc_id")
-        .join(queries.select("query_id", vector.alias("q")), "query_id")
-        .select("query_id", "doc_id", "chunk_id", r.cosine(F.col("q"), F.col("v")).alias("score"))
-    )
-    graph = kept(g.graph_candidates(sem_docs, edges, sims, p.graph_max_candidates, reached), "graph")
+
+    def by_words() -> DataFrame:
+        terms = queries.join(alive, "query_id", "left_semi").select("query_id", lexical_terms(F.col("question")).alias("terms"))
+        exploded = terms.select("query_id", F.explode("terms").alias("term"))
+        # words weigh as they do in the whole index; of the filters only the status holds before the limit
+        status = filters.get("status")
+        passing = r.filtered(chunks, status=status) if status and status.strip() else None
+        if fulltext is None:
+            bm = r.bm25_topk(exploded, chunks, 2 * limit, p.bm25_k1, p.bm25_b, passing=passing)
+        else:
+            bm = search(exploded, fulltext, 2 * limit, p.bm25_k1, p.bm25_b, passing)
+        bm = bm.join(where.select("chunk_id"), "chunk_id", "left_semi")
+        texts = pool.select("chunk_id", F.concat_ws(" ", "title", "heading", "content", "path").alias("text"))
+        return kept(r.coverage_gate(bm, texts, terms).filter(F.col("rank") <= limit), "lexical")
+
+    # words and links do not need each other, so the texts are searched while questions are routed and links followed
+    with ThreadPoolExecutor(1) as beside:
+        lexical_job = beside.submit(by_words)
+        routes = kept(route(meant.join(alive, "query_id", "left_semi"), sem_docs, g.alias_index(docs), edges, p), "routes")
+        on = routes.filter("graph_weight > 0").select("query_id", "graph_weight")
+        starts = g.seeds_of(sem_docs.join(on, "query_id", "left_semi"), p.graph_seeds)
+        reached = kept(g.propagate(starts, edges, 1, p.graph_decay, p.graph_backlink), "reached")
+        vector = F.coalesce("context_embedding", "embedding").cast("array<double>")
+        sims = (
+            reached.join(pool.select("doc_id", "chunk_id", F.col("embedding").cast("array<double>").alias("v")), "doc_id")
+            .join(queries.select("query_id", vector.alias("q")), "query_id")
+            .select("query_id", "doc_id", "chunk_id", r.cosine(F.col("q"), F.col("v")).alias("score"))
+        )
+        graph = kept(g.graph_candidates(sem_docs, edges, sims, p.graph_max_candidates, reached), "graph")
+        lexical = lexical_job.result()
 
     # the weight of the links depends on the route, so questions are fused by class
     classes = []
