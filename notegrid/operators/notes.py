@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markdown import blocks_meta
-from ..functions.text import est_tokens, fold_letters, parse_date, stem, stripped
+from ..functions.text import bound, est_tokens, fold_letters, parse_date, stem, stripped
 from ..params import DEPRECATION_CALLOUTS, REVIEW_KEYS, VALID_FROM_KEYS, VALID_UNTIL_KEYS
 
 # Patterns that define the note format.
@@ -51,34 +51,43 @@ def parse_frontmatter(notes: DataFrame, raw: str = "raw") -> DataFrame:
     count. Text without a block at its very start is all body with empty maps; a block with a line that is none of
     these has the key _yaml_error and no other. Of keys that repeat the last counts.
     """
-    front = F.regexp_extract(raw, FRONT, 1)
-    has = F.col(raw).rlike(FRONT)
-    spoken = F.array_join(F.filter(F.split(front, "\n"), lambda x: (stripped(x) != "") & ~x.rlike(r"^\s*#")), "\n")
-    lines = F.split(F.regexp_replace(spoken, r"\n[ \t]*-[ \t]+", ITEM), "\n")  # items join the line of their key
+    # Each step is evaluated once a row: a column that a lambda or a later column names more than once is bound first.
     keyed = r"^([^:\x01]+):(?=[\s\x01]|$)"
-    good = F.filter(lines, lambda x: x.rlike(keyed))
     value = lambda x: F.regexp_replace(x, keyed, "")
-    listed = lambda x: value(x).rlike(r"\x01|^\s*\[.*\]\s*(?:#.*)?$")
-    pairs = F.transform(
-        good,
-        lambda x: F.struct(
-            _scalar(F.regexp_extract(x, keyed, 1)).alias("key"),
-            F.when(listed(x), F.array_join(_items(value(x)), ", ")).otherwise(_scalar(value(x))).alias("value"),
-            F.when(listed(x), _items(value(x))).alias("items"),
-        ),
-    )
-    latest = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    odd = F.filter(lines, lambda x: (x != "") & ~x.rlike(keyed))
-    broken = F.size(odd) > 0
-    error = F.create_map(F.lit("_yaml_error"), F.lit("true"))
-    entries = lambda p, field: F.map_from_entries(F.transform(p, lambda x: F.struct(x["key"].alias("key"), x[field].alias("value"))))
-    with_items = F.filter("__latest", lambda p: p["items"].isNotNull())
+
+    def lines_of(front: Column) -> Column:
+        spoken = F.array_join(F.filter(F.split(front, "\n"), lambda x: (stripped(x) != "") & ~x.rlike(r"^\s*#")), "\n")
+        return F.split(F.regexp_replace(spoken, r"\n[ \t]*-[ \t]+", ITEM), "\n")  # items join the line of their key
+
+    def pair(x: Column) -> Column:
+        key, plain, items = _scalar(F.regexp_extract(x, keyed, 1)), _scalar(value(x)), _items(value(x))
+        listed = value(x).rlike(r"\x01|^\s*\[.*\]\s*(?:#.*)?$")
+        as_list = lambda i: F.struct(key.alias("key"), F.array_join(i, ", ").alias("value"), i.alias("items"))
+        single = F.struct(key.alias("key"), plain.alias("value"), F.lit(None).cast("array<string>").alias("items"))
+        return F.when(listed, bound(items, as_list)).otherwise(single)
+
+    def latest(pairs: Column) -> Column:
+        return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+
+    def read(lines: Column) -> Column:
+        broken = F.exists(lines, lambda x: (x != "") & ~x.rlike(keyed))
+        pairs = F.transform(F.filter(lines, lambda x: x.rlike(keyed)), pair)
+        return F.struct(broken.alias("broken"), bound(pairs, latest).alias("latest"))
+
+    def maps(whole: Column) -> Column:
+        """Both maps of a text whose block is whole ('' if there is none)."""
+        none = F.struct(F.create_map().cast("map<string,string>").alias("metadata"), F.create_map().cast("map<string,array<string>>").alias("lists"))
+        error = F.struct(F.create_map(F.lit("_yaml_error"), F.lit("true")).alias("metadata"), F.create_map().cast("map<string,array<string>>").alias("lists"))
+        entries = lambda p, field: F.map_from_entries(F.transform(p, lambda x: F.struct(x["key"].alias("key"), x[field].alias("value"))))
+        good = lambda p: F.struct(entries(p, "value").alias("metadata"), entries(F.filter(p, lambda x: x["items"].isNotNull()), "items").alias("lists"))
+        found = bound(bound(lines_of(F.regexp_extract(whole, FRONT, 1)), read), lambda r: F.when(r["broken"], error).otherwise(good(r["latest"])))
+        return F.when(whole != "", found).otherwise(none)
+
     return (
-        notes.withColumn("__latest", latest)
-        .withColumn("metadata", F.when(has & broken, error).when(has, entries("__latest", "value")).otherwise(F.create_map().cast("map<string,string>")))
-        .withColumn("lists", F.when(has & ~broken, entries(with_items, "items")).otherwise(F.create_map().cast("map<string,array<string>>")))
-        .withColumn("body", F.when(has, F.regexp_replace(raw, FRONT, "")).otherwise(F.coalesce(F.col(raw), F.lit(""))))
-        .drop("__latest")
+        notes.withColumn("__maps", bound(F.regexp_extract(raw, FRONT, 0), maps))
+        .withColumns({"metadata": F.col("__maps.metadata"), "lists": F.col("__maps.lists")})
+        .withColumn("body", F.coalesce(bound(F.col(raw), lambda x: F.substring(x, F.length(F.regexp_extract(x, FRONT, 0)) + 1, F.length(x))), F.lit("")))
+        .drop("__maps")
     )
 
 
@@ -89,7 +98,7 @@ def _meta(key: str) -> Column:
 def with_title_status(notes: DataFrame) -> DataFrame:
     """title: first of titulo, title, nombre, the first # heading, the file stem. status: estado, or status if there is no estado."""
     heading = F.nullif(F.regexp_extract("body", r"(?m)^#[ \t]+(.+?)[ \t]*$", 1), F.lit(""))
-    own = F.when(F.map_contains_key("metadata", F.lit("estado")), F.col("metadata")["estado"]).otherwise(F.col("metadata")["status"])
+    own = bound(F.col("metadata"), lambda m: F.when(F.map_contains_key(m, F.lit("estado")), m["estado"]).otherwise(m["status"]))
     return notes.withColumn("title", F.coalesce(_meta("titulo"), _meta("title"), _meta("nombre"), heading, stem(F.col("path")))).withColumn(
         "status", F.lower(stripped(F.coalesce(own, F.lit(""))))
     )
