@@ -4,7 +4,8 @@ A token sequence of a word is its BPE encoding if each token encodes to itself a
 crosses the boundary of two neighbours. Greedy longest match proposes a sequence; all boundaries of
 all new words of a batch are then checked at once in numpy; words that fail are merged exactly.
 Texts are cut at ASCII white space, which the vocabulary's splitter never crosses, and each task
-remembers the encoding of the chunks it has met.
+remembers the encoding of the chunks it has met. Cutting, numbering the chunks of a batch and putting
+their ids together again is Arrow's work; Python sees each different chunk of a batch once.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ GONE = -1
 #: What the file's normalizer and splitter come to on lower-case printable ASCII, and the digest of the rules for which that holds.
 ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\x20]+").findall
 ASCII_RULES = "d5be8fc62f03c6f970615877744b6fb5"
-SPACES = str.maketrans("\t\n\v\f\r", "     ")
+#: Symbols up to which a word is merged by the least of a list, and characters that the library splits at once.
+SHORT, SPLIT_AT_ONCE = 64, 20_000
+#: Bytes of texts, but for those of one, that a task takes apart at once.
+TEXT_BYTES = 8 << 20
 
 
 class Vocabulary:
@@ -60,6 +64,8 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(self.ids[a], self.ids[b]): (r, self.ids[a + b]) for r, (a, b) in reversed(list(enumerate(pairs)))}
+        self.width = max(self.texts) + 1
+        self.codes = {pair: r * self.width + t for pair, (r, t) in self.ranks.items()}
         rules = json.dumps([spec["normalizer"], spec["pre_tokenizer"]], sort_keys=True)
         self.ascii_split = ASCII_SPLIT if hashlib.md5(rules.encode()).hexdigest() == ASCII_RULES else None
         self.known_words: dict[str, bytes] = {}
@@ -80,7 +86,6 @@ class Vocabulary:
                 self.odd.add(t)  # made in two ways, or before its parts: never proposed
             else:
                 self.made[t], self.left[t], self.right[t] = r, a, b
-        self.width = n
         keys = np.array([a * n + b for a, b in self.ranks], np.int64)
         order = np.argsort(keys)
         self.keys = keys[order]
@@ -101,9 +106,11 @@ class Vocabulary:
     def merged(self, parts: list[int]) -> list[int]:
         """Exact merging: the earliest learnt pair first, the leftmost of equals.
 
-        Pairs wait in a heap by (rank, place); parts are a linked list, so a word of n characters costs
-        O(n log n). An entry whose left part has changed since is passed over.
+        A short word looks for the least rank in a list. In longer ones pairs wait in a heap by (rank,
+        place); parts are a linked list, so a word of n characters costs O(n log n). An entry whose left part has changed since is passed over.
         """
+        if len(parts) <= SHORT:
+            return self._merged_short(list(parts))
         ids, find = list(parts), self.ranks.get
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -124,6 +131,20 @@ class Vocabulary:
                 heappush(heap, (r[0], h, ids[h], whole, r[1]))
         return [t for t in ids if t != GONE]
 
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        never = 1 << 62
+        find, width = self.codes.get, self.width
+        codes = [find(pair, never) for pair in zip(ids, ids[1:])]
+        while codes and (least := min(codes)) != never:
+            i, whole = codes.index(least), least % width
+            ids[i : i + 2] = (whole,)
+            del codes[i]
+            if i:
+                codes[i - 1] = find((ids[i - 1], whole), never)
+            if i < len(codes):
+                codes[i] = find((whole, ids[i + 1]), never)
+        return ids
+
     def proposed(self, word: str) -> list[int] | None:
         """Greedy longest match over a word, whose last token carries the suffix; None where nothing matches."""
         out, at, n, own, longest, suffix = [], 0, len(word), self.own, self.longest, self.suffix
@@ -182,12 +203,16 @@ class Vocabulary:
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids, as int32 bytes, of chunks without ASCII white space."""
-        pieces, words = [], {}
+        pieces, words, other = [], {}, []
         for chunk in chunks:
             rest, row = chunk, []
             if self.ascii_split and chunk.isascii() and chunk.isprintable() and not self.has_special(chunk):
                 pieces.append([words.setdefault(w, len(words)) for w in self.ascii_split(chunk.lower())])
                 continue
+            if self.ascii_split and len(chunk) <= REMEMBERED_LENGTH and chunk.split() == [chunk] and not self.has_special(chunk):
+                other.append(len(pieces))
+                pieces.append(row)
+                continue
             while rest:
                 at, name = min(((rest.find(s), s) for s in self.special if s in rest), key=lambda x: (x[0], -len(x[1])), default=(len(rest), ""))
                 if at:
@@ -197,6 +222,8 @@ class Vocabulary:
                     row.append(-1 - self.special[name])
                 rest = rest[at + len(name) :]
             pieces.append(row)
+        for row, found in zip(other, self.split_apart([chunks[i] for i in other]), strict=True):
+            pieces[row] = [words.setdefault(w, len(words)) for w in found]
         if len(self.known_words) > REMEMBERED_WORDS:
             self.older_words, self.known_words = self.known_words, {}
         found, older = self.known_words, self.older_words
@@ -215,6 +242,34 @@ class Vocabulary:
                 del found[w]
         return [b"".join([known[p] if p >= 0 else array("i", (-1 - p,)).tobytes() for p in row]) for row in pieces]
 
+    def split_apart(self, chunks: list[str]) -> list[list[str]]:
+        """The words of chunks without any white space and special tokens, as the library splits them.
+
+        Nothing in the normalizer or the splitter reaches over a blank, so chunks are joined by blanks
+        and the library is called once for many. Should blanks have gone or come, each has its own call.
+        """
+        words = self.splitter.pre_tokenize_str
+        out: list[list[str]] = []
+        at = 0
+        while at < len(chunks):
+            to, size = at, 0
+            while to < len(chunks) and size < SPLIT_AT_ONCE:
+                size += len(chunks[to])
+                to += 1
+            text = self.normalizer.normalize_str(" ".join(chunks[at:to]))
+            normal = text.split(" ")
+            if len(normal) == to - at:
+                found: list[list[str]] = [[] for _ in normal]
+                ends = np.cumsum([len(c) + 1 for c in normal])
+                split = words(text)
+                for row, (word, _) in zip(np.searchsorted(ends, [start for _, (start, _) in split], "right").tolist(), split):
+                    found[row].append(word)
+                out += found
+            else:
+                out += [[w for w, _ in words(self.normalizer.normalize_str(c))] for c in chunks[at:to]]
+            at = to
+        return out
+
     def chunks_of(self, rows: list[list[str]]) -> dict[str, bytes]:
         """The encodings of at least all chunks of rows."""
         if len(self.known_chunks) > REMEMBERED:
@@ -233,6 +288,19 @@ class Vocabulary:
         for c in self.passing:
             del self.known_chunks[c]
 
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of whole texts."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        numbered = split.values.dictionary_encode()
+        chunks = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        encoded = list(map(self.chunks_of([chunks]).__getitem__, chunks))
+        self.forget()
+        ends = np.cumsum([0, *map(len, encoded)], dtype=np.int64) // 4
+        each = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
+        met = each.take(numbered.indices)
+        starts = met.offsets.to_numpy()[split.offsets.to_numpy()]
+        return pa.ListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int32)), met.values[starts[0] : starts[-1]])
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Without a decoder in the file, tokens are joined by spaces."""
         tokens = pa.ListArray.from_arrays(ids.offsets, self.tokens.take(ids.values))
@@ -263,13 +331,9 @@ def encode_decode(docs: DataFrame, vocabulary_path: str | None = None, id_col: s
         vocab = vocabulary(path)
 
         def apply(texts):
-            split = [t.translate(SPACES).split(" ") for t in texts]
-            encoding = vocab.chunks_of(split).__getitem__
-            ids = [b"".join(map(encoding, row)) for row in split]
-            vocab.forget()
-            ends = np.cumsum([0, *map(len, ids)]) // 4
-            values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+            cuts = np.flatnonzero(np.diff(np.cumsum([*map(len, texts)]) // TEXT_BYTES)) + 1
+            parts = [vocab.encode(texts[lo:hi]) for lo, hi in zip([0, *cuts], [*cuts, len(texts)], strict=True)]
+            lists = pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
             return [lists, vocab.decode(lists) if decoded else pa.nulls(len(texts), pa.string())]
 
         return apply

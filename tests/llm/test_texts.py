@@ -52,6 +52,21 @@ def test_bpe_of_a_long_word(monkeypatch):
     assert max(map(len, [*vocab.known_chunks, *vocab.known_words])) <= bpe.REMEMBERED_LENGTH
 
 
+def test_bpe_calls_the_splitter_for_many_chunks(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, vocab, rng = Tokenizer.from_file(path), bpe.Vocabulary(path), random.Random(8)
+    signs = "abenortsñéßİıΣς̀\u0301\xa0\u2003\x85\x1c'ſ0²．日"
+    texts = ["".join(rng.choice(signs + "  \t\n\v\f\r") for _ in range(rng.randrange(300))) for _ in range(300)] + ["", "ñ", " "]
+    calls, splitter = [], vocab.splitter
+    monkeypatch.setattr(vocab, "splitter", type("Counted", (), {"pre_tokenize_str": lambda self, text: calls.append(text) or splitter.pre_tokenize_str(text)})())
+    assert vocab.encode(texts).to_pylist() == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    calls.clear()
+    assert vocab.encode(["ñu" + " ñ".join(map(str, range(20_000)))]).to_pylist()[0] and len(calls) < 20  # one call a chunk before
+
+
 def plain_pii(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
