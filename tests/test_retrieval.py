@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,3 +288,42 @@ def test_coverage_gate_runs_the_search_once(spark):
     got = r.coverage_gate(hits, texts, terms)
     assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert rows(got, "query_id", "chunk_id", "rank") == [(1, 10, 1), (1, 11, 2)]
+
+
+def test_best_of_hands_on_what_is_too_much():
+    rng = np.random.default_rng(6)
+    question, chunk, score = rng.integers(0, 400, 40_000), rng.permutation(40_000), np.round(rng.random(40_000), 2)
+    found, most, rows = r.BestOf(3, 1_500, 400, 9), 0, []
+    for at in range(0, 40_000, 500):
+        q, c, s = (x[at : at + 500] for x in (question, chunk, score))
+        reach = s >= found.least[q]
+        found.add(q[reach], c[reach], s[reach])
+        most = max(most, found.held)
+        rows += [row for b in found.handed_on(np.arange(400), "bm25") for row in b.to_pylist()]
+    rows += [row for b in found.batch(np.arange(400), "bm25") for row in b.to_pylist()]
+    best = lambda rows: sorted(rows, key=lambda x: (x[0], -x[2], x[1]))
+    whole, got = best(zip(question.tolist(), chunk.tolist(), score.tolist())), best((x["query_id"], x["chunk_id"], x["bm25"]) for x in rows)
+    for q in range(400):
+        assert [x for x in got if x[0] == q][:3] == [x for x in whole if x[0] == q][:3]
+    assert most <= 1_500 and len(rows) < 40_000 // 3
+
+
+def test_words_that_tie_to_nine_digits_go_by_chunk():
+    found = r.BestOf(1, 1, 1, 9)
+    for chunk, score in ((5, 1.000000000001), (2, 1.0), (7, 0.5)):
+        found.add(np.array([0]), np.array([chunk]), np.array([score]))
+    assert found.best()[1].tolist() == [2]
+
+
+def test_coverage_gate_writes_no_index(spark):
+    import __spark_entry__ as e
+    import notegrid.plans.queries as own
+
+    def refuse(*args):
+        raise AssertionError("an index of all terms is written")
+
+    before, own.ft.build = own.ft.build, refuse
+    try:
+        assert e.queries()["r32_coverage_gate"](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        own.ft.build = before
