@@ -279,9 +279,9 @@ def test_cells_of_any_block_equal_the_plain_rule(monkeypatch):
     head = [{"cell": 3, "kind": 0, "query_id": None, "a": a, "b": b, "w": way, "hop": 0, "own": False, "given": False} for a, b, way in arcs]
     body = [{"cell": 3, "kind": 1, "query_id": q, "a": d, "b": None, "w": w, "hop": h, "own": True, "given": given} for (q, d), (w, h, given) in sorted(best.items())]
     types = pa.schema([("cell", "int64"), ("kind", "int32"), ("query_id", "int64"), ("a", "int64"), ("b", "int64"), ("w", "float64"), ("hop", "int32"), ("own", "bool"), ("given", "bool")])
-    for block, pairs, size in ((1, 1, 1), (4, 7, 3), (4, 1_000_000, 1000), (256, 30, 20), (256, 1_000_000, 1000)):
-        monkeypatch.setattr(g, "BLOCK", block)
-        monkeypatch.setattr(g, "PAIRS", pairs)
+    for block, questions, pairs, size in ((1, 1, 1, 1), (4, 3, 7, 3), (4, 5, 1_000_000, 1000), (256, 2, 30, 20), (256, 256, 1_000_000, 1000)):
+        for name, value in (("BLOCK", block), ("ASKED", questions), ("PAIRS", pairs)):
+            monkeypatch.setattr(g, name, value)
         batches = pa.Table.from_pylist(head + body, types).to_batches(max_chunksize=size)
         got = pa.Table.from_batches(list(g._cells(iter(batches), 2, 0.5, None)))
         assert sorted(zip(*(got[c].to_pylist() for c in got.column_names), strict=True)) == want
@@ -299,7 +299,7 @@ def test_what_the_last_hop_writes_is_a_small_part_of_its_rows(spark, tmp_path):
 
     g.propagate(*graph(20_000), 2, 0.5, 0.7).write.parquet(str(tmp_path / "out"))
     written, back = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")), spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() > 20_000**2 / 50 and written < 0.5 * back.count(), (written, back.count())
+    assert back.count() > 20_000**2 / 50 and written < 0.4 * back.count(), (written, back.count())
     # each task has one cell
     per = [x["count"] for x in back.groupBy(F.input_file_name()).count().collect()]
     assert len(per) == 4 * spark.sparkContext.defaultParallelism and max(per) < 2 * min(per), per
